@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import leakage, lookalike
+from threadloom.llm import leakage, lookalike, mojibake
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.damaged_fields(_table(spark, sf_dir, "articles"))
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restored_fields(_table(spark, sf_dir, "articles"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
@@ -32,7 +40,7 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p7_found, p7_near, p9_found, p9_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p7_found, p7_near, p9_found, p9_canonical)}
 
 
 def oracle_sql() -> dict[str, str]:
