@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from threadloom.session import checkpoint
+
 # Look-alike letters of other scripts (and the one-storey g) and the Latin letter each is taken for.
 LATIN_FOR = {
     # Cyrillic, small
@@ -43,18 +45,23 @@ CYRILLIC_FOR = dict(zip("aceopxyiABCEHKMOPTXY", "асеорхуіАВСЕНКМ
 GREEK_FOR = dict(zip("ovaiABEZHIKMNOPTYX", "οναιΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"))
 
 # Characters without width, and spaces at which no line may break.
-INVISIBLE = "­᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
-HARD_SPACE = "   "
-FULLWIDTH = "！-～"
-
-_LETTERS = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "armenian": r"\p{IsArmenian}"}
-_OTHER = r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}]"
-_BETWEEN = rf"[\p{{M}}\p{{N}}{INVISIBLE}]*+"
-_OWN_LATIN = "".join(c for c in LATIN_FOR if c in "ɡɑı")
+INVISIBLE = "\u00ad\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
+HARD_SPACE = "\u00a0\u2007\u202f"
+FULLWIDTH = "\uff01-\uff5e"
+
+# Letter ranges as regular-expression classes, and marks that are written apart from Latin, Greek or Cyrillic letters.
+_LETTERS = {"latin": "A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0250-\u02af\u1e00-\u1eff", "cyrillic": "\u0400-\u052f", "greek": "\u0370-\u03ff\u1f00-\u1fff", "armenian": "\u0530-\u058f"}
+_MARK = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
+_OTHER = "".join(_LETTERS[s] for s in ("cyrillic", "greek", "armenian"))
+_OWN_LATIN = "ɡɑı"
+_BETWEEN = rf"[{_MARK}\p{{Nd}}{INVISIBLE}]*+"
+#: One class of characters; a text without any of them can't be suspicious.  It is tested first because one class is cheap.
+GATE = f"[{FULLWIDTH}{INVISIBLE}{HARD_SPACE}{_OWN_LATIN}{_MARK}{_OTHER}]"
 #: What makes a word (or text) suspicious.
 SUSPECT = (
-    rf"[{FULLWIDTH}{INVISIBLE}{HARD_SPACE}{_OWN_LATIN}]|\p{{L}}\p{{M}}|\p{{IsLatin}}{_BETWEEN}{_OTHER}|{_OTHER}{_BETWEEN}\p{{IsLatin}}"
-    rf"|\p{{IsCyrillic}}{_BETWEEN}[\p{{IsGreek}}\p{{IsArmenian}}]|[\p{{IsGreek}}\p{{IsArmenian}}]{_BETWEEN}\p{{IsCyrillic}}"
+    rf"[{FULLWIDTH}{INVISIBLE}{HARD_SPACE}{_OWN_LATIN}]|[{_MARK}](?<=\p{{L}}[{INVISIBLE}]{{0,8}}[{_MARK}])"
+    rf"|[{_OTHER}]{_BETWEEN}[{_LETTERS['latin']}]|[{_OTHER}](?<=[{_LETTERS['latin']}][{_MARK}\p{{Nd}}{INVISIBLE}]{{0,40}}[{_OTHER}])"
+    rf"|[{_LETTERS['cyrillic']}]{_BETWEEN}[{_LETTERS['greek']}{_LETTERS['armenian']}]|[{_LETTERS['greek']}{_LETTERS['armenian']}]{_BETWEEN}[{_LETTERS['cyrillic']}]"
 )
 _RUN = rf"\p{{L}}\p{{M}}\p{{N}}{INVISIBLE}"
 #: Words, single full-width signs, single hard spaces.
@@ -62,6 +69,11 @@ UNIT = rf"[{_RUN}]+|[{FULLWIDTH}{HARD_SPACE}]"
 #: The same and what lies between, so that the pieces make up the text.
 PIECE = rf"{UNIT}|[^{_RUN}{FULLWIDTH}{HARD_SPACE}]+"
 
+
+def suspect(text: Column) -> Column:
+    return text.rlike(GATE) & text.rlike(SUSPECT)
+
+
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 
@@ -91,7 +103,7 @@ def _one_script(word: Column) -> Column:
     keep_greek = {k: v for k, v in other.items() if not ("Ͱ" <= k <= "Ͽ")}
     to_cyr = F.translate(F.translate(word, "".join(keep_cyr), "".join(keep_cyr.values())), "".join(CYRILLIC_FOR), "".join(CYRILLIC_FOR.values()))
     to_greek = F.translate(F.translate(word, "".join(keep_greek), "".join(keep_greek.values())), "".join(GREEK_FOR), "".join(GREEK_FOR.values()))
-    n_latin, n_cyr, n_greek = (_count(word, _LETTERS[s]) for s in ("latin", "cyrillic", "greek"))
+    n_latin, n_cyr, n_greek = (_count(word, f"[{_LETTERS[s]}]") for s in ("latin", "cyrillic", "greek"))
     single = ~word.rlike(r"\p{L}.*\p{L}")
     return (
         F.when(single, word)
@@ -115,8 +127,8 @@ def composed(word: pd.Series) -> pd.Series:
 
 def suspicious_units(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, word``: the distinct suspicious words of every text, computed in the scan stage."""
-    units = F.array_distinct(F.filter(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(UNIT), F.lit(0)), lambda w: w.rlike(SUSPECT)))
-    return df.where(F.col(f"`{text}`").rlike(SUSPECT)).select(F.col(f"`{key}`").alias(key), F.explode(units).alias("word"))
+    units = F.array_distinct(F.filter(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(UNIT), F.lit(0)), suspect))
+    return df.where(suspect(F.col(f"`{text}`"))).select(F.col(f"`{key}`").alias(key), F.explode(units).alias("word"))
 
 
 def canonical_words(words: DataFrame) -> DataFrame:
@@ -131,7 +143,7 @@ def canonical_words(words: DataFrame) -> DataFrame:
     kinds = F.array_compact(
         F.array(
             F.when(F.col("word").rlike(f"[{FULLWIDTH}]"), "fullwidth"),
-            F.when(F.col("word").rlike(rf"\p{{L}}[{INVISIBLE}]*\p{{M}}"), "combining"),
+            F.when(F.col("word").rlike(rf"\p{{L}}[{INVISIBLE}]*[{_MARK}]"), "combining"),
             F.when(F.col("word").rlike(f"[{INVISIBLE}]"), "invisible"),
             F.when(F.col("word").rlike(f"[{HARD_SPACE}]"), "space"),
             F.when(looks, "lookalike"),
@@ -142,7 +154,7 @@ def canonical_words(words: DataFrame) -> DataFrame:
 
 def word_table(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """The suspicious words per text and the table of their canonical members."""
-    pairs = suspicious_units(df, key, text)
+    pairs = checkpoint(suspicious_units(df, key, text))
     return pairs, canonical_words(pairs.groupBy("word").agg(F.count("*").alias("n")))
 
 
@@ -162,7 +174,7 @@ def canonical_text(df: DataFrame, key: str = "doc_id", text: str = "text", out:
     per_text = pairs.join(words.select("word", "canonical"), "word").groupBy(key)
     per_text = per_text.agg(F.map_from_entries(F.collect_list(F.struct("word", "canonical"))).alias("__words"))
     keep = [F.col(f"`{c}`") for c in df.columns if c != out]
-    odd = F.coalesce(F.col(f"`{text}`").rlike(SUSPECT), F.lit(False))
+    odd = F.coalesce(suspect(F.col(f"`{text}`")), F.lit(False))
     clean = df.where(~odd).select(*keep, F.col(f"`{text}`").alias(out))
     pieces = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PIECE), F.lit(0))
     mended = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(F.col("__words"), p), p)), "")
