@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import leakage, lookalike, mojibake
+from threadloom.llm import leakage, lookalike, mixing, mojibake, neardup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,14 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restored_fields(_table(spark, sf_dir, "articles"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_rows(neardup.advertisements(_table(spark, sf_dir, "articles")), 0.6)
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(neardup.advertisements(_table(spark, sf_dir, "articles")), 0.6)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
@@ -31,6 +39,14 @@ def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.near_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.kinds_found(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +56,7 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p7_found, p7_near, p9_found, p9_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_groups, p7_found, p7_near, p8_mix, p8_shares, p9_found, p9_canonical)}
 
 
 def oracle_sql() -> dict[str, str]:
