@@ -149,4 +149,5 @@ def with_utc_micros(df: DataFrame, text: str, out: str, local_zone: str = "Europ
         .when(region.isNotNull(), F.unix_micros(F.to_utc_timestamp(clock, known)))
         .otherwise(F.unix_micros(F.to_utc_timestamp(clock, F.lit(local_zone))))
     )
-    return df.select(*[F.col(f"`{c}`") for c in keep], value.cast("bigint").alias(out))
+    # A one-element explode: a later filter on ``out`` stays above it instead of being rewritten into copies of the whole chain.
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.explode(F.array(value.cast("bigint"))).alias(out))
