@@ -1,34 +1,42 @@
 """Passages of evaluation items inside a training corpus, by a distributed positional inverted index.
 
 Both sides are brought to the form of the look-alike operator and lower-cased; words are maximal runs of
-letters and digits.  The corpus side stores postings ``term, doc, pos`` of the terms that the items use
-(one written table, read by every later step).  An item is searched from its rarest terms: every window
-of ``least`` consecutive words has a rarest term, its anchor.  The anchors' posting lists, shifted by the anchor's
-place in the item, give candidate alignments of a document with an item; the lists of the item's
-remaining terms are then intersected on the same shifted offsets, and runs of consecutive hits are
-measured.  A passage of at least ``least`` words contains some window's anchor at its place, so none is missed.
-
-NULL and empty texts, and items shorter than ``least`` words, have no passage.  Repeated documents are
-reported each under their own id.
+letters and digits.  The index is sharded by document: a segment holds the posting lists
+(document, position) of the terms that the items use, for some thousands of documents, and is one row of a
+table in the shared folder.  A search meets every segment where it lies and moves no postings.
+
+An item is searched from its rarest terms: every window of ``least`` consecutive words has a rarest
+term, its anchor.  An anchor's posting list, shifted by the anchor's place in the item, gives candidate
+alignments; they are intersected with the lists of the neighbouring terms at the neighbouring positions,
+outwards until one side no longer fits.  A passage of at least ``least`` words contains some window's
+anchor at its place, so none is missed.  Rows with a NULL id are not searched.
+
+Items are a stated query set.  They are taken in blocks of at most ``BLOCK`` items, so what travels with
+the tasks is bounded.  NULL and empty texts, and items shorter than ``least`` words, have no passage.  Repeated
+documents are reported each under their own id.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.lookalike import canonical_text
-from threadloom.session import checkpoint, checkpoint_dir
-
-#: Rows (of a few numbers each) up to which a counted table may be sent to every executor.
-SMALL = 500_000
+from threadloom.session import checkpoint_dir
 
-
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it was counted to be small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= SMALL else df
+#: Items searched at a time.
+BLOCK = 10_000
+#: Postings of a segment, about; a document is never cut.
+SEGMENT = 400_000
+_SEGMENT = "doc array<bigint>, length array<int>, tid array<int>, size array<int>, at array<int>, pos array<int>"
+_MATCH = "doc bigint, item bigint, doc_pos int, item_pos int, n_words int"
 
 
 def words_of(text: Column) -> Column:
@@ -43,45 +51,213 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def build_index(documents: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings ``tid, doc, pos`` of ``terms`` (term, tid) in the canonical texts of ``documents``."""
-    plain = canonical_text(documents.select(key, text), key, text, "canonical")
-    tokens = plain.select(F.col(key).alias("doc"), F.posexplode(words_of(F.col("canonical"))).alias("pos", "term"))
-    return written(tokens.join(small(terms), "term").select("tid", "doc", "pos"))
+def _segments(terms: list[str], least: int):
+    """doc, words -> segments.  Documents with fewer than ``least`` postings can hold no passage and are left out."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms, pa.string())
+        docs: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        tids: list[np.ndarray] = []
+        places: list[np.ndarray] = []
+        held = 0
+
+        def segment() -> pa.RecordBatch:
+            doc, length = np.concatenate(docs), np.concatenate(lengths)
+            tid, place = np.concatenate(tids), np.concatenate(places)
+            order = np.argsort(tid, kind="stable")
+            tid, place = tid[order], place[order]
+            begins = np.concatenate([[0], np.cumsum(length)])
+            at = np.searchsorted(begins, place, side="right") - 1
+            name, size = np.unique(tid, return_counts=True)
+            cols = [doc, length.astype(np.int32), name.astype(np.int32), size.astype(np.int32), at.astype(np.int32), (place - begins[at]).astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in cols], names=["doc", "length", "tid", "size", "at", "pos"])
+
+        total = 0
+        for b in batches:
+            column = b.column(1)
+            offsets = column.offsets.to_numpy().astype(np.int64)
+            tid = pc.fill_null(pc.index_in(column.values.slice(offsets[0], offsets[-1] - offsets[0]), value_set=known), -1).to_numpy()
+            offsets = offsets - offsets[0]
+            length = np.diff(offsets)
+            hits = np.concatenate([[0], np.cumsum(tid >= 0)])
+            keep = hits[offsets[1:]] - hits[offsets[:-1]] >= least
+            inside = np.repeat(keep, length)
+            tid = tid[inside]
+            at = np.flatnonzero(tid >= 0)
+            docs.append(b.column(0).to_numpy()[keep])
+            lengths.append(length[keep])
+            tids.append(tid[at])
+            places.append(at + total)
+            total += len(tid)
+            held += len(at)
+            if held >= SEGMENT:
+                yield segment()
+                docs, lengths, tids, places, held, total = [], [], [], [], 0, 0
+        if held:
+            yield segment()
+
+    return run
+
+
+def build_index(canonical: DataFrame, terms: list[str], least: int) -> DataFrame:
+    """The written index of ``terms`` over ``canonical`` (doc, canonical)."""
+    # No filter on the number of words here: it would be computed on a second tokenization of every text.
+    tokens = canonical.select("doc", F.coalesce(words_of(F.col("canonical")), F.array().cast("array<string>")).alias("words"))
+    return written(tokens.mapInArrow(_segments(terms, least), _SEGMENT))
+
+
+@dataclass(frozen=True)
+class Items:
+    """A block of items as arrays: ids, where each begins, and the term of every word."""
+
+    ids: np.ndarray
+    begins: np.ndarray
+    words: np.ndarray
+    terms: list[str]
+
+
+def load_items(canonical: DataFrame) -> Items:
+    """A block of items (item, canonical), at most ``BLOCK`` rows, on the driver."""
+    rows = canonical.select("item", words_of(F.col("canonical")).alias("words")).where(F.col("words").isNotNull()).orderBy("item").collect()
+    terms = sorted({w for r in rows for w in r["words"]})
+    number = {t: i for i, t in enumerate(terms)}
+    words = np.array([number[w] for r in rows for w in r["words"]], np.int32)
+    begins = np.concatenate([[0], np.cumsum([len(r["words"]) for r in rows])]).astype(np.int64)
+    return Items(np.array([r["item"] for r in rows], np.int64), begins, words, terms)
+
+
+def frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
+    """Postings per term over the whole index (as many numbers as the items have terms)."""
+    rows = index.select(F.explode(F.arrays_zip("tid", "size")).alias("x")).groupBy("x.tid").agg(F.sum("x.size").alias("n")).collect()
+    out = np.zeros(n_terms, np.int64)
+    for r in rows:
+        out[r["tid"]] = r["n"]
+    return out
+
+
+def anchors(items: Items, frequency: np.ndarray, least: int) -> np.ndarray:
+    """Places (in ``items.words``) of the rarest word, the earliest of equals, of every window of ``least`` words."""
+    found = []
+    for a, b in zip(items.begins[:-1], items.begins[1:]):
+        if b - a >= least:
+            windows = np.lib.stride_tricks.sliding_window_view(frequency[items.words[a:b]], least)
+            found.append(a + np.arange(len(windows)) + windows.argmin(1))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+class Segment:
+    """One row of the index, with its lists laid out by position."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int) -> None:
+        self.doc, length, self.tid, size, self.at, self.pos = (batch.column(i).slice(row, 1).flatten().to_numpy() for i in range(6))
+        self.begins = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        self.place = self.begins[self.at] + self.pos
+        self.term = np.full(self.begins[-1], -1, np.int32)
+        self.term[self.place] = np.repeat(self.tid, size)
+
+    def alignments(self, words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Posting number and item place of every posting of the words at ``places``."""
+        k = np.searchsorted(self.tid, words[places])
+        there = (k < len(self.tid)) & (self.tid[np.minimum(k, len(self.tid) - 1)] == words[places])
+        k, places = k[there], places[there]
+        size = self.starts[k + 1] - self.starts[k]
+        posting = np.repeat(self.starts[k] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return posting, np.repeat(places, size)
+
+
+def _matches(items: Items, places: np.ndarray, least: int):
+    """Segments -> maximal common runs of at least ``least`` words."""
+    item_of = np.repeat(np.arange(len(items.ids)), np.diff(items.begins))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                s = Segment(batch, r)
+                posting, w = s.alignments(items.words, places)
+                g, doc, item = s.place[posting], s.at[posting], item_of[w]
+                reach = []
+                for way in (1, -1):
+                    steps = np.zeros(len(g), np.int32)
+                    live, d = np.arange(len(g)), 1
+                    while len(live):
+                        x, y = g[live] + way * d, w[live] + way * d
+                        inside = (x >= s.begins[doc[live]]) & (x < s.begins[doc[live] + 1]) & (y >= items.begins[item[live]]) & (y < items.begins[item[live] + 1])
+                        live, x, y = live[inside], x[inside], y[inside]
+                        live = live[s.term[x] == items.words[y]]
+                        steps[live] = d
+                        d += 1
+                    reach.append(steps)
+                n = 1 + reach[0] + reach[1]
+                good = np.flatnonzero(n >= least)
+                if len(good):
+                    at, first = doc[good], reach[1][good]
+                    rows = np.unique(np.stack([s.doc[at], items.ids[item[good]], g[good] - first - s.begins[at], w[good] - first - items.begins[item[good]], n[good]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), *(pa.array(x.astype(np.int32)) for x in rows[2:])], names=["doc", "item", "doc_pos", "item_pos", "n_words"])
+
+    return run
+
+
+def _near(items: Items, places: np.ndarray, half: int, needed: int, slack: int):
+    """Segments -> document, item and the number of words around an anchor that fit within ``slack`` positions of their place."""
+    item_of = np.repeat(np.arange(len(items.ids)), np.diff(items.begins))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                s = Segment(batch, r)
+                posting, w = s.alignments(items.words, places)
+                out = []
+                for c in range(0, len(w), 200_000):
+                    p, v = posting[c : c + 200_000], w[c : c + 200_000]
+                    g, doc, item = s.place[p], s.at[p], item_of[v]
+                    n = np.zeros(len(v), np.int16)
+                    for i in range(-half, half + 1):
+                        y = v + i
+                        inside = (y >= items.begins[item]) & (y < items.begins[item + 1])
+                        wanted = np.where(inside, items.words[np.clip(y, 0, len(items.words) - 1)], -2)
+                        fits = np.zeros(len(v), bool)
+                        for j in range(-slack, slack + 1):
+                            x = g + i + j
+                            ok = (x >= s.begins[doc]) & (x < s.begins[doc + 1])
+                            fits |= ok & (s.term[np.clip(x, 0, len(s.term) - 1)] == wanted)
+                        n += fits
+                    good = n >= needed
+                    out.append(np.stack([s.doc[doc[good]], items.ids[item[good]], n[good]]))
+                rows = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+                if rows.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], names=["doc", "item", "n"])
+
+    return run
+
+
+def _blocks(items: DataFrame, item_key: str, text: str) -> Iterator[Items]:
+    items = items.where(F.col(item_key).isNotNull())
+    plain = canonical_text(items.select(item_key, text), item_key, text, "canonical").select(F.col(item_key).cast("bigint").alias("item"), "canonical")
+    n = items.count() // BLOCK + 1
+    for k in range(n):
+        yield load_items(plain if n == 1 else plain.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k))
 
 
-def item_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``item, ipos, tid`` of every word of the items, and the terms ``term, tid``."""
-    plain = canonical_text(items.select(key, text), key, text, "canonical")
-    words = checkpoint(plain.select(F.col(key).alias("item"), F.posexplode(words_of(F.col("canonical"))).alias("ipos", "term")))
-    terms = checkpoint(words.groupBy("term").count().orderBy("term").select("term", F.monotonically_increasing_id().alias("tid")))
-    return checkpoint(words.join(terms, "term").select("item", "ipos", "tid")), terms
+def _searches(documents: DataFrame, items: DataFrame, least: int, doc_key: str, item_key: str, text: str) -> Iterator[tuple[DataFrame, Items, np.ndarray]]:
+    named = documents.where(F.col(doc_key).isNotNull())
+    plain = canonical_text(named.select(doc_key, text), doc_key, text, "canonical").select(F.col(doc_key).cast("bigint").alias("doc"), "canonical")
+    for block in _blocks(items, item_key, text):
+        index = build_index(plain, block.terms, least)
+        yield index, block, anchors(block, frequencies(index, len(block.terms)), least)
 
 
-def anchors(words: DataFrame, index: DataFrame, least: int) -> DataFrame:
-    """``item, ipos, tid`` of the rarest term (the earliest of equals) of every window of ``least`` words."""
-    frequency = index.groupBy("tid").agg(F.count("*").alias("df"))
-    ranked = words.join(frequency, "tid", "left").withColumn("rank", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "ipos", "tid"))
-    w = Window.partitionBy("item").orderBy("ipos").rowsBetween(0, least - 1)
-    windows = ranked.select("item", F.min("rank").over(w).alias("a"), F.count("*").over(w).alias("n")).where(F.col("n") == least)
-    return windows.select("item", F.col("a.ipos").alias("ipos"), F.col("a.tid").alias("tid")).distinct()
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
 
 
 def passages(documents: DataFrame, items: DataFrame, least: int = 10, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """``doc, item, doc_pos, item_pos, n_words`` of every maximal common run of at least ``least`` words."""
-    words, terms = item_terms(items, item_key, text)
-    index = build_index(documents, terms, doc_key, text)
-    start = checkpoint(anchors(words, index, least))
-    shift = index.join(small(start), "tid").select("doc", "item", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
-    shift = checkpoint(shift)
-    n = shift.count()
-    near = index.join(small(shift.select("doc").distinct(), n), "doc", "left_semi")
-    expected = shift.join(small(words), "item").select("doc", "item", "shift", "ipos", "tid", (F.col("ipos") + F.col("shift")).cast("int").alias("pos"))
-    hits = near.join(expected, ["doc", "pos", "tid"])
-    w = Window.partitionBy("doc", "item", "shift").orderBy("ipos")
-    runs = hits.withColumn("run", F.col("ipos") - F.row_number().over(w)).groupBy("doc", "item", "shift", "run")
-    found = runs.agg(F.count("*").alias("n_words"), F.min("ipos").alias("item_pos")).where(F.col("n_words") >= least)
-    return found.select("doc", "item", (F.col("item_pos") + F.col("shift")).alias("doc_pos"), "item_pos", "n_words")
+    return _union([index.mapInArrow(_matches(block, places, least), _MATCH) for index, block, places in _searches(documents, items, least, doc_key, item_key, text)])
 
 
 def leaked(documents: DataFrame, items: DataFrame, least: int = 10) -> DataFrame:
@@ -89,20 +265,7 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 10) -> DataFrame
     return passages(documents, items, least).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
 
 
-def near_passages(documents: DataFrame, items: DataFrame, terms_needed: int = 14, window: int = 24, least: int = 10) -> DataFrame:
-    """Proximity matches: ``doc_id, item_id, n_terms`` where a stretch of ``window`` words has at least ``terms_needed`` different terms of one window of the item around an anchor.
-
-    Words may be missing, added or exchanged.  Alignments come from the same anchors; a term counts if it lies
-    within ``window // 2`` words of the anchor in the item and in the document.
-    """
-    words, terms = item_terms(items)
-    index = build_index(documents, terms)
-    start = checkpoint(anchors(words, index, least))
-    at = index.join(small(start), "tid").select("doc", "item", F.col("pos").alias("at"), F.col("ipos").alias("iat"))
-    at = checkpoint(at.distinct())
-    half = window // 2
-    near = index.join(small(at.select("doc").distinct(), at.count()), "doc", "left_semi")
-    context = at.join(small(words), "item").where(F.abs(F.col("ipos") - F.col("iat")) <= half).select("doc", "item", "at", "iat", "tid").distinct()
-    hits = near.join(context, ["doc", "tid"]).where(F.abs(F.col("pos") - F.col("at")) <= half)
-    scored = hits.groupBy("doc", "item", "at", "iat").agg(F.countDistinct("tid").alias("n")).where(F.col("n") >= terms_needed)
-    return scored.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.max("n").alias("n_terms"))
+def near_passages(documents: DataFrame, items: DataFrame, least: int = 10, half: int = 12, needed: int = 16, slack: int = 2) -> DataFrame:
+    """Proximity matches: ``doc_id, item_id, n_words``, where at least ``needed`` of the ``2 half + 1`` words around an anchor stand within ``slack`` positions of their place, so some words may be missing, added or exchanged."""
+    parts = [index.mapInArrow(_near(block, places, half, needed, slack), "doc bigint, item bigint, n int") for index, block, places in _searches(documents, items, least, "doc_id", "item_id", "text")]
+    return _union(parts).groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.max("n").alias("n_words"))
