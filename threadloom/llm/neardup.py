@@ -13,7 +13,7 @@ of them; a node is entered only if its bound reaches the overlap that the thresh
 survive in a leaf are verified on their words (64-bit hashes of them), and a pair is reported only in the slab of its
 first common word, hence once.
 
-Nothing is dropped: there are no caps on slabs, candidates or partners.  A record without words is similar to none.
+Nothing is dropped: there are no caps on slabs, candidates or partners.  A record without words, or with a NULL number, is similar to none.
 """
 
 from __future__ import annotations
@@ -323,7 +323,7 @@ def similar_pairs(sets: DataFrame, threshold: float, block: int = BLOCK) -> Data
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From ``ord, words``: members (ord, id) and sets (id, words as hashes); ``id`` is the least ``ord`` with that word set."""
-    keyed = rows.where(F.size("words") > 0).select("ord", F.concat_ws(" ", "words").alias("key"))
+    keyed = rows.where("ord IS NOT NULL AND size(words) > 0").select("ord", F.concat_ws(" ", "words").alias("key"))
     reps = keyed.groupBy("key").agg(F.min("ord").alias("id"), F.count("*").alias("copies"))
     members = keyed.join(reps.select("key", "id"), "key").select("ord", "id")
     sets = reps.select("id", "copies", F.transform(F.split("key", " "), lambda w: F.xxhash64(w)).alias("words"))
