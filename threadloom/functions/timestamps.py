@@ -8,7 +8,7 @@ with no Python worker and no shuffle.
 
 Rules:
 
-* NULL, empty text, words, and impossible calendar dates give NULL;
+* NULL, empty text, texts of more than 1,000 characters, words, and impossible calendar dates give NULL;
 * a text with no zone is local time of ``local_zone``; in an hour that occurs twice the first is
   taken, in a skipped hour the time moves forward by the jump (the same for named regions);
 * digits only: seconds, milliseconds, microseconds or nanoseconds since 1970 UTC by length;
@@ -74,6 +74,8 @@ _PRESENT = [[f for f in _FIELDS if f"(?<{f}{i}>" in form.format(k=i)] for i, for
 _RECORD = "\u0001|" + "|".join("".join(f"${{{f}{i}}}" for i, has in enumerate(_PRESENT) if f in has) for f in _FIELDS) + "|${e}|"
 
 _DAY = 86_400_000_000
+#: A longer text denotes no instant.
+LONGEST = 1_000
 
 
 def valid_zones(spark: SparkSession) -> list[str]:
@@ -107,7 +109,8 @@ def with_utc_micros(df: DataFrame, text: str, out: str, local_zone: str = "Europ
     while any(c.startswith(tmp) for c in df.columns):
         tmp += "_"
     at = {f: i + 1 for i, f in enumerate([*_FIELDS, "e"])}
-    cut = F.split(F.regexp_replace(F.col(f"`{text}`"), _PATTERN, _RECORD), r"\|")
+    written = F.when(F.length(F.col(f"`{text}`")) <= LONGEST, F.col(f"`{text}`"))
+    cut = F.split(F.regexp_replace(written, _PATTERN, _RECORD), r"\|")
     df = df.withColumn(tmp, F.when((F.size(cut) == len(at) + 2) & (F.get(cut, F.lit(0)) == "\u0001"), cut))
     part = lambda f: F.nullif(F.get(F.col(tmp), F.lit(at[f])), F.lit(""))
     num = lambda f: part(f).try_cast("bigint")

@@ -139,8 +139,9 @@ def reply_links(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (``message_id, node``) and links (``node, top, hops, place``) of reply threads.
 
     A message is the row with the smallest ``ord`` of its id; that number is also its node.  The parent
-    is the last id in ``refs`` that is itself stored.  NULL ids are no messages.
+    is the last id in ``refs`` that is itself stored.  Rows with a NULL id or number are no messages.
     """
+    articles = articles.where("ord IS NOT NULL")
     nodes = articles.where("message_id IS NOT NULL").groupBy("message_id").agg(F.min("ord").alias("node"))
     refs = explode_packed(articles, "ord", {"refs": "angle"}).select("ord", "pos", F.col("value").alias("message_id"), F.xxhash64("value").alias("h"))
     found = refs.join(nodes.withColumnRenamed("node", "parent"), "message_id")
