@@ -11,7 +11,8 @@ slabs of those.  A slab with very many points is cut into blocks, and each pair
 so no task holds an unbounded slab.  Inside a cell an R-tree is packed from the points and searched with all
 of them; a node is entered only if its bound reaches the overlap that the threshold needs.  Pairs that
 survive in a leaf are verified on their words (64-bit hashes of them), and a pair is reported only in the slab of its
-first common word, hence once.
+first common word, hence once.  Sets of very many words would be carried into very many slabs; they enter them by size and
+place only, and pairs with them are verified by joining the words back.
 
 Nothing is dropped: there are no caps on slabs, candidates or partners.  A record without words, or with a NULL number, is similar to none.
 """
@@ -34,9 +35,10 @@ GROUPS = 1 << 16
 BLOCK = 2_048
 #: Children of a tree node, and points of a leaf.
 FAN = 16
-#: Sets with more words are verified one by one instead of in padded arrays.
+#: Sets with more words enter their slabs without them; pairs with such a set are verified by a join.
 LONG = 64
-_ENTRY = "cell bigint, slab int, place int, id bigint, words array<bigint>"
+_ENTRY = "cell bigint, slab int, block int, place int, size int, id bigint, words array<bigint>"
+_PAIR = "a bigint, b bigint, sure boolean"
 
 
 def ad_words(subject: Column, sender: Column) -> Column:
@@ -129,12 +131,17 @@ def _cells(frequency: np.ndarray, rule: Rule, points: np.ndarray, block: int):
             other = np.arange(len(rep)) - np.repeat(np.cumsum(nb) - nb, nb)
             low, high = np.minimum(own[rep], other), np.maximum(own[rep], other)
             cell = (slab[rep].astype(np.int64) << 44) | (low << 22) | high
-            words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)).take(pa.array(row[rep]))
+            size = np.diff(offsets)
+            carried = np.where(size <= LONG, size, 0)
+            values = values[np.repeat(size <= LONG, size)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(carried)]).astype(np.int32)), pa.array(values))
+            size = size[row[rep]].astype(np.int32)
             for at in range(0, len(rep), 8_192):
                 to = at + 8_192
+                words = lists.take(pa.array(row[rep[at:to]]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell[at:to]), pa.array(slab[rep][at:to].astype(np.int32)), pa.array(place[rep][at:to].astype(np.int32)), pa.array(ids[rep][at:to]), words.slice(at, 8_192)],
-                    names=["cell", "slab", "place", "id", "words"],
+                    [pa.array(cell[at:to]), pa.array(slab[rep][at:to].astype(np.int32)), pa.array(own[rep][at:to].astype(np.int32)), pa.array(place[rep][at:to].astype(np.int32)), pa.array(size[at:to]), pa.array(ids[rep][at:to]), words],
+                    names=["cell", "slab", "block", "place", "size", "id", "words"],
                 )
 
     return run
@@ -145,33 +152,30 @@ class Points:
 
     def __init__(self, t: pa.Table, rule: Rule) -> None:
         self.rule = rule
-        self.cell, self.slab, self.place, self.id = (t.column(i).to_numpy() for i in range(4))
-        self.values, self.offsets = _lists(t.column(4).combine_chunks())
-        self.size = np.diff(self.offsets)
-        self.width = int(min(self.size.max(initial=1), LONG))
+        self.cell, self.slab, self.block, self.place, self.size, self.id = (t.column(i).to_numpy() for i in range(6))
+        self.values, self.offsets = _lists(t.column(6).combine_chunks())
+        self.size, held = self.size.astype(np.int64), np.diff(self.offsets)
+        # Two points of one block meet in the cell of that block with itself only.
+        self.mixed = (self.cell >> 22) & 0x3FFFFF != self.cell & 0x3FFFFF
+        self.width = int(held.max(initial=1))
         index = np.array([rule.index(n) if n else 0 for n in range(int(self.size.max(initial=0)) + 1)])
         self.indexed = self.place < index[self.size]
         at = self.offsets[:-1, None] + np.arange(self.width)
-        there = np.arange(self.width) < self.size[:, None]
+        there = np.arange(self.width) < held[:, None]
         self.pad = there
         self.words = np.where(there, self.values[np.minimum(at, max(0, len(self.values) - 1))], 0) if len(self.values) else np.zeros((len(self.id), self.width), np.int64)
 
-    def verified(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pairs of rows that are similar and whose first common word is that of their slab."""
+    def verified(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pairs of rows that are similar and whose first common word is that of their slab; pairs with a long set that may be similar are not sure."""
         swap = (self.size[i] > self.size[j]) | ((self.size[i] == self.size[j]) & (self.id[i] > self.id[j]))
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         a, b = self.size[i], self.size[j]
         need = self.rule.need(a + b)
         # Sizes; the smaller set's entry must be an index entry; and the words left after the slab's must suffice.
-        keep = (self.id[i] != self.id[j]) & (a >= need) & self.indexed[i] & (1 + np.minimum(a - self.place[i], b - self.place[j]) - 1 >= need)
+        keep = (self.id[i] != self.id[j]) & ~(self.mixed[i] & (self.block[i] == self.block[j])) & (a >= need) & self.indexed[i] & (1 + np.minimum(a - self.place[i], b - self.place[j]) - 1 >= need)
         i, j, need = i[keep], j[keep], need[keep]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        long = self.size[j] > self.width
-        for k in np.flatnonzero(long):
-            x, y = (self.values[self.offsets[r] : self.offsets[r + 1]] for r in (i[k], j[k]))
-            common = np.isin(x, y)
-            if common.sum() >= need[k] and x[np.argmax(common)] & (GROUPS - 1) == self.slab[i[k]]:
-                out.append((self.id[i[k : k + 1]], self.id[j[k : k + 1]]))
+        long = self.size[j] > LONG
+        out = [(self.id[i[long]], self.id[j[long]], np.zeros(long.sum(), bool))]
         i, j, need = i[~long], j[~long], need[~long]
         step = max(1, 2_000_000 // (self.width * self.width))
         for s in range(0, len(i), step):
@@ -181,18 +185,23 @@ class Points:
             good = common.sum(1) >= n
             first = self.words[p[good], common[good].argmax(1)] & (GROUPS - 1)
             at = np.flatnonzero(good)[first == self.slab[p[good]]]
-            out.append((self.id[p[at]], self.id[q[at]]))
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        x, y = (np.concatenate([o[k] for o in out]) for k in range(2))
-        return np.minimum(x, y), np.maximum(x, y)
+            out.append((self.id[p[at]], self.id[q[at]], np.ones(len(at), bool)))
+        x, y, sure = (np.concatenate([o[k] for o in out]) for k in range(3))
+        return np.minimum(x, y), np.maximum(x, y), sure
 
     def tree_pairs(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Candidate pairs of rows of one cell, by searching its R-tree with each of its points."""
         rows = np.arange(begin, end)
-        long = rows[self.size[rows] > self.width]
-        pairs = [(np.repeat(long, end - begin), np.tile(rows, len(long)))] if len(long) else []
-        rows = rows[self.size[rows] <= self.width]
+        t = float(self.rule.t)
+        long = rows[self.size[rows] > LONG]
+        pairs = []
+        for r in long:  # by size alone: its words are not here
+            near = rows[(self.size[rows] >= t * self.size[r] - 1e-6) & (self.size[rows] * t <= self.size[r] + 1e-6)]
+            near = near[(near > r) | (self.size[near] <= LONG)]
+            pairs.append((np.full(len(near), r), near))
+        rows = rows[self.size[rows] <= LONG]
+        if not len(rows):
+            return tuple(np.concatenate([p[k] for p in pairs]) for k in range(2))
         # Packing: points with the same next word lie side by side, then by size.
         nxt = self.words[rows, np.minimum(self.place[rows] + 1, self.width - 1)] & (GROUPS - 1)
         rows = rows[np.lexsort((self.size[rows], nxt))]
@@ -226,7 +235,6 @@ class Points:
         first[order[1:]] = flat[order[1:]] != flat[order[:-1]]
         own[held] = np.where(first, times[slot], 0)
         size = self.size[rows]
-        t = float(self.rule.t)
         for s in range(0, n, 512):
             point = np.repeat(np.arange(s, min(n, s + 512)), len(levels[-1][0]))
             node_at = np.tile(np.arange(len(levels[-1][0])), min(n, s + 512) - s)
@@ -251,10 +259,10 @@ class Points:
             pairs.append((rows[point[ahead]], rows[node_at[ahead]]))
         return tuple(np.concatenate([p[k] for p in pairs]) for k in range(2))
 
-    def search(self) -> tuple[np.ndarray, np.ndarray]:
+    def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cuts = np.flatnonzero(np.concatenate([[True], self.cell[1:] != self.cell[:-1], [True]])) if len(self.cell) else np.zeros(1, np.int64)
         begin, n = cuts[:-1], np.diff(cuts)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         left, right = [], []
         for k in np.unique(n):
             if 2 <= k <= FAN:  # a single leaf: all cells of this size at once
@@ -270,8 +278,8 @@ class Points:
             for s in range(0, len(i), 1_000_000):
                 found.append(self.verified(i[s : s + 1_000_000], j[s : s + 1_000_000]))
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return tuple(np.concatenate([f[k] for f in found]) for k in range(2))
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
 def _searched(threshold: float):
@@ -283,9 +291,9 @@ def _searched(threshold: float):
         rows = 0
 
         def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            a, b = Points(t, rule).search()
+            a, b, sure = Points(t, rule).search()
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], names=["a", "b", "sure"])
 
         for batch in batches:
             held.append(batch)
@@ -318,7 +326,16 @@ def similar_pairs(sets: DataFrame, threshold: float, block: int = BLOCK) -> Data
     for r in slabs:
         points[r["slab"]] = r["n"]
     entries = sets.mapInArrow(_cells(frequency, rule, points, block), _ENTRY)
-    return entries.repartition(tasks(spark), "cell").sortWithinPartitions("cell").mapInArrow(_searched(threshold), "a bigint, b bigint")
+    found = entries.repartition(tasks(spark), "cell").sortWithinPartitions("cell").mapInArrow(_searched(threshold), _PAIR)
+    if not sets.where(F.size("words") > LONG).limit(1).count():
+        return found.select("a", "b")
+    found = checkpoint(found)
+    left, right = (sets.select(F.col("id").alias(n), F.col("words").alias(w)) for n, w in (("a", "x"), ("b", "y")))
+    maybe = found.where("NOT sure").select("a", "b").distinct().join(left, "a").join(right, "b")
+    common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    t = rule.t
+    likely = maybe.where(common * (t.numerator + t.denominator) >= total * t.numerator)
+    return found.where("sure").select("a", "b").unionByName(likely.select("a", "b"))
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
