@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import leakage, lookalike, mixing, mojibake, neardup
+from threadloom.llm import leakage, lookalike, mixing, mojibake, neardup, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,4 +60,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
