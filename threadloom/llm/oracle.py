@@ -69,8 +69,20 @@ def _kinds() -> str:
     )
 
 
+def _leaks() -> str:
+    """Ten-word stretches in common.  Items are in Latin script, so every look-alike may be read as a Latin letter here."""
+    plain = f"lower(translate(translate(translate(nfc_normalize(text), {_q(L._WIDE + L.HARD_SPACE)}, {_q(L._NARROW + ' ' * len(L.HARD_SPACE))}), {_q(L.INVISIBLE)}, ''), {_q(''.join(L.LATIN_FOR))}, {_q(''.join(L.LATIN_FOR.values()))}))"
+
+    def grams(key: str, table: str) -> str:
+        words = f"SELECT {key}, regexp_extract_all({plain}, '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}"
+        return f"(SELECT DISTINCT {key}, array_to_string(w[i : i + 9], ' ') AS g FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - 9)) AS i FROM ({words}) WHERE len(w) >= 10))"
+
+    return f"SELECT DISTINCT doc_id, item_id FROM {grams('doc_id', 'documents')} JOIN {grams('item_id', 'eval_items')} USING (g)"
+
+
 def statements() -> dict[str, str]:
     return {
+        "p7_found": _leaks(),
         "p3_found": _pairs() + " SELECT ord_a, ord_b FROM p",
         "p3_groups": _pairs()
         + ", e AS MATERIALIZED (SELECT ord_a AS a, ord_b AS b FROM p UNION ALL SELECT ord_b, ord_a FROM p), r AS (SELECT ord AS a, ord AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) "
