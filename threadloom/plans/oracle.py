@@ -161,6 +161,42 @@ def _threads() -> str:
     )
 
 
+def _escaped(s: str, attribute: bool) -> str:
+    s = _sub(s, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]")
+    pairs = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")]
+    for a, b in pairs:
+        s = f"replace({s}, {_q(a)}, {_q(b)})"
+    for c, b in ((34, "&quot;"), (13, "&#13;"), (10, "&#10;"), (9, "&#9;")) if attribute else ():
+        s = f"replace({s}, chr({c}), {_q(b)})"
+    return s
+
+
+def _empty() -> str:
+    from threadloom.plans.manifests import DECLARATION, DOCTYPE, NAMESPACE
+
+    return f"'{DECLARATION}' || chr(10) || '{DOCTYPE}' || chr(10) || '<nzb xmlns=\"{NAMESPACE}\"/>' || chr(10)"
+
+
+def _documents(scope: str, date: int) -> str:
+    """Common table ``docs`` (scope, xml) after those of :func:`_sets`."""
+    from threadloom.plans.manifests import DECLARATION, DOCTYPE, NAMESPACE
+
+    text_id = f"regexp_replace({_strip('coalesce(message_id, ' + _q('') + ')')}, '(?s)^<(.*)>$', '\\1')"
+    same = " AND ".join(f"c.{k} = j.{k}" for k in [*scope.split(", "), "base", "m", "poster"])
+    nl = "' || chr(10) || '"
+    seg = f"'      <segment bytes=\"' || bytes || '\" number=\"' || number || CASE WHEN id = '' THEN '\"/>' ELSE '\">' || {_escaped('id', False)} || '</segment>' END || chr(10)"
+    file = (
+        f"'  <file poster=\"' || {_escaped('poster', True)} || '\" date=\"{date}\" subject=\"' || {_escaped('base', True)} || '\">{nl}    <groups>{nl}      <group>' || {_escaped('group_name', False)} || "
+        f"'</group>{nl}    </groups>{nl}    <segments>{nl}' || string_agg({seg}, '' ORDER BY number, pos, bytes, id) || '    </segments>{nl}  </file>{nl}'"
+    )
+    head = f"'{DECLARATION}{nl}{DOCTYPE}{nl}<nzb xmlns=\"{NAMESPACE}\">{nl}'"
+    return (
+        f", segs AS (SELECT c.*, n_right AS number, artnum AS pos, {text_id} AS id FROM (SELECT * REPLACE (coalesce(bytes, 0) AS bytes) FROM chosen) c JOIN judged j ON j.complete AND NOT j.is_program AND {same}), "
+        f"elements AS (SELECT {scope}, base, m, poster AS who, min(pos) AS first_pos, {file} AS xml FROM segs GROUP BY {scope}, base, m{'' if 'poster' in scope else ', poster'}), "
+        f"docs AS (SELECT {scope}, {head} || string_agg(xml, '' ORDER BY first_pos, base, m, who, xml) || '</nzb>{nl}' AS xml FROM elements GROUP BY {scope}) "
+    )
+
+
 def statements(asof_us: int, group: str) -> dict[str, str]:
     cols = "message_id, subject, from_addr, date_utc, bytes, artnum, group_name, ord"
     kept_named = _collection(KEPT)
@@ -242,6 +278,10 @@ def statements(asof_us: int, group: str) -> dict[str, str]:
         "manifest_totals": sets3
         + numbered.replace("{only}", "AND complete")
         + f"SELECT group_name, n_collections, coalesce(n_files, 0) AS n_files, n_collections - coalesce(n_files, 0) AS n_skipped FROM (SELECT group_name, count(*) AS n_collections FROM firsts GROUP BY group_name) LEFT JOIN (SELECT group_name, count(*) AS n_files FROM files GROUP BY group_name) USING (group_name)",
+        "manifest_single": _sets("group_name", f"(SELECT * FROM {KEPT} WHERE {_like('subject', 'yenc')})")
+        + _documents("group_name", asof_us // 1_000_000)
+        + f"SELECT group_name, 'yenc.nzb' AS file_name, coalesce(xml, {_empty()}) AS xml FROM (SELECT DISTINCT group_name FROM {KEPT} WHERE {_like('subject', 'yenc')}) LEFT JOIN docs USING (group_name)",
+        "manifest_grouped": sets3 + numbered.replace("{only}", "AND complete") + _documents(scope3, asof_us // 1_000_000) + f"SELECT d.group_name, f.file_name, d.xml FROM docs d JOIN ({files}) f USING ({scope3})",
         "age_days": f"SELECT ord, floor(({asof_us} - us) / CAST(86400000000.0 AS DOUBLE) * CAST(1000 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS age FROM {dated}",
         "date_boundaries": f"WITH g AS (SELECT group_name, coalesce(max(CASE WHEN ({asof_us} - us) / 86400000000.0 >= 200 THEN artnum END), min(artnum)) AS a, coalesce(min(CASE WHEN ({asof_us} - us) / 86400000000.0 <= 400 THEN artnum END), max(artnum)) AS b, min({asof_us} - us) / 86400000000.0 AS newest, max({asof_us} - us) / 86400000000.0 AS oldest FROM {dated} GROUP BY group_name) SELECT group_name, least(a, b) AS lower, greatest(a, b) AS upper FROM g WHERE newest <= 400 AND oldest >= 200",
         "chunk_plan": plan(1000, "last_article"),
