@@ -124,18 +124,19 @@ def _add_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _emit(acc, int(block or 0))
 
 
-def key_totals(df: DataFrame, key: str, amount: str, micros: str, dictionary: int = DICTIONARY, block_keys: int = BLOCK_KEYS) -> DataFrame:
+def key_totals(df: DataFrame, key: str, amount: str, micros: str, dictionary: int = DICTIONARY, block_keys: int = BLOCK_KEYS, keys: DataFrame | None = None) -> DataFrame:
     """``key, n_rows, total, first_us, last_us``: rows, sum of ``amount``, least and greatest ``micros`` of every key.
 
     NULL and the empty text are keys of their own.  NULL amounts count 0; a key without any ``micros``
     has NULL first and last.  Columns other than the three named are not read.  An empty table gives
-    no rows.  The block number is made from a count of the distinct keys, itself a mergeable sketch.
+    no rows.  The block number is made from a count of the distinct keys, itself a mergeable sketch; ``keys`` may name a
+    cheaper table with the same keys to count them in.
     """
     # Aliases keep the columns apart when two roles share one source column or clash in case.
     rows = df.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{amount}`").cast("bigint").alias("a"), F.col(f"`{micros}`").cast("bigint").alias("t"))
     partial = rows.mapInArrow(_split_arrays(dictionary), _PARTIAL)
     spark = df.sparkSession
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _sketch(df, key) // block_keys + 1)
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _sketch(df if keys is None else keys, key) // block_keys + 1)
     placed = partial.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     whole = placed.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(_add_blocks, _PARTIAL)
@@ -149,7 +150,7 @@ def _sketch(df: DataFrame, key: str) -> int:
 def poster_totals(articles: DataFrame) -> DataFrame:
     """``from_addr, n_rows, total_bytes, first_us, last_us`` of every poster (values of ``from_addr`` compared exactly)."""
     dated = with_utc_micros(articles.select("from_addr", "bytes", "date_utc"), "date_utc", "utc_us")
-    return key_totals(dated, "from_addr", "bytes", "utc_us").select(
+    return key_totals(dated, "from_addr", "bytes", "utc_us", keys=articles).select(
         F.col("key").alias("from_addr"), "n_rows", F.col("total").alias("total_bytes"), "first_us", "last_us"
     )
 

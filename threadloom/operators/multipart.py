@@ -20,22 +20,19 @@ def singles(df: DataFrame) -> DataFrame:
     return with_counters(df).where("m_left IS NULL")
 
 
-def _multi(parts: DataFrame, scope: list[str], total: str, name: str) -> DataFrame:
-    sets = parts.groupBy(*scope, "base", total, "poster").agg(F.count("*").alias("c"))
-    return sets.groupBy(*scope).agg(F.count_if(F.col("c") > 1).alias(name))
-
-
 def strategy(df: DataFrame, scope: list[str]) -> DataFrame:
     """Per scope: how many sets of more than one row either picker forms, and which is taken.
 
     Both pickers find a counter in the same rows, so only these numbers decide; the right one must be greater.
+    Rows are counted once per pair of totals before the two pickers part, so the table is read once.
     """
     parts = with_counters(df).where("m_left IS NOT NULL")
-    left, right = _multi(parts, scope, "m_left", "multi_left"), _multi(parts, scope, "m_right", "multi_right")
-    if not scope:
-        a, b = left.first()[0], right.first()[0]
-        return df.sparkSession.createDataFrame([(a, b, b > a)], "multi_left bigint, multi_right bigint, takes_right boolean")
-    return left.join(right, scope).withColumn("takes_right", F.col("multi_right") > F.col("multi_left"))
+    small = parts.groupBy(*scope, "base", "poster", "m_left", "m_right").agg(F.count("*").alias("c"))
+    both = F.array(F.struct(F.lit(False).alias("right"), F.col("m_left").alias("m")), F.struct(F.lit(True).alias("right"), F.col("m_right").alias("m")))
+    sides = small.select(*scope, "base", "poster", "c", F.inline(both)).groupBy(*scope, "right", "base", "m", "poster").agg(F.sum("c").alias("c"))
+    several = F.col("c") > 1
+    out = sides.groupBy(*scope).agg(F.count_if(several & ~F.col("right")).alias("multi_left"), F.count_if(several & F.col("right")).alias("multi_right"))
+    return out.withColumn("takes_right", F.col("multi_right") > F.col("multi_left"))
 
 
 def assign_sets(df: DataFrame, scope: list[str]) -> DataFrame:
@@ -56,10 +53,11 @@ def sets(df: DataFrame, scope: list[str], position: str = "artnum") -> DataFrame
     total costs nothing.
     """
     rows = assign_sets(df, scope)
-    part = F.when(F.col("n_right").between(1, F.col("m")), F.col("n_right"))
-    grouped = rows.groupBy(*scope, "base", "m", "poster").agg(
-        F.count("*").alias("n_rows"), F.count_distinct(part).alias("n_parts"), F.min(position).alias("first_pos"), F.sum(F.coalesce("bytes", F.lit(0))).alias("total_bytes")
-    )
+    keys = [*scope, "base", "m", "poster"]
+    # First per part number, then per set: both levels combine before their shuffle, and no row is doubled for a distinct count.
+    parts = rows.groupBy(*keys, "n_right").agg(F.count("*").alias("c"), F.min(position).alias("p"), F.sum(F.coalesce("bytes", F.lit(0))).alias("b"))
+    found = F.count_if(F.col("n_right").between(1, F.col("m")))
+    grouped = parts.groupBy(*keys).agg(F.sum("c").alias("n_rows"), found.alias("n_parts"), F.min("p").alias("first_pos"), F.sum("b").alias("total_bytes"))
     return grouped.withColumns(
         {
             "complete": (F.col("n_rows") >= F.col("m")) & (F.col("n_parts") == F.greatest(F.col("m"), F.lit(0))),

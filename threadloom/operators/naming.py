@@ -20,17 +20,20 @@ def collections(df: DataFrame, term: str | None = None) -> DataFrame:
     return rows.groupBy("group_name", "poster", "collection").agg(F.count("*").alias("n_rows"), first.alias("first"))
 
 
-def numbered_files(df: DataFrame, term: str | None = None, require_complete: bool = False) -> DataFrame:
-    """``group_name, poster, collection, file_name, n_sets`` of every collection that has a set to emit.
+def numbered(kept: DataFrame) -> DataFrame:
+    """``kept`` (collections with something to emit, and their ``first``) with ``file_name``.
 
     The second file of a name in a group gets ``_2``, and so on, in collection order; names that collide with a natural
     ``_2`` stay so.
     """
-    rows = with_collection(df, term)
-    scope = ["group_name", "poster", "collection"]
-    kept = multipart.emitted(rows, scope, require_complete).groupBy(*scope).agg(F.count("*").alias("n_sets"))
-    named = collections(df, term).join(kept, scope).withColumn("base_name", file_base(F.col("poster"), F.col("collection")))
+    named = kept.withColumn("base_name", file_base(F.col("poster"), F.col("collection")))
     n = F.row_number().over(Window.partitionBy("group_name", "base_name").orderBy("first"))
-    return named.withColumn("__n", n).select(
-        *scope, F.concat("base_name", F.when(F.col("__n") > 1, F.concat(F.lit("_"), F.col("__n"))).otherwise(""), F.lit(".nzb")).alias("file_name"), "n_sets"
-    )
+    suffix = F.when(F.col("__n") > 1, F.concat(F.lit("_"), F.col("__n"))).otherwise("")
+    return named.withColumn("__n", n).withColumn("file_name", F.concat("base_name", suffix, F.lit(".nzb"))).drop("__n", "base_name")
+
+
+def numbered_files(df: DataFrame, term: str | None = None, require_complete: bool = False) -> DataFrame:
+    """``group_name, poster, collection, file_name, n_sets`` of every collection that has a set to emit."""
+    scope = ["group_name", "poster", "collection"]
+    kept = multipart.emitted(with_collection(df, term), scope, require_complete).groupBy(*scope).agg(F.count("*").alias("n_sets"))
+    return numbered(collections(df, term).join(kept, scope)).select(*scope, "file_name", "n_sets")

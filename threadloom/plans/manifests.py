@@ -64,10 +64,17 @@ def _file(date: Column) -> Column:
 
 
 def files(df: DataFrame, scope: list[str], date: Column, require_complete: bool = False, position: str = "artnum") -> DataFrame:
-    """One row per file element: scope, poster, base, m, first position, xml.  The segments of one file meet in one row, as they do in the document."""
-    segs = segments(df, scope, require_complete, position)
-    rows = segs.groupBy(*scope, "base", "m", "poster").agg(F.array_sort(F.collect_list(F.struct("number", "pos", "bytes", "id"))).alias("segs"), F.min("pos").alias("first_pos"))
-    return rows.select(*scope, "poster", "base", "m", "first_pos", _file(date).alias("xml"))
+    """One row per file element: scope, poster, base, m, first position, xml.
+
+    The segments of one file meet in one row, as they do in the document, and completeness is judged there.
+    """
+    rows = multipart.assign_sets(df, scope).where(~F.endswith(F.lower("base"), F.lit(".exe")))
+    segment = F.struct(F.col("n_right").alias("number"), F.col(position).alias("pos"), F.coalesce("bytes", F.lit(0)).alias("bytes"), message_id_text(F.col("message_id")).alias("id"))
+    sets = rows.groupBy(*scope, "base", "m", "poster").agg(F.array_sort(F.collect_list(segment)).alias("segs"), F.min(position).alias("first_pos"))
+    if require_complete:
+        parts = F.size(F.array_distinct(F.filter(F.transform("segs", lambda s: s["number"]), lambda n: n.between(1, F.col("m")))))
+        sets = sets.where((F.size("segs") >= F.col("m")) & (parts == F.greatest(F.col("m"), F.lit(0))))
+    return sets.select(*scope, "poster", "base", "m", "first_pos", _file(date).alias("xml"))
 
 
 def document(parts: Column) -> Column:
@@ -97,8 +104,8 @@ def grouped(df: DataFrame, date: Column, subject_like: str | None = None, requir
     scope = ["group_name", "poster", "collection"]
     rows = naming.with_collection(hits, subject_like)
     made = files(rows, scope, date, require_complete).groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("first_pos", "base", "m", "xml"))).alias("f"))
-    names = naming.numbered_files(hits, subject_like, require_complete)
-    return made.join(names.select(*scope, "file_name"), scope).select("group_name", "file_name", document(F.transform("f", lambda x: x["xml"])).alias("xml"))
+    named = naming.numbered(naming.collections(hits, subject_like).join(made, scope))
+    return named.select("group_name", "file_name", document(F.transform("f", lambda x: x["xml"])).alias("xml"))
 
 
 def write(documents: DataFrame, folder: str, by_group: bool = False) -> None:
