@@ -37,6 +37,28 @@ def test_the_schedule_varies_over_time(spark):
     assert abs(sum(r["n_tokens"] for r in half) / sum(r["n_tokens"] for r in used) - 0.5) < 0.02, "weights sum to 1 at every moment"
 
 
+def test_given_schedules(spark):
+    """Weights 0, 0, 2, 0: nothing before a third of the way, most at two thirds."""
+    d, m = documents(spark, 4_000), spark.createDataFrame(TARGETS, M)
+    used = [r for r in mixing.mix(d, m, schedules={"tiny": [0, 0, 2, 0]}).collect() if r["source"] == "tiny"]
+    assert min(r["position"] for r in used) > 1 / 3 - 1e-6 and max(r["position"] for r in used) < 1
+    tokens = sum(r["n_tokens"] for r in used)
+    assert abs(sum(r["n_tokens"] for r in used if r["position"] < 2 / 3) / tokens - 0.5) < 0.02
+    assert mixing.integrated([1, 3]) == ([0.5, 1.5], [0.0, 1.0])
+    with pytest.raises(ValueError):
+        mixing.integrated([0, 0])
+
+
+def test_moments_invert_the_integral(spark):
+    weights, sums = mixing.integrated([0.0, 3.0, 1.0, 1.0, 0.0])
+    ys = [0.0, 0.01, 0.2, sums[1], 0.5, sums[2], 0.8, 0.99, 1.0]
+    df = spark.createDataFrame([(y, weights, sums) for y in ys], "y double, w array<double>, s array<double>")
+    for y, t in df.select("y", mixing.due_at(df.y, df.w, df.s)).collect():
+        k = min(int(t * 4), 3)
+        u = t - k / 4
+        assert sums[k] + weights[k] * u + (weights[k + 1] - weights[k]) * 4 * u * u / 2 == pytest.approx(y, abs=1e-9)
+
+
 def test_a_total_beyond_supply(spark):
     report = {r["source"]: r for r in mixing.shares(documents(spark), spark.createDataFrame(TARGETS, M), total=10**9).collect()}
     assert {s: report[s]["most_uses"] for s in ("big", "small", "tiny")} == {"big": 1, "small": 2, "tiny": 3}

@@ -1,8 +1,8 @@
 """A training order in which every source has its target share of the tokens.
 
 Sizes are tokens of a public tokenizer.  The curriculum varies over time: each source has a weight schedule,
-linear between knots, whose mean is its target share; at every moment the weights of all sources sum
-to 1.  Integrating a schedule gives the tokens that the source must have supplied by any moment; the
+linear between evenly spaced knots, whose mean is its target share.  The default schedules are ramps that sum
+to 1 at every moment; others can be given.  Integrating a schedule gives the tokens that the source must have supplied by any moment; the
 inverse of that integral gives the moment at which a document is due.  A document's training position is
 that moment for the middle of its tokens, and documents are range-sorted by position.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.session import checkpoint
@@ -80,8 +80,24 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS, tokenizer: str
     return rows.mapInArrow(_counted(f"{folder}/{tokenizer}", PATTERN, 2), "doc_id bigint, source string, n_tokens bigint")
 
 
-def plan(counts: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
-    """Per source: supply, renormalised share, tokens wanted, tokens that can be used (one row per source; sizes only)."""
+Schedules = dict[str, list[float]]
+
+
+def integrated(weights: list[float]) -> tuple[list[float], list[float]]:
+    """A schedule's weights scaled to mean 1, and its integral up to each knot (0 to 1).  Weights are not negative and not all 0."""
+    if len(weights) < 2 or min(weights) < 0 or max(weights) <= 0:
+        raise ValueError("a schedule has at least two weights, none negative and not all 0")
+    k = len(weights) - 1
+    pieces = [(a + b) / 2 / k for a, b in zip(weights, weights[1:])]
+    whole = sum(pieces)
+    sums = [0.0]
+    for p in pieces:
+        sums.append(sums[-1] + p / whole)
+    return [w / whole for w in weights], [*sums[:-1], 1.0]
+
+
+def plan(counts: DataFrame, targets: DataFrame, total: int | None = None, schedules: Schedules | None = None) -> DataFrame:
+    """Per source: supply, renormalised share, tokens wanted, tokens that can be used, schedule and its integral (one row per source; sizes only)."""
     supply = counts.groupBy("source").agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("n_docs"))
     clean = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     both = clean.join(supply, "source", "left").fillna(0, ["supply", "n_docs", "target_share", "max_repeats"])
@@ -99,9 +115,10 @@ def plan(counts: DataFrame, targets: DataFrame, total: int | None = None) -> Dat
     for r in rows:
         share = r["target_share"] / whole if r["able"] else 0.0
         slope = SWING * (usable.index(r) - mean) / spread if r["able"] else 0.0
+        weights, sums = integrated((schedules or {}).get(r["source"], [1 - slope, 1 + slope]))
         wanted = goal * share
-        out.append((r["source"], float(r["target_share"]), int(r["max_repeats"]), int(r["supply"]), int(r["n_docs"]), share, wanted, min(wanted, float(r["supply"] * r["max_repeats"])), slope))
-    fields = "source string, target_share double, max_repeats bigint, supply bigint, n_docs bigint, share double, wanted double, used double, slope double"
+        out.append((r["source"], float(r["target_share"]), int(r["max_repeats"]), int(r["supply"]), int(r["n_docs"]), share, wanted, min(wanted, float(r["supply"] * r["max_repeats"])), weights, sums))
+    fields = "source string, target_share double, max_repeats bigint, supply bigint, n_docs bigint, share double, wanted double, used double, weights array<double>, sums array<double>"
     return counts.sparkSession.createDataFrame(out, fields)
 
 
@@ -118,10 +135,23 @@ def running(counts: DataFrame) -> DataFrame:
     return rows.join(ahead, ["source", "__b"]).select("doc_id", "source", "n_tokens", (F.col("__a") + F.col("__i")).alias("before"))
 
 
-def _scheduled(documents: DataFrame, targets: DataFrame, total: int | None, folder: str) -> tuple[DataFrame, DataFrame]:
+def due_at(y: Column, weights: Column, sums: Column) -> Column:
+    """The moment at which a schedule's integral reaches ``y`` (0 to 1).
+
+    Within a piece the integral from its left knot is w u + d u^2 / 2; its inverse is written without cancellation.
+    """
+    k = F.greatest(F.lit(0), F.least(F.size(F.filter(sums, lambda c: c <= y)), F.size(sums) - 1) - 1)
+    n = F.size(sums) - 1
+    w, after = F.get(weights, k), F.get(weights, k + 1)
+    rest = y - F.get(sums, k)
+    low = w + F.sqrt(F.greatest(w * w + 2 * (after - w) * n * rest, F.lit(0.0)))
+    return k / n + F.when(low > 0, 2 * rest / low).otherwise(0.0)
+
+
+def _scheduled(documents: DataFrame, targets: DataFrame, total: int | None, folder: str, schedules: Schedules | None) -> tuple[DataFrame, DataFrame]:
     counts = checkpoint(token_counts(documents, folder))
-    sources = plan(counts, targets, total)
-    used = sources.where("used > 0").select("source", F.col("supply"), F.col("used"), F.col("wanted"), "max_repeats", "slope")
+    sources = plan(counts, targets, total, schedules)
+    used = sources.where("used > 0").select("source", "supply", "used", "wanted", "max_repeats", "weights", "sums")
     # One row per source of a mixture: sizes were computed from the collected plan, so the bound is proven.
     due = running(counts.where("n_tokens > 0")).join(F.broadcast(used), "source")
     passes = F.expr("sequence(0, least(max_repeats, bigint(ceil(used / supply))) - 1)")
@@ -129,24 +159,23 @@ def _scheduled(documents: DataFrame, targets: DataFrame, total: int | None, fold
     # The last document is the one whose middle still lies within the source's demand.
     copies = copies.where(F.col("start") + F.col("n_tokens") / 2 <= F.col("used"))
     y = (F.col("start") + F.col("n_tokens") / 2) / F.col("wanted")
-    a = F.col("slope")
-    # Integral of 1 + a (2 t - 1) is t + a (t^2 - t); its inverse at y.
-    t = F.when(F.abs(a) < 1e-9, y).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * y) - (1 - a)) / (2 * a))
-    return copies.select("doc_id", "source", F.col("repeat").cast("bigint").alias("repeat"), "n_tokens", t.alias("position")), sources
+    at = due_at(F.col("y"), F.col("weights"), F.col("sums"))
+    copies = copies.withColumn("y", y)
+    return copies.select("doc_id", "source", F.col("repeat").cast("bigint").alias("repeat"), "n_tokens", at.alias("position")), sources
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, folder: str = TOKENIZERS) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, folder: str = TOKENIZERS, schedules: Schedules | None = None) -> DataFrame:
     """``doc_id, source, repeat, n_tokens, position``: every use of a document with its training position in [0, 1], in that order.
 
     Documents with no tokens or no source, and of sources without target, are not used; an empty table or empty targets
     give no rows.  Ties of position go by doc_id and repeat.
     """
-    return _scheduled(documents, targets, total, folder)[0].orderBy("position", "doc_id", "repeat")
+    return _scheduled(documents, targets, total, folder, schedules)[0].orderBy("position", "doc_id", "repeat")
 
 
-def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, folder: str = TOKENIZERS) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, folder: str = TOKENIZERS, schedules: Schedules | None = None) -> DataFrame:
     """Per listed source: target share, share wanted of the sources that occur, tokens used, share really reached, uses of the most used document."""
-    used, sources = _scheduled(documents, targets, total, folder)
+    used, sources = _scheduled(documents, targets, total, folder, schedules)
     used = checkpoint(used)
     got = used.groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"), F.count("*").alias("n_uses"), (F.max("repeat") + 1).alias("most_uses"))
     whole = used.agg(F.sum("n_tokens")).first()[0] or 1
