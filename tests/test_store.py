@@ -63,3 +63,22 @@ def test_range_choice(tmp_path):
     none = config.load(str(tmp_path / "missing.ini"))
     assert ranges.resolve_range(none, (1, 2), lambda a, b: (9, 3)) == (1, 2)
     assert ranges.resolve_range(config.Settings(min_days=1, max_days=2), (1, 2), lambda a, b: (9, 3)) == (3, 9)
+
+
+def test_tables_in_a_catalog(spark):
+    for _ in range(2):  # the second call finds them there
+        store.ensure_tables(spark)
+    assert spark.table("articles").columns[-1] == "group_name" and len(spark.table("articles").columns) == 10
+    assert spark.table("newsgroups").count() == 0
+    for t in ("articles", "newsgroups"):
+        spark.sql(f"DROP TABLE {t}")
+
+
+def test_catalog_lines_replace(spark):
+    from pyspark.sql import functions as F
+
+    cols = "group_name string, first_article bigint, last_article bigint, article_count bigint, status_flag string"
+    old = spark.createDataFrame([("a", 1, 5, 5, "y"), ("b", 1, 1, 1, None)], cols).withColumn("last_updated", F.lit("2020-01-01").cast("timestamp"))
+    new = spark.createDataFrame([("a", 2, 6, 5, "m", 1), ("a", 3, 7, 5, "n", 2), ("c", 1, 0, 0, "y", 3)], cols + ", ord bigint")
+    got = {r["group_name"]: (r["first_article"], r["status_flag"], r["last_updated"].year) for r in store.replace_groups(old, new, F.lit("2024-01-01").cast("timestamp")).collect()}
+    assert got == {"a": (3, "n", 2024), "b": (1, None, 2020), "c": (1, "y", 2024)}

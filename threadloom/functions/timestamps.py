@@ -111,7 +111,8 @@ def with_utc_micros(df: DataFrame, text: str, out: str, local_zone: str = "Europ
     at = {f: i + 1 for i, f in enumerate([*_FIELDS, "e"])}
     written = F.when(F.length(F.col(f"`{text}`")) <= LONGEST, F.col(f"`{text}`"))
     cut = F.split(F.regexp_replace(written, _PATTERN, _RECORD), r"\|")
-    df = df.withColumn(tmp, F.when((F.size(cut) == len(at) + 2) & (F.get(cut, F.lit(0)) == "\u0001"), cut))
+    df = df.withColumn(tmp, cut)
+    df = df.withColumn(tmp, F.when((F.size(tmp) == len(at) + 2) & (F.get(F.col(tmp), F.lit(0)) == "\u0001"), F.col(tmp)))
     part = lambda f: F.nullif(F.get(F.col(tmp), F.lit(at[f])), F.lit(""))
     num = lambda f: part(f).try_cast("bigint")
 

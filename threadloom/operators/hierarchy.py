@@ -132,7 +132,9 @@ def solve(links: DataFrame, bound: int = BOUND, parts: int | None = None) -> Dat
         for out in reversed(taken):
             solved = checkpoint(solved.unionByName(_expand(out, solved)))
     done = local.where("looped")
-    return done.unionByName(_expand(local.where("NOT looped"), solved.unionByName(done)))
+    # A top may lie on a loop that another partition closed by itself, or be led there by the tops above it.
+    known = solved.where("looped").unionByName(_expand(solved.where("NOT looped"), done)).unionByName(done)
+    return done.unionByName(_expand(local.where("NOT looped"), known))
 
 
 def reply_links(articles: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -120,7 +120,7 @@ def _classes(data: np.ndarray) -> np.ndarray:
 def _walk(m: Machine, cls: np.ndarray, begin: int, end: int, state: int, row: int, events: list) -> int:
     step, event = m.step, m.event
     for i in range(begin, end):
-        code = state * N_CLASSES + cls[i]
+        code = state * N_CLASSES + int(cls[i])
         state = int(step[code])
         if event[code]:
             events.append((row, i, int(event[code])))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from threadloom.functions.text import clean_text
 from threadloom.operators.ranges import plan_chunks
@@ -126,48 +126,55 @@ def read_chunk(options: dict[str, str], chunk: Chunk) -> Iterator[tuple]:
     yield from rows
 
 
+def group_names(options: dict[str, str]) -> list[str]:
+    return [g.strip() for g in options["group"].split(",") if g.strip()]
+
+
+def batches(options: dict[str, str], chunk: Chunk) -> Iterator[pa.RecordBatch]:
+    rows = list(read_chunk(options, chunk))
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = [pa.int64() if n in ("artnum", "bytes", "lines") else pa.string() for n in names]
+    for at in range(0, len(rows), 10_000):
+        part = list(zip(*rows[at : at + 10_000]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds)], names=names)
+
+
 class OverviewReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for group in [g.strip() for g in self.options["group"].split(",") if g.strip()]:
+        for group in group_names(self.options):
             _, first, last = transport(self.options).bounds(group)
             lo, hi = int(self.options.get("start") or 0) or first, int(self.options.get("end") or 0) or last
             out += [Chunk(group, s, e) for s, e in plan_chunks(lo, hi, int(self.options.get("limit", "0")), int(self.options.get("chunk", "100000")))]
         return out or [Chunk("", 1, 0)]
 
     def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
-        if not partition.group:
-            return
-        rows = list(read_chunk(self.options, partition))
-        for at in range(0, len(rows), 10_000):
-            part = list(zip(*rows[at : at + 10_000]))
-            kinds = [pa.int64() if i in (1, 7, 8) else pa.string() for i in range(11)]
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds)], names=names)
+        if partition.group:
+            yield from batches(self.options, partition)
 
 
-class OverviewStream(SimpleDataSourceStreamReader):
-    """New articles of one group, at most ``chunk`` per batch; the offset is the next article number."""
+class OverviewStream(DataSourceStreamReader):
+    """New articles of the groups; the offset holds the next article number of each.  A batch is read in chunks on the executors."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.options = options
 
     def initialOffset(self) -> dict:
         start = int(self.options.get("start") or 0)
-        return {"next": start or transport(self.options).bounds(self.options["group"])[1]}
+        return {g: start or transport(self.options).bounds(g)[1] for g in group_names(self.options)}
+
+    def latestOffset(self) -> dict:
+        return {g: transport(self.options).bounds(g)[2] + 1 for g in group_names(self.options)}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        last = transport(self.options).bounds(self.options["group"])[2]
-        end = min(last, start["next"] + int(self.options.get("chunk", "100000")) - 1)
-        if end < start["next"]:
-            return iter([]), start
-        return read_chunk(self.options, Chunk(self.options["group"], start["next"], end)), {"next": end + 1}
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        chunk = int(self.options.get("chunk", "100000"))
+        return [Chunk(g, a, b) for g, to in end.items() for a, b in plan_chunks(start.get(g, 1), to - 1, 0, chunk)]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return read_chunk(self.options, Chunk(self.options["group"], start["next"], end["next"] - 1))
+    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
+        yield from batches(self.options, partition)
 
 
 class OverviewSource(DataSource):
@@ -181,7 +188,7 @@ class OverviewSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return OverviewReader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return OverviewStream(dict(self.options))
 
 

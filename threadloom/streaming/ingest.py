@@ -14,11 +14,11 @@ def read_stream(spark: SparkSession, **options: str) -> DataFrame:
     return spark.readStream.format("overview").options(**options).load()
 
 
-def follow(spark: SparkSession, path: str, checkpoint: str, once: bool = True, **options: str):
-    """Insert what is new into the table at ``path``; a batch that is run again adds nothing, since stored rows win."""
+def follow(spark: SparkSession, table: str, checkpoint: str, once: bool = True, **options: str):
+    """Insert what is new into the Parquet table at ``table``; a batch that is run again adds nothing, since stored rows win."""
 
     def insert(batch: DataFrame, _: int) -> None:
-        upsert_headers(batch.where("artnum IS NOT NULL").select(*ARTICLES.names), path)
+        upsert_headers(batch.where("artnum IS NOT NULL").select(*ARTICLES.names), table)
 
     writer = read_stream(spark, **options).writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
