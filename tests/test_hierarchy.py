@@ -30,7 +30,7 @@ def test_compress(seed):
     n = int(rng.integers(0, 60))
     node = rng.permutation(100)[:n]
     top = rng.integers(0, 100, n) if seed % 2 else np.minimum(node + rng.integers(1, 5, n), 99)
-    t, h, loop = compress(node, top, np.ones(n, np.int64))
+    t, h, _, loop = compress(node, top, np.ones(n, np.int64))
     want = solved({int(a): int(b) for a, b in zip(node, top)})
     assert {int(a): (int(b), int(c)) for a, b, c in zip(node, t, h)} == want
     assert [bool(x) for x in loop] == [want[int(a)][1] == -1 for a in node]
@@ -51,14 +51,14 @@ def forest(seed, n=160):
     return parent, rows
 
 
-@pytest.mark.parametrize("seed, bound", [(1, 1_000), (2, 3), (3, 0)])
+@pytest.mark.parametrize("seed, bound", [(1, 1_000), (2, 3), (3, 0), (4, 0), (5, 5)])
 def test_roots(spark, seed, bound):
     parent, data = forest(seed)
     rng = random.Random(seed)
     data = [(1_000 - i, m, r) for i, m, r in data]
     rng.shuffle(data)
     df = spark.createDataFrame(data, COLS).repartition(5)
-    assert {r[0]: (r[1], r[2]) for r in thread_roots(df, max(bound, 1)).collect()} == solved(parent)
+    assert {r[0]: (r[1], r[2]) for r in thread_roots(df, bound).collect()} == solved(parent)
 
 
 def test_a_long_chain_and_a_long_loop(spark):
@@ -68,6 +68,23 @@ def test_a_long_chain_and_a_long_loop(spark):
     assert all(got[f"<{i:04}>"] == ("<0000>", i) for i in range(1, n)) and all(got[f"<L{i:04}>"] == ("<L0000>", -1) for i in range(n))
 
 
+@pytest.mark.parametrize("bound", [0, 4, 1_000])
+def test_a_loop_over_several_partitions(spark, bound):
+    """All share their first reference, so partitions hold long stretches; the least id is inside one of them."""
+    n = 240
+    data = [(i, f"<{(i + 97) % n:03}>", f"<none> <{(i + 98) % n:03}>") for i in range(n)] + [(n + i, f"<t{i:03}>", f"<none> <{'t' if i else ''}{max(i - 1, 0):03}>") for i in range(60)]
+    got = {r[0]: (r[1], r[2]) for r in thread_roots(spark.createDataFrame(data, COLS), bound).collect()}
+    assert len(got) == n + 60 and set(got.values()) == {("<000>", -1)}
+
+
+@pytest.mark.parametrize("bound", [0, 1_000])
+def test_a_deep_path_over_several_partitions(spark, bound):
+    n = 200
+    df = spark.createDataFrame([(i, f"<{i:03}>", f"<000> <{i - 1:03}>" if i else None) for i in range(n)], COLS)
+    for r in thread_trees(df, bound).collect():
+        assert r["path"] == [f"<{i:03}>" for i in range(r["depth"] + 1)] and r["n_descendants"] == n - 1 - r["depth"]
+
+
 def test_trees(spark):
     parent, data = forest(5, 60)
     df = spark.createDataFrame(data, COLS)

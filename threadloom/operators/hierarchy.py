@@ -26,32 +26,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.packed import explode_packed
-from threadloom.session import checkpoint, tasks
+from threadloom.session import checkpoint, tasks, written
 
 #: Links that one task may hold in the last merge (three 64-bit numbers each).
 BOUND = 1_000_000
 #: Partitions merged into one per level.
 FAN_IN = 8
 
-_SOLVED = "node bigint, top bigint, hops bigint, looped boolean"
+_SOLVED = "node bigint, top bigint, hops bigint, least bigint, looped boolean"
 
 
-def compress(node: np.ndarray, top: np.ndarray, hops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weighted union-find over the links of one partition: each node's last reachable top, its offset, and whether the walk loops.
+def compress(node: np.ndarray, top: np.ndarray, hops: np.ndarray, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted union-find over the links of one partition: each node's last reachable top, its offset, the least node on the way there, and whether the walk loops.
 
-    For a looping walk the top is the least node of the loop and the offset -1.  ``node`` has no repeats.
+    ``least`` is the least node that a link stands for (itself, and what was contracted into it).  For a looping walk the top is
+    the least node of the loop and the offset -1.  ``node`` has no repeats.
     """
     n = len(node)
+    top, hops, least = top.copy(), hops.copy(), (node if least is None else least).copy()
+    if not n:
+        return top, hops, least, np.zeros(0, bool)
     order = np.argsort(node, kind="stable")
     keys = node[order]
-    place = np.searchsorted(keys, top)
-    place[place == n] = 0
-    own = keys[place] == top if n else np.zeros(0, bool)
-    nxt = np.where(own, order[place] if n else 0, -1)
-    top, hops, least = top.copy(), hops.copy(), node.copy()
-    if n:
-        least = np.minimum(node, np.where(own, top, node))
-    for _ in range(max(1, int(n).bit_length()) + 1):
+    place = np.minimum(np.searchsorted(keys, top), n - 1)
+    nxt = np.where(keys[place] == top, order[place], -1)
+    for _ in range(int(n).bit_length() + 1):
         live = np.flatnonzero(nxt >= 0)
         if not len(live):
             break
@@ -59,10 +58,9 @@ def compress(node: np.ndarray, top: np.ndarray, hops: np.ndarray) -> tuple[np.nd
         hops_, top_, nxt_, least_ = hops[live] + hops[to], top[to], nxt[to], np.minimum(least[live], least[to])
         hops[live], top[live], nxt[live], least[live] = hops_, top_, nxt_, least_
     looped = nxt >= 0
-    # After more than n steps a looping walk stands on the loop itself, and the minimum over the
-    # walk from there on is the minimum of the loop.
+    # After more than n steps a looping walk stands on the loop itself, and the least node from there on is that of the loop.
     top[looped], hops[looped] = least[nxt[looped]], -1
-    return top, hops, looped
+    return top, hops, least, looped
 
 
 def _compress_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,26 +68,31 @@ def _compress_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
     if not got:
         return
     t = pa.Table.from_batches(got)
-    node, top, hops = (t.column(i).to_numpy() for i in range(3))
-    top, hops, looped = compress(node, top, hops)
+    node, top, hops, least = (t.column(i).to_numpy() for i in range(4))
+    columns = node, *compress(node, top, hops, least)
     for at in range(0, len(node), 100_000):
-        to = at + 100_000
-        yield pa.RecordBatch.from_arrays([pa.array(node[at:to]), pa.array(top[at:to]), pa.array(hops[at:to]), pa.array(looped[at:to])], names=["node", "top", "hops", "looped"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["node", "top", "hops", "least", "looped"])
 
 
-def _mate(links: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """One random-mate round: links taken out of the forest, and the shorter links that stay."""
+_LINK = ["node", "top", "hops", "least"]
+
+
+def _mate(links: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One random-mate round: links taken out of the forest, loops shrunk to one node (solved), and the shorter links that stay."""
 
     def coin(c: str) -> Column:
         return F.pmod(F.xxhash64(F.col(c), F.lit(seed)), F.lit(2)) == 0
 
     out = links.where(coin("node") & ~coin("top"))
     rest = links.where(~(coin("node") & ~coin("top")))
-    to = out.select(F.col("node").alias("__n"), F.col("top").alias("__t"), F.col("hops").alias("__h"))
-    rest = rest.join(to, F.col("top") == F.col("__n"), "left").select(
-        "node", F.coalesce("__t", "top").alias("top"), (F.col("hops") + F.coalesce("__h", F.lit(0))).alias("hops"), "place"
+    to = out.select(F.col("node").alias("__n"), F.col("top").alias("__t"), F.col("hops").alias("__h"), F.col("least").alias("__l"))
+    rest = written(
+        rest.join(to, F.col("top") == F.col("__n"), "left").select(
+            "node", F.coalesce("__t", "top").alias("top"), (F.col("hops") + F.coalesce("__h", F.lit(0))).alias("hops"), F.least("least", F.coalesce("__l", "least")).alias("least"), "place"
+        )
     )
-    return checkpoint(out), checkpoint(rest)
+    loops = rest.where("node = top").select("node", F.col("least").alias("top"), F.lit(-1).cast("bigint").alias("hops"), "least", F.lit(True).alias("looped"))
+    return written(out), loops, rest.where("node <> top")
 
 
 def _expand(part: DataFrame, solved: DataFrame) -> DataFrame:
@@ -100,37 +103,34 @@ def _expand(part: DataFrame, solved: DataFrame) -> DataFrame:
         "node",
         F.coalesce("__t", "top").alias("top"),
         F.when(looped, F.lit(-1)).otherwise(F.col("hops") + F.coalesce("__h", F.lit(0))).cast("bigint").alias("hops"),
+        "least",
         looped.alias("looped"),
     )
 
 
 def solve(links: DataFrame, bound: int = BOUND, parts: int | None = None) -> DataFrame:
-    """``node, top, hops, looped`` for links ``node, top, hops, place`` (one per node; ``place`` brings a tree together)."""
-    spark = links.sparkSession
-    parts = parts or tasks(spark)
-    local = checkpoint(links.repartitionByRange(parts, "place", "node").select("node", "top", "hops").mapInArrow(_compress_batches, _SOLVED)) if parts > 1 else None
-    if local is None:
-        return links.select("node", "top", "hops").coalesce(1).mapInArrow(_compress_batches, _SOLVED)
+    """``node, top, hops, least, looped`` for links ``node, top, hops, least, place`` (one per node; ``place`` brings a tree together)."""
+    parts = parts or tasks(links.sparkSession)
+    if parts == 1:
+        return links.select(*_LINK).coalesce(1).mapInArrow(_compress_batches, _SOLVED)
+    local = checkpoint(links.repartitionByRange(parts, "place", "node").select(*_LINK).mapInArrow(_compress_batches, _SOLVED))
     tops = local.where("NOT looped").select(F.col("top").alias("node")).distinct()
-    open_ = local.where("NOT looped").join(tops, "node", "left_semi").select("node", "top", "hops", F.col("top").alias("place"))
-    open_ = checkpoint(open_)
+    open_ = checkpoint(local.where("NOT looped").join(tops, "node", "left_semi").select(*_LINK, F.col("top").alias("place")))
     n = open_.count()
     taken: list[DataFrame] = []
-    if n == 0:
-        solved = local.limit(0)
-    elif n <= bound:
-        solved = solve(open_, bound, 1)
-    else:
-        total = local.count()
-        if n > total // 2:
-            seed = 0
-            while n > bound:
-                out, open_ = _mate(open_, seed)
-                taken.append(out)
-                seed, n = seed + 1, open_.count()
-        solved = solve(open_, bound, 1 if n <= bound else max(1, parts // FAN_IN))
-        for out in reversed(taken):
-            solved = checkpoint(solved.unionByName(_expand(out, solved)))
+    loops: list[DataFrame] = []
+    if n > bound and n > local.count() // 2:
+        seed = 0
+        while n > bound:
+            out, closed, open_ = _mate(open_, seed)
+            taken.append(out)
+            loops.append(closed)
+            seed, n = seed + 1, open_.count()
+    solved = local.limit(0) if n == 0 else solve(open_, bound, 1 if n <= bound else max(2, parts // FAN_IN))
+    for closed in loops:
+        solved = solved.unionByName(closed)
+    for out in reversed(taken):
+        solved = written(solved.unionByName(_expand(out, solved)))
     done = local.where("looped")
     # A top may lie on a loop that another partition closed by itself, or be led there by the tops above it.
     known = solved.where("looped").unionByName(_expand(solved.where("NOT looped"), done)).unionByName(done)
@@ -148,7 +148,7 @@ def reply_links(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
     refs = explode_packed(articles, "ord", {"refs": "angle"}).select("ord", "pos", F.col("value").alias("message_id"), F.xxhash64("value").alias("h"))
     found = refs.join(nodes.withColumnRenamed("node", "parent"), "message_id")
     last = found.groupBy(F.col("ord").alias("node")).agg(F.max(F.struct("pos", "parent")).alias("p"), F.min(F.struct("pos", "h")).alias("f"))
-    links = last.join(nodes.select("node"), "node", "left_semi").select("node", F.col("p.parent").alias("top"), F.lit(1).cast("bigint").alias("hops"), F.col("f.h").alias("place"))
+    links = last.join(nodes.select("node"), "node", "left_semi").select("node", F.col("p.parent").alias("top"), F.lit(1).cast("bigint").alias("hops"), F.col("node").alias("least"), F.col("f.h").alias("place"))
     return nodes, links
 
 
@@ -161,8 +161,8 @@ def loop_roots(solved: DataFrame, links: DataFrame, nodes: DataFrame, bound: int
     ids = solved.where("looped").select("node").join(nodes, "node").orderBy("message_id")
     ranked = checkpoint(ids.withColumn("rank", F.monotonically_increasing_id()))
     up = ranked.select(F.col("node").alias("top"), F.col("rank").alias("top_rank"))
-    again = links.join(ranked.select("node", "rank"), "node").join(up, "top")
-    solved = solve(again.select(F.col("rank").alias("node"), F.col("top_rank").alias("top"), "hops", F.col("rank").alias("place")), bound)
+    again = links.drop("least").join(ranked.select("node", "rank"), "node").join(up, "top")
+    solved = solve(again.select(F.col("rank").alias("node"), F.col("top_rank").alias("top"), "hops", F.col("rank").alias("least"), F.col("rank").alias("place")), bound)
     roots = ranked.select(F.col("rank").alias("top"), F.col("message_id").alias("root_id"))
     back = ranked.select(F.col("rank").alias("__r"), F.col("node").alias("__n"))
     return solved.join(roots, "top").join(back, F.col("node") == F.col("__r")).select(F.col("__n").alias("node"), "root_id", "hops")
@@ -226,7 +226,7 @@ def ancestors(links: DataFrame, parts: int | None = None, bound: int = BOUND) ->
     n = open_.count()
     if n == 0:
         return local.select("node", "up")
-    chains = ancestors(open_, 1 if n <= bound else max(2, parts // FAN_IN), bound)
+    chains = ancestors(open_, 1, bound) if n <= bound else _doubled(open_)
     # A top's own segment and those of its tops, put one after the other in walking order.
     steps = chains.select("node", F.posexplode(F.concat(F.array("node"), "up")).alias("k", "at"))
     joined = steps.join(local.select(F.col("node").alias("at"), "up"), "at").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "up"))).alias("s"))
@@ -234,6 +234,17 @@ def ancestors(links: DataFrame, parts: int | None = None, bound: int = BOUND) ->
     return local.join(whole, F.col("top") == F.col("__n"), "left").select("node", F.concat("up", F.coalesce("__u", F.array().cast("array<bigint>"))).alias("up"))
 
 
+def _doubled(links: DataFrame) -> DataFrame:
+    """``node, up`` by path doubling: as many joins as the depth has binary digits, however many links there are."""
+    now = links.select("node", "top", F.array("top").alias("up"))
+    while True:
+        above = now.select(F.col("node").alias("__n"), F.col("top").alias("__t"), F.col("up").alias("__u"))
+        both = written(now.join(above, F.col("top") == F.col("__n"), "left"))
+        if not both.where("__n IS NOT NULL").limit(1).count():
+            return now.select("node", "up")
+        now = both.select("node", F.coalesce("__t", "top").alias("top"), F.concat("up", F.coalesce("__u", F.array().cast("array<bigint>"))).alias("up"))
+
+
 def thread_trees(articles: DataFrame, bound: int = BOUND) -> DataFrame:
     """``message_id, root_id, depth, path, n_descendants`` of every message (also of roots and of messages in loops).
 

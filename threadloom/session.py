@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder.
+
+    For loops: a checkpoint keeps the size estimate of the plan that it replaces, and over many rounds of joins the estimates
+    multiply without end; a table's estimate is its size.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tasks(spark: SparkSession) -> int:
     """Number of partitions that a wide operator should use."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
