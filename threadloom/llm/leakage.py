@@ -18,7 +18,6 @@ documents are reported each under their own id.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.lookalike import canonical_text
-from threadloom.session import checkpoint_dir
+from threadloom.session import written
 
 #: Items searched at a time.
 BLOCK = 10_000
@@ -43,14 +42,6 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
 def _segments(terms: list[str], least: int):
     """doc, words -> segments.  Documents with fewer than ``least`` postings can hold no passage and are left out."""
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.session import checkpoint, tasks
+from threadloom.session import checkpoint, tasks, written
 
 #: Word groups; the histogram over them (one number each) is the only thing that goes to the driver.
 GROUPS = 1 << 16
@@ -361,7 +361,7 @@ def similar_rows(rows: DataFrame, threshold: float) -> DataFrame:
 
 def components(pairs: DataFrame) -> DataFrame:
     """``node, root``: connected components of an undirected graph (a, b) by large-star and small-star steps; the root is the least node."""
-    edges = checkpoint(pairs.select("a", "b"))
+    edges = written(pairs.select("a", "b"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -370,7 +370,7 @@ def components(pairs: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("m").alias("x"), F.col("b").alias("y")).where("x <> y").unionByName(low.select(F.col("m").alias("x"), F.col("a").alias("y"))).distinct()
-        edges = checkpoint(small.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        edges = written(small.select(F.col("x").alias("a"), F.col("y").alias("b")))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
