@@ -53,3 +53,16 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, long, None, "q", 1), (1, "YsÃ¶lde", None, "q", 1), (None, "YsÃ¶lde", None, "q", 1), (2, "Ã¶" * 20_000, None, "q", 1)], COLS + ", word string, field int")
     assert {tuple(r) for r in damaged_fields(df).collect()} == {(1, "subject"), (None, "subject"), (2, "subject")}
     assert damaged_fields(df.limit(0)).count() == 0 and restored_fields(df.limit(0)).count() == 0
+
+
+def test_words_that_look_clean_after_damage(spark):
+    plain = [(i, "теплый вечер у старого дома", "новый сад за рекой") for i in range(20)] + [(50, "ВНИМАНИЕ ВСЕМ", None)]
+    turned = garbled("рекодом старелый", "koi8r-cp1251")  # capitals that read clean, of words met nowhere else
+    part = garbled("Вечерадом рекоста", "koi8r-cp1251")  # its first word is odd, its second reads clean
+    assert all(verdict(w) == CLEAN for w in turned.split()) and [verdict(w) == CLEAN for w in part.split()] == [False, True]
+    latin = [(100 + i, "Žluťoučký kuň řeka kočka", None) for i in range(20)]
+    half = garbled("řekočka Žluřeťka", "latin2-latin1")
+    df = spark.createDataFrame(plain + latin + [(60, turned, None), (61, None, part), (62, half, None)], COLS)
+    assert {tuple(r) for r in damaged_fields(df).collect()} == {(60, "subject"), (61, "from_addr"), (62, "subject")}
+    got = {r["ord"]: (r["restored"], r["whole"]) for r in restored_fields(df).collect()}
+    assert got == {60: ("рекодом старелый", True), 61: ("Вечерадом рекоста", True), 62: ("řekočka Žluřeťka", True)}

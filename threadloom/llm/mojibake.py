@@ -5,8 +5,10 @@ word is judged once.  From the distinct clean words, and from their runs of non-
 garbled forms under every encoding chain are generated; the corpus words are hash-joined with that
 table.  A word that is the garbled form of a clean corpus word is damaged, and the clean word is its
 original.  A word never met undamaged is restored through its garbled runs, if one chain explains
-all of them and the outcome reads as clean text.  Words with a replacement character are damaged
-beyond repair.
+all of them and the outcome reads as clean text.  A word in Cyrillic capitals that a chain makes of small
+letters is damaged where the small letters are far more usual.  The words beside a damaged one, though they look
+clean, are led back through its chain where that makes them more usual.  Words with a replacement character
+are damaged beyond repair.
 
 The generation is verified by construction: a form is in the table only if the chain leads from the clean
 word to exactly that form.  NULL and empty values hold no damage.
@@ -211,19 +213,39 @@ def undone(word: str, chain: str) -> str | None:
     return text if text != word and garbled(text, chain) == word else None
 
 
+def _usual(pairs: dict[str, int]):
+    """How usual the letter pairs of a text are: their mean log frequency."""
+    total = sum(pairs.values()) + 1
+
+    def usual(text: str) -> float:
+        two = [a + b for a, b in zip(" " + text, text + " ") if ord(a) > 127 or ord(b) > 127]
+        return sum(math.log((pairs.get(x.lower(), 0) + 0.01) / total) for x in two) / max(1, len(two))
+
+    return usual
+
+
+#: Capitals that these chains make of small Cyrillic letters read clean.
+TURNING = ("cp1251-koi8r", "koi8r-cp1251")
+#: Gain in mean log frequency of its letter pairs from which a word in capitals that stands alone counts as damaged.
+GAIN = 2.0
+_CAPITAL = re.compile(r"[\u0400-\u042f]")
+
+
+def _turned(word: str) -> bool:
+    """Whether the word has Cyrillic capitals and no small letters."""
+    return word == word.upper() and _CAPITAL.search(word) is not None
+
+
 def _mender(pairs: dict[str, int]):
     """word, verdict, parts (form, text, chain, n of its garbled runs) -> word, original.
 
     The original is what one chain that explains every run leads back to: through the clean corpus runs if they hold
     all of it, else by walking the chain back, the outcome whose letter pairs (``pairs``: their counts in
     clean words) are the most usual.  Odd words that no chain explains are no damage; a clean word is damage only
-    where a long chain explains a run of two or more characters.
+    where a long chain explains a run of two or more characters, or where its Cyrillic capitals come of small
+    letters that are far more usual.
     """
-    total = sum(pairs.values()) + 1
-
-    def usual(text: str) -> float:
-        two = [a + b for a, b in zip(" " + text, text + " ") if ord(a) > 127 or ord(b) > 127]
-        return sum(math.log((pairs.get(x.lower(), 0) + 0.01) / total) for x in two) / max(1, len(two))
+    usual = _usual(pairs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = garbled(MARK, "utf8-cp1252")
@@ -242,6 +264,10 @@ def _mender(pairs: dict[str, int]):
                 for chain in CHAINS:
                     own = table.get(chain, {})
                     if kind == CLEAN and not (chain in LONG and any(len(f) > 1 for f in own)):
+                        text = undone(body, chain) if chain in TURNING and _turned(body) else None
+                        if text is not None and reads_clean(text) and text == text.lower() and usual(text.strip(EDGES)) - usual(body.strip(EDGES)) > GAIN:
+                            hit = True
+                            found.append((usual(text), text))
                         continue
                     hit = hit or kind == CLEAN
                     runs = _FAR.findall(body)
@@ -258,6 +284,35 @@ def _mender(pairs: dict[str, int]):
     return run
 
 
+def _explained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Damaged word, original -> word, chain: every chain that makes the one of the other."""
+    for b in batches:
+        rows = [(w, c) for w, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for c in CHAINS if garbled(o, c) == w]
+        if rows:
+            w, c = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(c, pa.string())], names=["word", "chain"])
+
+
+def _beside(pairs: dict[str, int]):
+    """Word that looks clean, chain -> word, chain, original, gain: where the chain leads back to a more usual clean text."""
+    usual = _usual(pairs)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for word, chain in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                text = undone(word, chain)
+                if text is not None and reads_clean(word) and reads_clean(text):
+                    gain = usual(text.strip(EDGES)) - usual(word.strip(EDGES))
+                    if gain > 0:
+                        rows.append((word, chain, text, gain))
+            if rows:
+                w, c, o, g = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(c, pa.string()), pa.array(o, pa.string()), pa.array(g, pa.float64())], names=["word", "chain", "original", "gain"])
+
+    return run
+
+
 def words_of(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     """``key, field, word``: the distinct non-ASCII words of every field value."""
     parts = None
@@ -276,8 +331,21 @@ PAIRS = 100_000
 EDGES = "\"'()<>,:;.[]{}!?"
 
 
-def damage_table(words: DataFrame) -> DataFrame:
-    """``word, original`` of the damaged ones among distinct ``words`` (word, n); original is NULL where it can't be told."""
+def letter_pairs(sources: DataFrame) -> dict[str, int]:
+    """The letter pairs of clean words (text, n) and how often they occur: as many as there are pairs of letters, whatever the corpus size.
+
+    Words in Cyrillic capitals are left out: they may be what a chain made of small letters.
+    """
+    sources = sources.where(~((F.upper("text") == F.col("text")) & F.col("text").rlike(_CAPITAL.pattern)))
+    letters = F.lower(F.concat(F.lit(" "), F.col("text"), F.lit(" ")))
+    at = F.explode(F.sequence(F.lit(1), F.length(letters) - 1))
+    pair = sources.select(letters.alias("t"), "n", at.alias("i")).select(F.expr("substring(t, i, 2)").alias("p"), "n").where(F.col("p").rlike(r"[^\x00-\x7F]"))
+    counted = pair.groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(PAIRS).collect()
+    return {r["p"]: r["n"] for r in counted}
+
+
+def damage_table(words: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """``word, original`` of the damaged ones among distinct ``words`` (word, n), and the letter pairs; original is NULL where it can't be told."""
     n = tasks(words.sparkSession)
     # Few bytes but much work: the rows are spread by number, not by size.
     judged = checkpoint(words.repartition(n).mapInArrow(_judged, "word string, n bigint, verdict int"))
@@ -297,13 +365,7 @@ def damage_table(words: DataFrame) -> DataFrame:
     inside = F.expr("concat(substring(word, 1, instr(word, form) - 1), best.text, substring(word, instr(word, form) + length(form)))")
     by_word = joined.select("word", inside.alias("original"))
 
-    # Letter pairs of clean words: as many rows as there are pairs of letters, whatever the corpus size.
-    letters = F.lower(F.concat(F.lit(" "), F.col("text"), F.lit(" ")))
-    at = F.explode(F.sequence(F.lit(1), F.length(letters) - 1))
-    pair = sources.select(letters.alias("t"), "n", at.alias("i")).select(F.expr("substring(t, i, 2)").alias("p"), "n").where(F.col("p").rlike(r"[^\x00-\x7F]"))
-    counted = pair.groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(PAIRS).collect()
-    pairs = {r["p"]: r["n"] for r in counted}
-
+    pairs = letter_pairs(sources)
     rest = judged.join(by_word.select("word"), "word", "left_anti")
     runs = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(r"[^\x00-\x7F]+"), F.lit(0))))
     clean_runs = sources.select(runs("text").alias("run"), "n").groupBy("run").agg(F.sum("n").alias("n"))
@@ -315,12 +377,13 @@ def damage_table(words: DataFrame) -> DataFrame:
     matched = pieces.join(run_forms, "form", "left")
     parts = matched.groupBy("word", "verdict").agg(F.collect_list(F.when(F.col("chain").isNotNull(), F.struct("form", "text", "chain", "n"))).alias("parts"))
     by_run = parts.repartition(n).mapInArrow(_mender(pairs), "word string, original string")
-    return by_word.unionByName(by_run)
+    return by_word.unionByName(by_run), pairs
 
 
-def damaged_words(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("subject", "from_addr")) -> tuple[DataFrame, DataFrame]:
+def damaged_words(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("subject", "from_addr")) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     words = words_of(df, key, fields)
-    return words, checkpoint(damage_table(words.groupBy("word").agg(F.count("*").alias("n"))))
+    damage, pairs = damage_table(words.groupBy("word").agg(F.count("*").alias("n")))
+    return words, checkpoint(damage), pairs
 
 
 #: Rows up to which the counted table of damaged words is sent to every executor.
@@ -333,16 +396,29 @@ def _join_damage(words: DataFrame, damage: DataFrame) -> DataFrame:
 
 def damaged_fields(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("subject", "from_addr")) -> DataFrame:
     """``key, field``: the values that hold damage."""
-    words, damage = damaged_words(df, key, fields)
+    words, damage, _ = damaged_words(df, key, fields)
     return _join_damage(words, damage.select("word")).select(key, "field").distinct()
 
 
+def words_beside(words: DataFrame, damage: DataFrame, pairs: dict[str, int], key: str) -> DataFrame:
+    """``key, field, word, original`` of words that look clean but stand beside a damaged one whose chain leads them back to more usual text."""
+    chains = damage.where("original IS NOT NULL").mapInArrow(_explained, "word string, chain string")
+    chains = checkpoint(_join_damage(words, checkpoint(chains)).select(key, "field", "chain").distinct())
+    there = F.broadcast(damage) if damage.count() <= SMALL else damage
+    tried = checkpoint(words.join(there.select("word"), "word", "left_anti").join(chains, [key, "field"]))
+    back = tried.select("word", "chain").distinct().mapInArrow(_beside(pairs), "word string, chain string, original string, gain double")
+    best = F.max_by("original", F.struct("gain", "original")).alias("original")
+    return tried.join(back, ["word", "chain"]).groupBy(key, "field", "word").agg(best)
+
+
 def restored_fields(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("subject", "from_addr")) -> DataFrame:
     """``key, field, damaged, restored, whole``: damaged values with every restorable word put back; ``whole`` says that no damage is left."""
-    words, damage = damaged_words(df, key, fields)
-    found = _join_damage(words, damage).groupBy(key, "field").agg(
+    words, damage, pairs = damaged_words(df, key, fields)
+    hit = _join_damage(words, damage)
+    beside = words_beside(words, damage, pairs, key).withColumn("known", F.lit(True))
+    found = hit.withColumn("known", F.col("original").isNotNull()).unionByName(beside).groupBy(key, "field").agg(
         F.map_from_entries(F.collect_set(F.struct("word", F.coalesce("original", "word").alias("o")))).alias("__m"),
-        F.bool_and(F.col("original").isNotNull()).alias("whole"),
+        F.bool_and("known").alias("whole"),
     )
     values = None
     for f in fields:
