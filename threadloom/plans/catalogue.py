@@ -351,6 +351,20 @@ def date_boundaries(a: DataFrame) -> DataFrame:
     return ranges.date_bounds(dated, "group_name", "artnum", "us", 200.0, 400.0, ASOF_US)
 
 
+@query
+def age_days_all(a: DataFrame) -> DataFrame:
+    """Like :func:`age_days`, of all rows whose date denotes an instant, in whatever form it is written."""
+    dated = with_utc_micros(a.select("ord", "date_utc"), "date_utc", "us").where("us IS NOT NULL")
+    return dated.select("ord", (F.floor(ranges.age_days(F.col("us"), ASOF_US) * 1000) / 1000.0).alias("age"))
+
+
+@query
+def date_boundaries_all(a: DataFrame) -> DataFrame:
+    """Like :func:`date_boundaries`, over the instants of all rows."""
+    dated = with_utc_micros(a.select("group_name", "artnum", "date_utc"), "date_utc", "us")
+    return ranges.date_bounds(dated, "group_name", "artnum", "us", 200.0, 400.0, ASOF_US)
+
+
 @tables
 def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.chunk_plan(table(spark, sf_dir, "newsgroups"), 1_000)
