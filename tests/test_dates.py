@@ -42,3 +42,21 @@ def test_bounds_over_all_forms(spark, articles):
     ]
     got = {tuple(r) for r in entry.queries()["date_boundaries_all"](spark, articles([(i, *r) for i, r in enumerate(rows)])).collect()}
     assert got == {("wider", 2, 9), ("gained", 3, 3)}
+
+
+def test_mail_dates_of_all_spellings(spark, articles):
+    cases = {
+        "Mon, 01 Feb 2021 01:12:32 +0100": "2021-02-01T00:12:32+00:00",
+        "Tue, 02 Feb 2021 04:53:31 GMT": "2021-02-02T04:53:31+00:00",
+        "Sun, 31 Jan 21 20:10 EDT": "2021-02-01T00:10:00+00:00",
+        "2 Feb 2021 19:55 EST": "2021-02-03T00:55:00+00:00",
+        "Wed, 03 Feb 2021 09:53:36 +0100 (CET)": "2021-02-03T08:53:36+00:00",
+        "3 Feb 2021 09:53:36": "2021-02-03T08:53:36+00:00",
+        "13. Februar 2021 09:07:13 +0545": "2021-02-13T03:22:13+00:00",
+        "Mon Feb  1 01:15:48 2021": "2021-02-01T00:15:48+00:00",
+        "Mon, 32 Jan 2023 10:00:00 GMT": None,
+        "13 Foo 2021 11:22:33 GMT": None,
+    }
+    texts = [*cases, "2021-02-01T02:52:06+01:00", "1612164572", "garbage", "", None]
+    got = {texts[r["ord"]]: r["iso"] for r in entry.queries()["mail_dates_all"](spark, articles([(i, "g", i, d) for i, d in enumerate(texts)])).collect()}
+    assert got == cases

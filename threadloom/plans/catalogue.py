@@ -20,6 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 ASOF_US = 1_709_251_200_000_000
 #: Dates already in the stored form: with an offset, to the second.
 STORED_FORM = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{2}:\d{2}$"
+#: Beginnings of mail dates, in any spelling of zone, year and time.
+MAIL_FORM = r"^\s*(?:\p{L}{2,10}\.?,?\s+)?(?:\d{1,2}\.?\s+\p{L}+\.?,?\s+(?:\d{4}|\d{2})\s+\d{1,2}:\d{2}|\p{L}+\s+\d{1,2}\s+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?\s+\d{4})"
 GROUP = "orb.binaries.scans"
 
 _REGISTERED: dict[str, Query] = {}
@@ -248,6 +250,14 @@ def mail_dates(a: DataFrame) -> DataFrame:
     return t.select("ord", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ssxxx").alias("iso"))
 
 
+@query
+def mail_dates_all(a: DataFrame) -> DataFrame:
+    """Dates written day, month name, year and time, or as C's ``asctime``, as UTC in the stored form; NULL where they denote no instant."""
+    mail = a.where(F.col("date_utc").rlike(MAIL_FORM)).select("ord", "date_utc")
+    t = with_utc_micros(mail, "date_utc", "us")
+    return t.select("ord", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ssxxx").alias("iso"))
+
+
 # Multipart posts
 
 
