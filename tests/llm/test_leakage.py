@@ -56,3 +56,34 @@ def test_edges(spark):
     e = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, ten, "a"), (4, "w1 w2", "a"), (None, ten, "a"), (5, ten, None)], "item_id bigint, text string, answer string")
     assert {tuple(r) for r in leakage.leaked(d, e).collect()} == {(3, 3), (4, 3), (3, 5), (4, 5)}
     assert leakage.leaked(d.limit(0), e).count() == 0 and leakage.leaked(d, e.limit(0)).count() == 0
+
+
+def test_near_passages_hold_short_and_edited_ones(spark):
+    item = [f"w{i}" for i in range(60)]
+    common = [f"w{i}" for i in range(60) if i not in (25, 26, 30, 31)]
+    filler = [(100 + k, common[k:] + common[:k]) for k in range(0, 30, 7)]  # the four words left out are the rarest
+    edited = item[20:32]
+    edited[5], edited[10] = "other", "word"
+    longer = item[20:32]
+    longer[5] = longer[6] = "other"
+    docs = [(1, ["x"] * 5 + item[3:13] + ["y"] * 5), (2, ["x"] * 9 + edited + ["y"] * 9), (3, item[40:49] + ["z"] * 20), (4, ["x"] * 9 + longer + ["y"] * 9)]
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in [*docs, *((k, w[:9]) for k, w in filler)]], "doc_id bigint, text string")
+    e = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    exact = {tuple(r) for r in leakage.leaked(d, e).collect()}
+    near = {tuple(r)[:2] for r in leakage.near_passages(d, e).collect()}
+    assert exact == {(1, 1)} and near == {(1, 1), (2, 1), (4, 1)}
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_near_passages_hold_the_exact_ones(spark, seed):
+    rng = random.Random(seed)
+    items = [(i, [rng.choice(WORDS) for _ in range(rng.randint(8, 40))]) for i in range(12)]
+    docs = []
+    for d in range(60):
+        it = rng.choice(items)[1]
+        a = rng.randint(0, len(it) - 1)
+        docs.append((d, [rng.choice(WORDS) for _ in range(rng.randint(0, 30))] + it[a : a + rng.randint(6, 16)] + [rng.choice(WORDS) for _ in range(rng.randint(0, 30))]))
+    say = lambda rows: [(k, " ".join(w)) for k, w in rows]
+    d, e = spark.createDataFrame(say(docs), "doc_id bigint, text string"), spark.createDataFrame(say(items), "item_id bigint, text string")
+    want = brute(docs, items, 10)
+    assert want and want <= {tuple(r)[:2] for r in leakage.near_passages(d, e).collect()}

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +138,17 @@ def anchors(items: Items, frequency: np.ndarray, least: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
+def near_anchors(items: Items, frequency: np.ndarray, least: int, slack: int) -> np.ndarray:
+    """Places of the ``slack + 1`` rarest words of every window of ``least + slack`` words: where ``slack`` words of it do not fit, one of these still does."""
+    found = []
+    for a, b in zip(items.begins[:-1], items.begins[1:]):
+        if b - a >= least:
+            windows = np.lib.stride_tricks.sliding_window_view(frequency[items.words[a:b]], min(least + slack, b - a))
+            rarest = np.argsort(windows, axis=1, kind="stable")[:, : slack + 1]
+            found.append((a + np.arange(len(windows))[:, None] + rarest).ravel())
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
 class Segment:
     """One row of the index, with its lists laid out by position."""
 
@@ -190,32 +202,57 @@ def _matches(items: Items, places: np.ndarray, least: int):
     return run
 
 
-def _near(items: Items, places: np.ndarray, half: int, needed: int, slack: int):
-    """Segments -> document, item and the number of words around an anchor that fit within ``slack`` positions of their place."""
+#: Anchors, and alignments of anchors, looked at together.
+ANCHORS, ALIGNED = 1_000, 200_000
+
+
+def _near(items: Items, places: np.ndarray, half: int, needed: int, slack: int, least: int):
+    """Segments -> document, item and the number of words around an anchor that fit within ``slack`` positions of their place.
+
+    A match has ``needed`` such words within ``half`` of the anchor, or ``least`` of them in some ``least + slack`` words around it.
+    """
     item_of = np.repeat(np.arange(len(items.ids)), np.diff(items.begins))
+    window = least + slack
+    reach = max(half, window - 1)
+    # A window around an anchor reaches so far on at least one side.
+    inner = window // 2
+
+    def fitting(s: Segment, p: np.ndarray, v: np.ndarray, offsets: Iterable[int]) -> np.ndarray:
+        """A row of truth values per offset from the anchor."""
+        g, doc, item = s.place[p], s.at[p], item_of[v]
+        begin, end, first, last = s.begins[doc], s.begins[doc + 1], items.begins[item], items.begins[item + 1]
+        rows = []
+        for i in offsets:
+            y = v + i
+            inside = (y >= first) & (y < last)
+            wanted = np.where(inside, items.words[np.clip(y, 0, len(items.words) - 1)], -2)
+            fits = np.zeros(len(v), bool)
+            for j in range(-slack, slack + 1):
+                x = g + i + j
+                fits |= (x >= begin) & (x < end) & (s.term[np.clip(x, 0, len(s.term) - 1)] == wanted)
+            rows.append(fits)
+        return np.array(rows, np.int8).reshape(len(rows), len(v))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 s = Segment(batch, r)
-                posting, w = s.alignments(items.words, places)
                 out = []
-                for c in range(0, len(w), 200_000):
-                    p, v = posting[c : c + 200_000], w[c : c + 200_000]
-                    g, doc, item = s.place[p], s.at[p], item_of[v]
-                    n = np.zeros(len(v), np.int16)
-                    for i in range(-half, half + 1):
-                        y = v + i
-                        inside = (y >= items.begins[item]) & (y < items.begins[item + 1])
-                        wanted = np.where(inside, items.words[np.clip(y, 0, len(items.words) - 1)], -2)
-                        fits = np.zeros(len(v), bool)
-                        for j in range(-slack, slack + 1):
-                            x = g + i + j
-                            ok = (x >= s.begins[doc]) & (x < s.begins[doc + 1])
-                            fits |= ok & (s.term[np.clip(x, 0, len(s.term) - 1)] == wanted)
-                        n += fits
-                    good = n >= needed
-                    out.append(np.stack([s.doc[doc[good]], items.ids[item[good]], n[good]]))
+                for a in range(0, len(places), ANCHORS):
+                    posting, w = s.alignments(items.words, places[a : a + ANCHORS])
+                    for c in range(0, len(w), ALIGNED):
+                        p, v = posting[c : c + ALIGNED], w[c : c + ALIGNED]
+                        mid = fitting(s, p, v, range(-inner, inner + 1))
+                        sides = np.maximum(mid[:inner].sum(0), mid[inner + 1 :].sum(0))
+                        able = np.flatnonzero((sides >= inner - slack) | (mid.sum(0) + 2 * max(0, half - inner) >= needed))
+                        p, v = p[able], v[able]
+                        left, right = fitting(s, p, v, range(-reach, -inner)), fitting(s, p, v, range(inner + 1, reach + 1))
+                        fits = np.concatenate([left, mid[:, able], right])
+                        n = fits[reach - half : reach + half + 1].sum(0)
+                        sums = np.concatenate([np.zeros((1, len(v)), np.int64), np.cumsum(fits, axis=0)])
+                        most = (sums[reach + 1 : reach + 1 + window] - sums[reach + 1 - window : reach + 1]).max(0)
+                        good = (n >= needed) | (most >= least)
+                        out.append(np.stack([s.doc[s.at[p[good]]], items.ids[item_of[v[good]]], n[good]]))
                 rows = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
                 if rows.shape[1]:
                     yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], names=["doc", "item", "n"])
@@ -231,12 +268,12 @@ def _blocks(items: DataFrame, item_key: str, text: str) -> Iterator[Items]:
         yield load_items(plain if n == 1 else plain.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k))
 
 
-def _searches(documents: DataFrame, items: DataFrame, least: int, doc_key: str, item_key: str, text: str) -> Iterator[tuple[DataFrame, Items, np.ndarray]]:
+def _searches(documents: DataFrame, items: DataFrame, least: int, doc_key: str, item_key: str, text: str, places=anchors) -> Iterator[tuple[DataFrame, Items, np.ndarray]]:
     named = documents.where(F.col(doc_key).isNotNull())
     plain = canonical_text(named.select(doc_key, text), doc_key, text, "canonical").select(F.col(doc_key).cast("bigint").alias("doc"), "canonical")
     for block in _blocks(items, item_key, text):
         index = build_index(plain, block.terms, least)
-        yield index, block, anchors(block, frequencies(index, len(block.terms)), least)
+        yield index, block, places(block, frequencies(index, len(block.terms)), least)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -257,6 +294,10 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 10) -> DataFrame
 
 
 def near_passages(documents: DataFrame, items: DataFrame, least: int = 10, half: int = 12, needed: int = 16, slack: int = 2) -> DataFrame:
-    """Proximity matches: ``doc_id, item_id, n_words``, where at least ``needed`` of the ``2 half + 1`` words around an anchor stand within ``slack`` positions of their place, so some words may be missing, added or exchanged."""
-    parts = [index.mapInArrow(_near(block, places, half, needed, slack), "doc bigint, item bigint, n int") for index, block, places in _searches(documents, items, least, "doc_id", "item_id", "text")]
+    """Proximity matches: ``doc_id, item_id, n_words``, where at least ``needed`` of the ``2 half + 1`` words around an anchor stand within ``slack`` positions of their place, so some words may be missing, added or exchanged.
+
+    Where fewer words lie around, ``least`` of ``least + slack`` consecutive words of the item are enough, so every exact passage of ``least`` words is among the matches.
+    """
+    places = partial(near_anchors, slack=slack)
+    parts = [index.mapInArrow(_near(block, at, half, needed, slack, least), "doc bigint, item bigint, n int") for index, block, at in _searches(documents, items, least, "doc_id", "item_id", "text", places)]
     return _union(parts).groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.max("n").alias("n_words"))
