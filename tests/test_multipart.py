@@ -53,3 +53,19 @@ def test_file_numbers(spark):
     assert sorted(r["file_name"] for r in named.collect()) == ["p_c.nzb"]
     two = posts(spark, ["aa (1/1)"], "p/q").unionByName(posts(spark, ["aa (1/1)"], "p:q"))
     assert sorted(r["file_name"] for r in naming.numbered_files(two).collect()) == ["p_q_aa.nzb", "p_q_aa_2.nzb"]
+
+
+def test_missing_ranges(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    df = posts(spark, ["a (1/4)", "a (3/4)", "b (1/1)", "c (2/20000)", "c (2/20000)", "c (9/20000)", "c (20000/20000)", "d (7/5)", "e (1/2000000000)", "f (0/2)", "f (2/2)", "g (0/0)"])
+    df.withColumn("ord", df["artnum"]).write.parquet(f"{tmp_path}/articles.parquet")
+    got = {(r["base"], r["first_part"], r["last_part"]) for r in entry.queries()["missing_ranges"](spark, str(tmp_path)).collect()}
+    assert got == {("a", 2, 2), ("a", 4, 4), ("c", 1, 1), ("c", 3, 8), ("c", 10, 19999), ("d", 1, 5), ("e", 2, 2_000_000_000), ("f", 1, 1)}
+
+
+def test_missing_ranges_hold_the_missing_parts(spark):
+    rng = random.Random(2)
+    df = posts(spark, [f"{rng.choice('abcdef')} ({rng.randint(0, 12)}/{rng.randint(1, 12)})" for _ in range(150)])
+    single = {(r["base"], r["m"], p) for r in multipart.missing_parts(df, ["group_name"]).collect() for p in r["missing"]}
+    assert single == {(r["base"], r["m"], p) for r in multipart.missing_ranges(df, ["group_name"]).collect() for p in range(r["first_part"], r["last_part"] + 1)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import counter_left, counter_right, subject_base
@@ -79,3 +79,16 @@ def missing_parts(df: DataFrame, scope: list[str], limit: int = 10_000) -> DataF
     grouped = rows.groupBy(*scope, "base", "m", "poster").agg(F.collect_set(part).alias("have"))
     lost = F.when(F.col("m") <= limit, F.array_sort(F.array_except(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("m"), F.lit(limit))), "have")))
     return grouped.withColumn("missing", lost).where("missing IS NULL OR size(missing) > 0").drop("have")
+
+
+def missing_ranges(df: DataFrame, scope: list[str]) -> DataFrame:
+    """Missing part numbers of incomplete sets as ranges ``first_part, last_part``, exact for any total: the gaps between the distinct parts found."""
+    rows = assign_sets(df, scope).where("m >= 1")
+    keys = [*scope, "base", "m", "poster"]
+    # A set with no part of 1..m keeps a row, with part 0.
+    parts = rows.select(*keys, F.when(F.col("n_right").between(1, F.col("m")), F.col("n_right")).otherwise(0).cast("bigint").alias("part")).distinct()
+    w = Window.partitionBy(*keys).orderBy("part")
+    beside = parts.select(*keys, "part", F.lag("part", 1, 0).over(w).alias("__before"), F.lead("part").over(w).isNull().alias("__last"))
+    gap = lambda lo, hi: F.struct(lo.alias("first_part"), hi.alias("last_part"))
+    gaps = F.array_compact(F.array(gap(F.col("__before") + 1, F.col("part") - 1), F.when(F.col("__last"), gap(F.col("part") + 1, F.col("m")))))
+    return beside.select(*keys, F.inline(gaps)).where("first_part <= last_part")

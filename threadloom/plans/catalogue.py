@@ -301,6 +301,12 @@ def missing_parts(a: DataFrame) -> DataFrame:
     return lost.select("group_name", "base", "m", "poster", F.explode("missing").alias("part"))
 
 
+@query
+def missing_ranges(a: DataFrame) -> DataFrame:
+    """Missing parts as ranges, of sets of any total."""
+    return multipart.missing_ranges(kept(a), ["group_name"])
+
+
 @query
 def programs_dropped(a: DataFrame) -> DataFrame:
     return multipart.sets(kept(a), ["group_name"]).where("is_program").select("group_name", "base", "m", "poster", "n_rows")
