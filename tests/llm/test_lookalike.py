@@ -61,3 +61,20 @@ def test_edges(spark):
     assert canonical_text(df).columns == ["doc_id", "text", "word", "canonical"]
     assert {tuple(r) for r in kinds_found(df).collect()} == {(None, "lookalike"), (2, "invisible"), (2, "lookalike")}
     assert canonical_text(df.limit(0)).count() == 0 and kinds_found(df.limit(0)).count() == 0
+
+
+def test_dotless_i_and_other_composing_marks(spark):
+    cases = {
+        "a r\u0131bbon": ("a ribbon", {"lookalike"}),
+        "\u304b\u3099\u306f\u309a": ("\u304c\u3071", {"combining"}),  # kana with voicing marks
+        "x \u0627\u0653 y": ("x \u0622 y", {"combining"}),  # Arabic alef with madda
+        "\u0627\u0655\u0644": ("\u0625\u0644", {"combining"}),
+        "\u0995\u09be \u0ba4\u0bbe": ("\u0995\u09be \u0ba4\u0bbe", set()),  # vowel signs that compose with other letters only
+        "\u0628\u0653": ("\u0628\u0653", set()),
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["canonical"] for r in canonical_text(df).collect()}
+    kinds = {i: set() for i in got}
+    for r in kinds_found(df).collect():
+        kinds[r["doc_id"]].add(r["kind"])
+    assert [(got[i], kinds[i]) for i in range(len(cases))] == list(cases.values())

@@ -14,6 +14,7 @@ A word wholly in one script stays as it is.  NULL and empty texts stay as they a
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -55,11 +56,28 @@ _MARK = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
 _OTHER = "".join(_LETTERS[s] for s in ("cyrillic", "greek", "armenian"))
 _OWN_LATIN = "ɡɑı"
 _BETWEEN = rf"[{_MARK}\p{{Nd}}{INVISIBLE}]*+"
-#: Characters that are never suspicious by themselves, the most common first.
-USUAL = "\\x00-\\x9f\\u00a1-\\u00ac\\u00ae-\\u024f\\u2013-\\u2029"
+
+
+def _composing() -> str:
+    """A pattern for the other marks, right after a letter with which they have one composed form (elsewhere they are ordinary writing)."""
+    before: dict[str, set[str]] = {}
+    for c in map(chr, range(0x370, 0x12000)):
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", c) == c:
+            base, mark = (chr(int(x, 16)) for x in parts)
+            if unicodedata.category(mark)[0] == "M" and not re.match(f"[{_MARK}]", mark):
+                before.setdefault(mark, set()).add(base)
+    between = rf"[{INVISIBLE}\u064b-\u0652\u0670]{{0,8}}"
+    ends = "|".join(f"[{''.join(sorted(bases))}]{between}{mark}" for mark, bases in sorted(before.items()))
+    return f"[{''.join(sorted(before))}](?<={ends})"
+
+
+_COMPOSING = _composing()
+#: Characters that are never suspicious by themselves, the most common first (not the dotless i).
+USUAL = "\\x00-\\x9f\\u00a1-\\u00ac\\u00ae-\\u0130\\u0132-\\u024f\\u2013-\\u2029"
 #: A place at which a word is suspicious (read at an unusual character only).
 _PLACE = (
-    rf"[{FULLWIDTH}{INVISIBLE}{HARD_SPACE}{_OWN_LATIN}]|[{_MARK}](?<=\p{{L}}[{INVISIBLE}]{{0,8}}[{_MARK}])"
+    rf"[{FULLWIDTH}{INVISIBLE}{HARD_SPACE}{_OWN_LATIN}]|[{_MARK}](?<=\p{{L}}[{INVISIBLE}]{{0,8}}[{_MARK}])|{_COMPOSING}"
     rf"|[{_OTHER}]{_BETWEEN}[{_LETTERS['latin']}]|[{_OTHER}](?<=[{_LETTERS['latin']}][{_MARK}\p{{Nd}}{INVISIBLE}]{{0,40}}[{_OTHER}])"
     rf"|[{_LETTERS['cyrillic']}]{_BETWEEN}[{_LETTERS['greek']}{_LETTERS['armenian']}]|[{_LETTERS['greek']}{_LETTERS['armenian']}]{_BETWEEN}[{_LETTERS['cyrillic']}]"
 )
@@ -147,7 +165,7 @@ def canonical_words(words: DataFrame) -> DataFrame:
     kinds = F.array_compact(
         F.array(
             F.when(F.col("word").rlike(f"[{FULLWIDTH}]"), "fullwidth"),
-            F.when(F.col("word").rlike(rf"\p{{L}}[{INVISIBLE}]*[{_MARK}]"), "combining"),
+            F.when(F.col("word").rlike(rf"\p{{L}}[{INVISIBLE}]*[{_MARK}]|{_COMPOSING}"), "combining"),
             F.when(F.col("word").rlike(f"[{INVISIBLE}]"), "invisible"),
             F.when(F.col("word").rlike(f"[{HARD_SPACE}]"), "space"),
             F.when(looks, "lookalike"),
