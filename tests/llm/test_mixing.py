@@ -92,3 +92,15 @@ def test_edges(spark):
     assert sorted(r["n_tokens"] for r in mixing.mix(d, m).collect()) and {r["source"] for r in mixing.mix(d, m).collect()} == {"a"}
     assert mixing.mix(d.limit(0), m).count() == 0 and mixing.mix(d, m.limit(0)).count() == 0
     assert mixing.shares(d.limit(0), m).count() == 3 and mixing.shares(d, m.limit(0)).count() == 0
+
+
+def test_registered_mix_of_all_tokens_repeats_and_runs_short(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    docs = [(i, "big", "some plain words here") for i in range(60)] + [(100 + i, "few", "some plain words here") for i in range(10)] + [(200, "one", "some plain words here")]
+    spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.5, 1), ("few", 0.4, 3), ("one", 0.1, 1)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    got = {r["source"]: (r["n_uses"], r["most_uses"]) for r in entry.queries()["p8_shares_all"](spark, str(tmp_path)).collect()}
+    # Of 71 documents 35.5, 28.4 and 7.1 are wanted; the last whose middle lies within the demand is used.
+    assert got["few"] == (28, 3) and got["one"] == (1, 1) and got["big"][0] in (35, 36) and got["big"][1] == 1
+    assert entry.queries()["p8_mix_all"](spark, str(tmp_path)).where("repeat = 2").count() == 8
