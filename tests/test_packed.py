@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,9 @@ from threadloom.operators.packed import MACHINES, explode_packed, tokenize
 
 def values(text, dialect, lanes=32):
     data = text.encode()
-    row, a, b = tokenize(np.frombuffer(data, np.uint8), np.array([0, len(data)]), MACHINES[dialect], lanes)
+    row, a, b, quoted = tokenize(np.frombuffer(data, np.uint8), np.array([0, len(data)]), MACHINES[dialect], lanes)
+    if dialect == "entry":
+        _, a, b = packed._unquoted(np.frombuffer(data, np.uint8), row, a, b, quoted)
     return [data[x:y].decode() for x, y in zip(a, b)]
 
 
@@ -35,6 +38,12 @@ ENTRY = {
     "Xref: host g.a:1 g.b:2": ["Xref:", "host", "g.a:1", "g.b:2"],
     'host:119 "g.a:1;g.b:2"': ["host:119", "g.a:1", "g.b:2"],
     "h;g.a:1|g.b:2, g.c:3 ": ["h", "g.a:1", "g.b:2", "g.c:3"],
+    'host "g.a,x:12" g.b:2': ["host", "g.a,x:12", "g.b:2"],
+    'h "g.a:1","g.b:2"': ["h", "g.a:1", "g.b:2"],
+    'h"g.a:1 g.b:2"g.c:3': ["h", "g.a:1", "g.b:2", "g.c:3"],
+    r'h "g \" g.a:1" g.b:2': ["h", r'g \" g.a:1', "g.b:2"],
+    'h "g.a:1 g.b:2': ["h", "g.a:1", "g.b:2"],
+    "h [g.a:1, g.b:2]": ["h", "g.a:1", "g.b:2"],
 }
 LIST = {
     'a, "b; c" | d': ["a", "b; c", "d"],
@@ -43,6 +52,8 @@ LIST = {
     'k="v, w" z': ['k="v, w"', "z"],
     "a,,b": ["a", "b"],
     "(open, a b": ["(open", "a", "b"],
+    "[" * 20 + "a,b" + "]" * 20 + ",c": ["[" * 20 + "a,b" + "]" * 20, "c"],
+    "[" * 300 + '"]",' + "]" * 300 + " x": ["[" * 300 + '"]",' + "]" * 300, "x"],
 }
 
 
@@ -59,8 +70,10 @@ def test_lock_step_equals_one_by_one(texts):
     data = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
     for dialect, machine in MACHINES.items():
-        row, a, b = tokenize(np.frombuffer(b"".join(data), np.uint8), offsets, machine, lanes=0)
         whole = b"".join(data)
+        row, a, b, quoted = tokenize(np.frombuffer(whole, np.uint8), offsets, machine, lanes=0)
+        if dialect == "entry":
+            row, a, b = packed._unquoted(np.frombuffer(whole, np.uint8), row, a, b, quoted)
         got = [[whole[x:y].decode(errors="replace") for r, x, y in zip(row, a, b) if r == i] for i in range(len(texts))]
         assert got == [values(t, dialect) for t in texts]
 
@@ -83,6 +96,14 @@ def test_catalogue_in_memory_and_joined(spark, rows):
     assert rows(explode_packed(df, "ord", dialects, groups, min_values=2, max_catalogue=0)) == want
 
 
+def test_bad_openers_cost_one_more_pass():
+    for text in ('[" ' * 20_000, '<" ' * 20_000, '<a "' * 20_000):
+        for dialect in MACHINES:
+            began = time.perf_counter()
+            values(text, dialect)
+            assert time.perf_counter() - began < 2
+
+
 def test_edges(spark, rows):
     df = spark.createDataFrame([(1, "<a>" * 30_000, "x", 1), (1, "<b>", "x", 1), (None, "<c>", None, None)], "k bigint, v string, value string, pos int")
     got = explode_packed(df, "k", {"v": "angle"})

@@ -10,7 +10,9 @@ same tables.  Nothing is shuffled: the operator is a ``mapInArrow`` behind the c
 Dialects:
 
 ``angle``   values are ``<...>`` with their brackets; a quoted part inside may hold any delimiter;
-``entry``   values are ``name:number``; quotes, brackets and separators only surround them;
+``entry``   values are ``name:number``; a quoted part is one value whatever delimiters it holds, unless every
+            piece of it is itself such a value: then it is a list in quotes and is taken apart once more.
+            Brackets and separators outside quotes only surround values;
 ``list``    values lie between ``, ; |`` or white space outside quotes and outside brackets; the
             quotes around a value are not part of it.
 
@@ -32,27 +34,37 @@ from pyspark.sql import types as T
 
 OTHER, SPACE, COMMA, DQUOTE, SQUOTE, LT, GT, BACKSLASH, OPEN, CLOSE = range(10)
 N_CLASSES = 10
-NONE, START, END_BEFORE, END_AFTER, START_AFTER = range(5)
-MAX_DEPTH = 15
+#: Events; ``TURN`` ends a value before a byte and begins the next after it.
+NONE, START, END_BEFORE, END_AFTER, START_AFTER, TURN = range(6)
 
 
 @dataclass(frozen=True)
 class Machine:
-    """Transition and event tables, indexed by ``state * N_CLASSES + class``; ``open_end``: states in which the end of the text ends a value; ``stuck``: states in which it leaves an opener unmatched."""
+    """Transition, event and depth tables, indexed by ``state * N_CLASSES + class``.
+
+    ``open_end``: states in which the end of the text ends a value; ``stuck``: states in which it leaves an opener
+    unmatched.  ``nested`` is the state inside brackets: its depth is a number of its own per text, without
+    bound, and at depth 0 it becomes the state before it.  ``skipped``: the class that an unmatched opener gets.
+    """
 
     step: np.ndarray
     event: np.ndarray
+    depth: np.ndarray | None
     open_end: frozenset
     stuck: frozenset
+    nested: int
+    skipped: int
 
 
-def _machine(states: int, rules: dict, open_end=(), stuck=()) -> Machine:
+def _machine(states: int, rules: dict, open_end=(), stuck=(), nested: int = -1, skipped: int = SPACE) -> Machine:
     step = np.repeat(np.arange(states, dtype=np.uint8), N_CLASSES).reshape(states, N_CLASSES)
     event = np.zeros((states, N_CLASSES), np.uint8)
-    for (state, classes), (to, what) in rules.items():
+    depth = np.zeros((states, N_CLASSES), np.int32)
+    for (state, classes), (to, what, *more) in rules.items():
         for c in range(N_CLASSES) if classes is None else classes:
             step[state, c], event[state, c] = to, what
-    return Machine(step.ravel(), event.ravel(), frozenset(open_end), frozenset(stuck))
+            depth[state, c] = more[0] if more else 0
+    return Machine(step.ravel(), event.ravel(), depth.ravel() if nested >= 0 else None, frozenset(open_end), frozenset(stuck), nested, skipped)
 
 
 def _angle() -> Machine:
@@ -73,28 +85,40 @@ def _angle() -> Machine:
 
 
 def _entry() -> Machine:
-    out, inside = range(2)
-    return _machine(2, {(out, (OTHER, BACKSLASH)): (inside, START), (inside, (SPACE, COMMA, DQUOTE, SQUOTE, LT, GT, OPEN, CLOSE)): (out, END_BEFORE)}, open_end=(inside,))
+    out, inside, quoted, escaped = range(4)
+    return _machine(
+        4,
+        {
+            (out, (OTHER, BACKSLASH)): (inside, START),
+            (out, (DQUOTE,)): (quoted, START_AFTER),
+            (inside, (SPACE, COMMA, SQUOTE, LT, GT, OPEN, CLOSE)): (out, END_BEFORE),
+            (inside, (DQUOTE,)): (quoted, TURN),
+            (quoted, (DQUOTE,)): (out, END_BEFORE),
+            (quoted, (BACKSLASH,)): (escaped, NONE),
+            (escaped, None): (quoted, NONE),
+        },
+        open_end=(inside,),
+        stuck=(quoted, escaped),
+    )
 
 
 def _list() -> Machine:
-    """States: 0 between values; 1 + 3 d unquoted at depth d; 2 + 3 d quoted; 3 + 3 d after a backslash in quotes; then a plainly quoted value and its escape."""
-    rules: dict = {}
-    plain, quoted, escaped = (lambda d: 1 + 3 * d), (lambda d: 2 + 3 * d), (lambda d: 3 + 3 * d)
-    whole = 1 + 3 * (MAX_DEPTH + 1)
-    rules |= {(0, (OTHER, BACKSLASH, SQUOTE, GT, CLOSE)): (plain(0), START), (0, (LT, OPEN)): (plain(1), START), (0, (DQUOTE,)): (whole, START_AFTER)}
-    rules |= {(whole, (DQUOTE,)): (0, END_BEFORE), (whole, (BACKSLASH,)): (whole + 1, NONE), (whole + 1, None): (whole, NONE)}
-    for d in range(MAX_DEPTH + 1):
-        if d == 0:
-            rules[plain(0), (SPACE, COMMA)] = (0, END_BEFORE)
-        rules[plain(d), (LT, OPEN)] = (plain(min(d + 1, MAX_DEPTH)), NONE)
-        rules[plain(d), (GT, CLOSE)] = (plain(max(d - 1, 0)), NONE)
-        rules[plain(d), (DQUOTE,)] = (quoted(d), NONE)
-        rules[quoted(d), (DQUOTE,)] = (plain(d), NONE)
-        rules[quoted(d), (BACKSLASH,)] = (escaped(d), NONE)
-        rules[escaped(d), None] = (quoted(d), NONE)
-    deep = [s for d in range(MAX_DEPTH + 1) for s in (plain(d), quoted(d), escaped(d)) if s != plain(0)]
-    return _machine(whole + 2, rules, open_end=(plain(0),), stuck=(*deep, whole, whole + 1))
+    between, plain, deep, quoted, escaped, deep_quoted, deep_escaped, whole, whole_escaped = range(9)
+    rules: dict = {
+        (between, (OTHER, BACKSLASH, SQUOTE, GT, CLOSE)): (plain, START),
+        (between, (LT, OPEN)): (deep, START, 1),
+        (between, (DQUOTE,)): (whole, START_AFTER),
+        (whole, (DQUOTE,)): (between, END_BEFORE),
+        (whole, (BACKSLASH,)): (whole_escaped, NONE),
+        (whole_escaped, None): (whole, NONE),
+        (plain, (SPACE, COMMA)): (between, END_BEFORE),
+        (plain, (LT, OPEN)): (deep, NONE, 1),
+        (deep, (LT, OPEN)): (deep, NONE, 1),
+        (deep, (GT, CLOSE)): (deep, NONE, -1),
+    }
+    for state, inside, after in ((plain, quoted, escaped), (deep, deep_quoted, deep_escaped)):
+        rules |= {(state, (DQUOTE,)): (inside, NONE), (inside, (DQUOTE,)): (state, NONE), (inside, (BACKSLASH,)): (after, NONE), (after, None): (inside, NONE)}
+    return _machine(9, rules, open_end=(plain,), stuck=(deep, quoted, escaped, deep_quoted, deep_escaped, whole, whole_escaped), nested=deep, skipped=OTHER)
 
 
 MACHINES = {"angle": _angle(), "entry": _entry(), "list": _list()}
@@ -117,24 +141,29 @@ def _classes(data: np.ndarray) -> np.ndarray:
     return cls
 
 
-def _walk(m: Machine, cls: np.ndarray, begin: int, end: int, state: int, row: int, events: list) -> int:
-    step, event = m.step, m.event
-    for i in range(begin, end):
-        code = state * N_CLASSES + int(cls[i])
+def _walk(m: Machine, cls: np.ndarray, begin: int, end: int, state: int, depth: int, row: int, events: list) -> int:
+    """One text from ``begin`` on, its events added to ``events``; the state at its end."""
+    step, event, change = m.step, m.event, m.depth
+    for i, c in enumerate(cls[begin:end].tolist(), begin):
+        code = state * N_CLASSES + c
         state = int(step[code])
+        if change is not None:
+            depth += int(change[code])
+            if state == m.nested and depth == 0:
+                state -= 1
         if event[code]:
             events.append((row, i, int(event[code])))
     return state
 
 
-def tokenize(data: np.ndarray, offsets: np.ndarray, machine: Machine, lanes: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first byte and end byte of every value of the texts ``data[offsets[i]:offsets[i + 1]]``, in order."""
+def tokenize(data: np.ndarray, offsets: np.ndarray, machine: Machine, lanes: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first byte, end byte of every value of the texts ``data[offsets[i]:offsets[i + 1]]``, in order, and whether it was a quoted one."""
     cls = _classes(data)
     starts, lengths = offsets[:-1], np.diff(offsets)
     order = np.argsort(-lengths, kind="stable")
     by_length, first = lengths[order], starts[order]
     running = len(order) - np.searchsorted(by_length[::-1], np.arange(by_length[0] + 1 if len(order) else 1), side="right")
-    state = np.zeros(len(order), np.uint8)
+    state, depth = np.zeros(len(order), np.uint8), np.zeros(len(order), np.int32)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     t = 0
     while t < len(running) and running[t] > lanes:
@@ -142,6 +171,9 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, machine: Machine, lanes: int
         at = first[:k] + t
         code = state[:k] * np.int64(N_CLASSES) + cls[at]
         state[:k] = machine.step[code]
+        if machine.depth is not None:
+            depth[:k] += machine.depth[code]
+            state[:k] -= (state[:k] == machine.nested) & (depth[:k] == 0)
         ev = machine.event[code]
         hit = np.flatnonzero(ev)
         if len(hit):
@@ -149,57 +181,66 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, machine: Machine, lanes: int
         t += 1
     single: list[tuple[int, int, int]] = []
     for i in range(int(running[t]) if t < len(running) else 0):
-        state[i] = _walk(machine, cls, int(first[i]) + t, int(first[i] + by_length[i]), int(state[i]), int(order[i]), single)
+        state[i] = _walk(machine, cls, int(first[i]) + t, int(first[i] + by_length[i]), int(state[i]), int(depth[i]), int(order[i]), single)
     ends = np.flatnonzero(np.isin(state, list(machine.open_end)) & (by_length > 0))
     found.append((order[ends], first[ends] + by_length[ends], np.full(len(ends), END_BEFORE, np.uint8)))
-    for i in np.flatnonzero(np.isin(state, list(machine.stuck))):
-        _recover(machine, cls, data, int(order[i]), int(first[i]), int(first[i] + by_length[i]), found, single)
     if single:
-        r, p, e = zip(*single)
-        found.append((np.array(r), np.array(p), np.array(e, np.uint8)))
-    row, pos, ev = (np.concatenate([f[i] for f in found]) for i in range(3)) if found else (np.zeros(0, np.int64),) * 3
+        found.append(tuple(np.array(c) for c in zip(*single)))
+    row, pos, ev = (np.concatenate([f[i] for f in found]) for i in range(3))
     sort = np.lexsort((pos, row))
     row, pos, ev = row[sort], pos[sort], ev[sort]
-    end = np.flatnonzero((ev[1:] >= END_BEFORE) & (ev[1:] <= END_AFTER) & ((ev[:-1] == START) | (ev[:-1] == START_AFTER)) & (row[1:] == row[:-1])) + 1 if len(ev) else np.zeros(0, np.int64)
-    return row[end], pos[end - 1] + (ev[end - 1] == START_AFTER), pos[end] + (ev[end] == END_AFTER)
-
-
-def _recover(m: Machine, cls: np.ndarray, data: np.ndarray, row: int, begin: int, end: int, found: list, single: list) -> None:
-    """A text that ended inside an opener: its events from the opener on are made anew, the opener read as an ordinary byte.
-
-    Each opener is passed once and quotes that never close are looked up from the right, so the work stays
-    linear in the text for one bad opener and is bounded by the number of bad openers otherwise.
+    stuck = np.flatnonzero(np.isin(state, list(machine.stuck)))
+    if len(stuck):
+        again: list[tuple[int, int, int]] = []
+        sound = np.ones(len(row), bool)
+        for i in stuck:
+            a, b = np.searchsorted(row, [order[i], order[i] + 1])
+            _recover(machine, cls, pos[a:b], ev[a:b], int(order[i]), int(first[i]), int(first[i] + by_length[i]), again)
+            sound[a:b] = False
+        more = [np.array(c, np.int64) for c in zip(*again)] or [np.zeros(0, np.int64)] * 3
+        row, pos, ev = (np.concatenate([x[sound], y]) for x, y in zip((row, pos, ev), more))
+        sort = np.lexsort((pos, row))
+        row, pos, ev = row[sort], pos[sort], ev[sort]
+    turn = np.flatnonzero(ev == TURN)
+    if len(turn):
+        ev[turn] = END_BEFORE
+        row, pos, ev = np.insert(row, turn + 1, row[turn]), np.insert(pos, turn + 1, pos[turn]), np.insert(ev, turn + 1, START_AFTER)
+    if not len(ev):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
+    end = np.flatnonzero((ev[1:] >= END_BEFORE) & (ev[1:] <= END_AFTER) & ((ev[:-1] == START) | (ev[:-1] == START_AFTER)) & (row[1:] == row[:-1])) + 1
+    quoted = ev[end - 1] == START_AFTER
+    return row[end], pos[end - 1] + quoted, pos[end] + (ev[end] == END_AFTER), quoted
+
+
+def _recover(m: Machine, cls: np.ndarray, pos: np.ndarray, ev: np.ndarray, row: int, begin: int, end: int, out: list) -> None:
+    """A text (with its events ``pos`` and ``ev``) that ended inside an opener, read anew from there: the opener, quotes after it and brackets
+    that never close count as ordinary bytes.  One more pass over the rest of the text, whatever it holds.
     """
-    mine = sorted([(int(p), int(e)) for r, ps, es in found for p, e in zip(ps[r == row], es[r == row])] + [(p, e) for r, p, e in single if r == row])
-    for i, (r, p, e) in enumerate(found):
-        keep = r != row
-        found[i] = (r[keep], p[keep], e[keep])
-    single[:] = [x for x in single if x[0] != row]
-    opener = max((p for p, e in mine if e in (START, START_AFTER)), default=begin)
-    single += [(row, p, e) for p, e in mine if p < opener]
-    own = cls[begin:end].copy()
-    while True:
-        own[opener - begin] = OTHER if m is not MACHINES["angle"] else SPACE
-        # Quotes after an opener that never closed are ordinary from here on.
-        tail = own[opener - begin :]
-        tail[tail == DQUOTE] = OTHER
-        events: list[tuple[int, int, int]] = []
-        state = _walk(m, own, opener - begin, end - begin, 0, row, events)
-        events = [(r, p + begin, e) for r, p, e in events]
-        if state in m.stuck:
-            last = max((p for _, p, e in events if e in (START, START_AFTER)), default=None)
-            if last is not None and last > opener:
-                single += [x for x in events if x[1] < last]
-                opener = last
-                continue
-            tail[(tail == LT) | (tail == OPEN)] = OTHER
-            events = []
-            state = _walk(m, own, opener - begin, end - begin, 0, row, events)
-            events = [(r, p + begin, e) for r, p, e in events]
-        single += events
-        if state in m.open_end:
-            single.append((row, end, END_BEFORE))
-        return
+    openers = np.flatnonzero((ev == START) | (ev == START_AFTER) | (ev == TURN))
+    opener = int(pos[openers[-1]]) if len(openers) else begin
+    out += [(row, int(p), int(e)) for p, e in zip(pos, ev) if p < opener]
+    turned = len(openers) and ev[openers[-1]] == TURN
+    if turned:
+        out.append((row, opener, END_BEFORE))
+    tail = cls[opener:end].copy()
+    tail[0] = m.skipped
+    tail[tail == DQUOTE] = m.skipped
+    if m.depth is None:
+        last = np.flatnonzero(tail == GT)
+        tail[int(last[-1]) + 1 if len(last) else 0 :][tail[int(last[-1]) + 1 if len(last) else 0 :] == LT] = m.skipped
+    else:
+        waiting: list[int] = []
+        for i in np.flatnonzero(np.isin(tail, (LT, OPEN, GT, CLOSE))).tolist():
+            if tail[i] in (LT, OPEN):
+                waiting.append(i)
+            elif waiting:
+                waiting.pop()
+        tail[waiting] = m.skipped
+    events: list[tuple[int, int, int]] = []
+    state = _walk(m, tail, 0, end - opener, 0, 0, row, events)
+    out += [(r, p + opener, e) for r, p, e in events]
+    if state in m.open_end:
+        out.append((row, end, END_BEFORE))
 
 
 def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -210,6 +251,10 @@ def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(picked.tobytes())]).cast(pa.string())
 
 
+#: A value of the ``entry`` dialect.
+ENTRY = r"^(?P<g>.+):(?P<n>[0-9]+)$"
+
+
 def _tokens(column: pa.Array, dialect: str) -> tuple[np.ndarray, pa.Array]:
     """Row numbers and values of one column of a batch."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -217,10 +262,32 @@ def _tokens(column: pa.Array, dialect: str) -> tuple[np.ndarray, pa.Array]:
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     body = column.buffers()[2]
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
-    row, begin, end = tokenize(data, offsets, MACHINES[dialect])
+    row, begin, end, quoted = tokenize(data, offsets, MACHINES[dialect])
+    if dialect == "entry" and quoted.any():
+        row, begin, end = _unquoted(data, row, begin, end, quoted)
     return row, _slices(data, begin, end)
 
 
+def _unquoted(data: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray, quoted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Quoted parts that are lists of entries throughout replaced by their pieces."""
+    at = np.flatnonzero(quoted)
+    length = end[at] - begin[at]
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    inner = data[np.repeat(begin[at] - offsets[:-1], length) + np.arange(offsets[-1])]
+    part, b, e, deep = tokenize(inner, offsets, MACHINES["entry"])
+    good = pc.is_valid(pc.extract_regex(_slices(inner, b, e), ENTRY)).to_numpy(zero_copy_only=False) & ~deep
+    whole = np.bincount(part, minlength=len(at)) == np.bincount(part[good], minlength=len(at))
+    lists = whole & (np.bincount(part, minlength=len(at)) > 0)
+    take = lists[part]
+    shift = begin[at] - offsets[:-1]
+    keep = np.ones(len(row), bool)
+    keep[at[lists]] = False
+    row = np.concatenate([row[keep], row[at[part[take]]]])
+    begin, end = np.concatenate([begin[keep], b[take] + shift[part[take]]]), np.concatenate([end[keep], e[take] + shift[part[take]]])
+    sort = np.lexsort((begin, row))
+    return row[sort], begin[sort], end[sort]
+
+
 def explode_packed(
     df: DataFrame,
     key: str,
@@ -258,7 +325,7 @@ def explode_packed(
             for i, (field, dialect) in enumerate(items):
                 row, value = _tokens(batch.column(i + 1), dialect)
                 if dialect == "entry" and len(row):
-                    parts = pc.extract_regex(value, r"^(?P<g>.+):(?P<n>[0-9]+)$")
+                    parts = pc.extract_regex(value, ENTRY)
                     good = parts.is_valid()
                     if names_set is not None:
                         good = pc.and_(good, pc.is_in(pc.struct_field(parts, "g"), value_set=names_set))
