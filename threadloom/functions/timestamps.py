@@ -8,7 +8,8 @@ with no Python worker and no shuffle.
 
 Rules:
 
-* NULL, empty text, texts of more than 1,000 characters, words, and impossible calendar dates give NULL;
+* NULL, empty text, words, and impossible calendar dates give NULL; a text may have any length (no part of the
+  pattern gives back what it took, so the work is linear in it);
 * a text with no zone is local time of ``local_zone``; in an hour that occurs twice the first is
   taken, in a skipped hour the time moves forward by the jump (the same for named regions);
 * digits only: seconds, milliseconds, microseconds or nanoseconds since 1970 UTC by length;
@@ -48,34 +49,32 @@ ZONE_MINUTES = {
     "CET": 60, "CEST": 120,
 }
 
-_TIME = r"(?<H{k}>\d{{1,2}}):(?<M{k}>\d{{2}})(?::(?<S{k}>\d{{2}})(?:[.,](?<f{k}>\d{{1,9}}))?)?"
-_ZONE = r"(?:\s*(?:(?<o{k}>[+-]\d{{2}}:?\d{{2}})|(?<z{k}>[A-Za-z]{{1,5}})|(?<r{k}>[A-Za-z_]+(?:/[A-Za-z_+0-9-]+)+)))?"
-_DAYNAME = r"(?:[A-Za-z]{2,10}\.?,?\s+)?"
+_TIME = r"(?<H{k}>\d{{1,2}}):(?<M{k}>\d{{2}})(?::(?<S{k}>\d{{2}})(?:[.,](?<f{k}>\d++))?)?"
+_ZONE = r"(?:\s*+(?:(?<o{k}>[+-]\d{{2}}:?\d{{2}})|(?<z{k}>[A-Za-z]{{1,5}}+)(?![A-Za-z_/])|(?<r{k}>[A-Za-z_]++(?:/[A-Za-z_+0-9-]++)++)))?"
+_DAYNAME = r"(?:[A-Za-z]{2,10}\.?,?\s++)?"
 
 #: One alternative per written form; ``{k}`` keeps the group names of the alternatives apart.
 FORMS = [
     # 2021-02-01T02:52:06.123+01:00 | 2021-02-01 12:17:39 Europe/Berlin
-    r"(?<Y{k}>\d{{4}})-(?<m{k}>\d{{2}})-(?<d{k}>\d{{2}})(?:[Tt]|\s+)" + _TIME + _ZONE,
+    r"(?<Y{k}>\d{{4}})-(?<m{k}>\d{{2}})-(?<d{k}>\d{{2}})(?:[Tt]|\s++)" + _TIME + _ZONE,
     # 20210201T190405Z
-    r"(?<Y{k}>\d{{4}})(?<m{k}>\d{{2}})(?<d{k}>\d{{2}})[Tt](?<H{k}>\d{{2}})(?<M{k}>\d{{2}})(?<S{k}>\d{{2}})?(?:[.,](?<f{k}>\d{{1,9}}))?" + _ZONE,
+    r"(?<Y{k}>\d{{4}})(?<m{k}>\d{{2}})(?<d{k}>\d{{2}})[Tt](?<H{k}>\d{{2}})(?<M{k}>\d{{2}})(?<S{k}>\d{{2}})?(?:[.,](?<f{k}>\d++))?" + _ZONE,
     # Mon, 01 Feb 2021 12:16:04 +0100 (CET) | 10. Februar 2021 15:33:04 +0900
-    _DAYNAME.replace("{", "{{").replace("}", "}}") + r"(?<d{k}>\d{{1,2}})\.?\s+(?<n{k}>\p{{L}}+)\.?,?\s+(?<Y{k}>\d{{4}}|\d{{2}})\s+" + _TIME + _ZONE,
+    _DAYNAME.replace("{", "{{").replace("}", "}}") + r"(?<d{k}>\d{{1,2}})\.?\s++(?<n{k}>\p{{L}}++)\.?,?\s++(?<Y{k}>\d{{4}}|\d{{2}})\s++" + _TIME + _ZONE,
     # 02.02.2021 11:00:18
-    r"(?<d{k}>\d{{1,2}})\.(?<m{k}>\d{{1,2}})\.(?<Y{k}>\d{{4}}|\d{{2}}),?\s+" + _TIME + _ZONE,
+    r"(?<d{k}>\d{{1,2}})\.(?<m{k}>\d{{1,2}})\.(?<Y{k}>\d{{4}}|\d{{2}}),?\s++" + _TIME + _ZONE,
     # Sun Oct 31 02:12:04 2021
-    r"(?:[A-Za-z]{{2,10}},?\s+)?(?<n{k}>\p{{L}}+)\s+(?<d{k}>\d{{1,2}})\s+" + _TIME + r"\s+(?<Y{k}>\d{{4}})",
+    r"(?:[A-Za-z]{{2,10}},?\s++)?(?<n{k}>\p{{L}}++)\s++(?<d{k}>\d{{1,2}})\s++" + _TIME + r"\s++(?<Y{k}>\d{{4}})",
     # Feb 14, 2021 6:47:48 PM
-    r"(?<n{k}>\p{{L}}+)\.?\s+(?<d{k}>\d{{1,2}}),\s+(?<Y{k}>\d{{4}}|\d{{2}})\s+" + _TIME + r"(?:\s*(?<p{k}>[AaPp][Mm]))?" + _ZONE,
+    r"(?<n{k}>\p{{L}}++)\.?\s++(?<d{k}>\d{{1,2}}),\s++(?<Y{k}>\d{{4}}|\d{{2}})\s++" + _TIME + r"(?:\s*+(?<p{k}>[AaPp][Mm]))?" + _ZONE,
 ]
 
 _FIELDS = "Y n m d H M S f p o z r".split()
-_PATTERN = r"^\s*(?:" + "|".join(form.format(k=i) for i, form in enumerate(FORMS)) + r"|(?<e>\d{1,19}))\s*(?:\([^()]*\))?\s*$"
+_PATTERN = r"^\s*+(?:" + "|".join(form.format(k=i) for i, form in enumerate(FORMS)) + r"|(?<e>\d{1,19}+))\s*+(?:\([^()]*+\))?+\s*+$"
 _PRESENT = [[f for f in _FIELDS if f"(?<{f}{i}>" in form.format(k=i)] for i, form in enumerate(FORMS)]
 _RECORD = "\u0001|" + "|".join("".join(f"${{{f}{i}}}" for i, has in enumerate(_PRESENT) if f in has) for f in _FIELDS) + "|${e}|"
 
 _DAY = 86_400_000_000
-#: A longer text denotes no instant.
-LONGEST = 1_000
 
 
 def valid_zones(spark: SparkSession) -> list[str]:
@@ -96,6 +95,11 @@ def _days(y: Column, m: Column, d: Column) -> Column:
     return era * 146_097 + in_era * 365 + _div(in_era, 4) - _div(in_era, 100) + day_of_year - 719_468
 
 
+def to_iso(micros: Column) -> Column:
+    """An instant (microseconds since 1970 UTC) in the stored form, to the second, in the session's zone UTC; NULL stays NULL."""
+    return F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ssxxx")
+
+
 def with_utc_micros(df: DataFrame, text: str, out: str, local_zone: str = "Europe/Berlin") -> DataFrame:
     """``df`` and a column ``out``: microseconds since 1970-01-01 UTC that column ``text`` denotes.
 
@@ -109,8 +113,7 @@ def with_utc_micros(df: DataFrame, text: str, out: str, local_zone: str = "Europ
     while any(c.startswith(tmp) for c in df.columns):
         tmp += "_"
     at = {f: i + 1 for i, f in enumerate([*_FIELDS, "e"])}
-    written = F.when(F.length(F.col(f"`{text}`")) <= LONGEST, F.col(f"`{text}`"))
-    cut = F.split(F.regexp_replace(written, _PATTERN, _RECORD), r"\|")
+    cut = F.split(F.regexp_replace(F.col(f"`{text}`"), _PATTERN, _RECORD), r"\|")
     df = df.withColumn(tmp, cut)
     df = df.withColumn(tmp, F.when((F.size(tmp) == len(at) + 2) & (F.get(F.col(tmp), F.lit(0)) == "\u0001"), F.col(tmp)))
     part = lambda f: F.nullif(F.get(F.col(tmp), F.lit(at[f])), F.lit(""))

@@ -106,12 +106,12 @@ def _like(c: str, term: str) -> str:
 def _instant() -> str:
     """``SELECT ord, date_utc, us``: the instants of all written dates of articles."""
     zone = r"(?:\s*(?:([+-]\d{2}:?\d{2})|([A-Za-z]{1,5})|([A-Za-z_]+(?:/[A-Za-z_+0-9-]+)+)))?"
-    time = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
+    time = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
     end = r"\s*(?:\([^()]*\))?\s*$"
     # Per form: pattern and the group numbers of year, month name, month, day, hour, minute, second, fraction, half, offset, letters, region.
     forms = [
         (r"^\s*(\d{4})-(\d{2})-(\d{2})(?:[Tt]|\s+)" + time + zone + end, dict(y=1, m=2, d=3, h=4, mi=5, s=6, f=7, o=8, z=9, r=10)),
-        (r"^\s*(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})(\d{2})?(?:[.,](\d{1,9}))?" + zone + end, dict(y=1, m=2, d=3, h=4, mi=5, s=6, f=7, o=8, z=9, r=10)),
+        (r"^\s*(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})(\d{2})?(?:[.,](\d+))?" + zone + end, dict(y=1, m=2, d=3, h=4, mi=5, s=6, f=7, o=8, z=9, r=10)),
         (r"^\s*(?:[A-Za-z]{2,10}\.?,?\s+)?(\d{1,2})\.?\s+(\p{L}+)\.?,?\s+(\d{4}|\d{2})\s+" + time + zone + end, dict(d=1, n=2, y=3, h=4, mi=5, s=6, f=7, o=8, z=9, r=10)),
         (r"^\s*(\d{1,2})\.(\d{1,2})\.(\d{4}|\d{2}),?\s+" + time + zone + end, dict(d=1, m=2, y=3, h=4, mi=5, s=6, f=7, o=8, z=9, r=10)),
         (r"^\s*(?:[A-Za-z]{2,10},?\s+)?(\p{L}+)\s+(\d{1,2})\s+" + time + r"\s+(\d{4})" + end, dict(n=1, d=2, h=3, mi=4, s=5, f=6, y=7)),
