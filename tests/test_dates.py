@@ -27,7 +27,7 @@ def test_ages_of_all_forms(spark, articles):
     t = at(300)
     forms = [t.strftime("%Y-%m-%dT%H:%M:%S+00:00"), t.strftime("%a, %d %b %y %H:%M GMT"), str(int(t.timestamp())), t.strftime("%Y-%m-%d %H:%M:%S Europe/London"), "garbage", None]
     want = {0: 300.0, 1: 300.0, 2: 300.0, 3: 300.0 + 1 / 24}  # London is an hour ahead in May
-    got = {r["ord"]: r["age"] for r in entry.queries()["age_days_all"](spark, articles([(i, "g", i, d) for i, d in enumerate(forms)])).collect()}
+    got = {r["ord"]: r["age"] for r in entry.queries()["age_days"](spark, articles([(i, "g", i, d) for i, d in enumerate(forms)])).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 0.001 for k in want)
 
 
@@ -40,8 +40,8 @@ def test_bounds_over_all_forms(spark, articles):
         ("gained", 3, mail(300)), ("gained", 4, epoch(10)), ("gained", 6, iso(20)),
         ("none", 1, iso(500)), ("none", 2, mail(450)), ("unread", 1, "garbage"),
     ]
-    got = {tuple(r) for r in entry.queries()["date_boundaries_all"](spark, articles([(i, *r) for i, r in enumerate(rows)])).collect()}
-    assert got == {("wider", 2, 9), ("gained", 3, 3)}
+    got = {tuple(r) for r in entry.queries()["date_boundaries"](spark, articles([(i, *r) for i, r in enumerate(rows)])).collect()}
+    assert got == {("wider", 2, 9, 390.0, 210.0), ("gained", 3, 3, 300.0, 300.0)}
 
 
 def test_mail_dates_of_all_spellings(spark, articles):
@@ -58,5 +58,6 @@ def test_mail_dates_of_all_spellings(spark, articles):
         "13 Foo 2021 11:22:33 GMT": None,
     }
     texts = [*cases, "2021-02-01T02:52:06+01:00", "1612164572", "garbage", "", None]
-    got = {texts[r["ord"]]: r["iso"] for r in entry.queries()["mail_dates_all"](spark, articles([(i, "g", i, d) for i, d in enumerate(texts)])).collect()}
-    assert got == cases
+    got = {texts[r["ord"]]: r["iso"] for r in entry.queries()["to_iso"](spark, articles([(i, "g", i, d) for i, d in enumerate(texts)])).collect()}
+    rest = {"2021-02-01T02:52:06+01:00": "2021-02-01T01:52:06+00:00", "1612164572": "2021-02-01T07:29:32+00:00", "garbage": None, "": None, None: None}
+    assert got == cases | rest

@@ -58,7 +58,20 @@ def test_grouped_written_read_and_split(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "out")) == sorted(r["file_name"] for r in docs.collect()) == sorted(os.listdir(tmp_path / "apart" / "g.h"))
     back = manifests.flat(manifests.read(spark, str(tmp_path / "out")))
     assert sorted((r["number"], r["id"] or "") for r in back.collect()) == [(1, "a@x"), (1, "c@x"), (2, "b&1@x")], "the reader leaves out an element without text"
+    small = manifests.PIECES
+    manifests.PIECES = 2
+    try:
+        cut = manifests.grouped(sample(spark), F.lit(99))
+        assert cut.agg(F.max("block")).first()[0] >= 2
+        manifests.write(cut, str(tmp_path / "cut"))
+    finally:
+        manifests.PIECES = small
+    for name in os.listdir(tmp_path / "out"):
+        assert (tmp_path / "cut" / name).read_bytes() == (tmp_path / "out" / name).read_bytes()
+    assert len(os.listdir(tmp_path / "cut")) == len(os.listdir(tmp_path / "out"))
+    assert manifests.folder_name("../x") == ".._x" and manifests.folder_name("..") == "_.."
     one = tmp_path / "one.nzb"
     one.write_text(expected([("p", "A/b? name", "g", [(1, 1, "x")]), ("p", "//", "g", [(1, 1, "y")])]))
     assert manifests.split(spark, str(one), str(tmp_path / "split")) == 2
     assert sorted(os.listdir(tmp_path / "split")) == ["00001_Ab name.nzb", "00002_file_2.nzb"]
+    assert (tmp_path / "split" / "00001_Ab name.nzb").read_text() == expected([("p", "A/b? name", "g", [(1, 1, "x")])])

@@ -36,8 +36,8 @@ def test_programs_and_singles(spark):
 
 
 def test_missing(spark):
-    got = multipart.missing_parts(posts(spark, ["a (1/4)", "a (3/4)", "b (1/1)"]), ["group_name"]).collect()
-    assert [(r["base"], r["missing"]) for r in got] == [("a", [2, 4])]
+    got = multipart.missing_ranges(posts(spark, ["a (1/4)", "a (3/4)", "b (1/1)"]), ["group_name"]).collect()
+    assert sorted((r["base"], r["first_part"], r["last_part"]) for r in got) == [("a", 2, 2), ("a", 4, 4)]
 
 
 def test_pickers_find_the_same_rows(spark):
@@ -60,12 +60,14 @@ def test_missing_ranges(spark, tmp_path):
 
     df = posts(spark, ["a (1/4)", "a (3/4)", "b (1/1)", "c (2/20000)", "c (2/20000)", "c (9/20000)", "c (20000/20000)", "d (7/5)", "e (1/2000000000)", "f (0/2)", "f (2/2)", "g (0/0)"])
     df.withColumn("ord", df["artnum"]).write.parquet(f"{tmp_path}/articles.parquet")
-    got = {(r["base"], r["first_part"], r["last_part"]) for r in entry.queries()["missing_ranges"](spark, str(tmp_path)).collect()}
+    got = {(r["base"], r["first_part"], r["last_part"]) for r in entry.queries()["missing_parts"](spark, str(tmp_path)).collect()}
     assert got == {("a", 2, 2), ("a", 4, 4), ("c", 1, 1), ("c", 3, 8), ("c", 10, 19999), ("d", 1, 5), ("e", 2, 2_000_000_000), ("f", 1, 1)}
 
 
 def test_missing_ranges_hold_the_missing_parts(spark):
     rng = random.Random(2)
-    df = posts(spark, [f"{rng.choice('abcdef')} ({rng.randint(0, 12)}/{rng.randint(1, 12)})" for _ in range(150)])
-    single = {(r["base"], r["m"], p) for r in multipart.missing_parts(df, ["group_name"]).collect() for p in r["missing"]}
-    assert single == {(r["base"], r["m"], p) for r in multipart.missing_ranges(df, ["group_name"]).collect() for p in range(r["first_part"], r["last_part"] + 1)}
+    counters = [(rng.choice("abcdef"), rng.randint(0, 12), rng.randint(1, 12)) for _ in range(150)]
+    df = posts(spark, [f"{b} ({n}/{m})" for b, n, m in counters])
+    sets = {(b, m) for b, _, m in counters}
+    want = {(b, m, p) for b, m in sets for p in range(1, m + 1) if (b, p, m) not in counters}
+    assert want == {(r["base"], r["m"], p) for r in multipart.missing_ranges(df, ["group_name"]).collect() for p in range(r["first_part"], r["last_part"] + 1)}

@@ -8,11 +8,13 @@ Every node has at most one parent.  The links are solved by weighted disjoint-se
    partition and its offset, the number of steps to it.  Arrays of parents and offsets are compressed
    by path doubling, so a chain of n links takes log n vector steps;
 3. only tops that have a link of their own in another partition are open.  Their links, already
-   compressed, are merged on fewer partitions by the same step, and so on until one task holds what
-   is left (at most ``bound`` links, checked by a count); where merging does not shrink the open links
+   compressed, are merged by the same step on as many partitions as their count asks for (at most about ``bound``
+   links each), and so on until one task holds what is left; where merging does not shrink the open links
    enough, random-mate contraction by joins removes about a quarter of them per round until they fit;
 4. offsets are added up on the way back.
 
+Numbers of descendants are summed bottom-up by the same levels (:func:`subtree_sums`), never counted from pairs.
+
 A walk that never ends falls into a loop.  Its nodes get the loop's least node as root and depth -1.
 """
 
@@ -28,10 +30,8 @@ from pyspark.sql import functions as F
 from threadloom.operators.packed import explode_packed
 from threadloom.session import checkpoint, tasks, written
 
-#: Links that one task may hold in the last merge (three 64-bit numbers each).
+#: Links that one task may hold (four 64-bit numbers each).
 BOUND = 1_000_000
-#: Partitions merged into one per level.
-FAN_IN = 8
 
 _SOLVED = "node bigint, top bigint, hops bigint, least bigint, looped boolean"
 
@@ -46,10 +46,7 @@ def compress(node: np.ndarray, top: np.ndarray, hops: np.ndarray, least: np.ndar
     top, hops, least = top.copy(), hops.copy(), (node if least is None else least).copy()
     if not n:
         return top, hops, least, np.zeros(0, bool)
-    order = np.argsort(node, kind="stable")
-    keys = node[order]
-    place = np.minimum(np.searchsorted(keys, top), n - 1)
-    nxt = np.where(keys[place] == top, order[place], -1)
+    nxt = _index(node, top)
     for _ in range(int(n).bit_length() + 1):
         live = np.flatnonzero(nxt >= 0)
         if not len(live):
@@ -108,9 +105,18 @@ def _expand(part: DataFrame, solved: DataFrame) -> DataFrame:
     )
 
 
+def _needed(n: int, bound: int) -> int:
+    return -(-n // max(1, bound))
+
+
+def _parts(links: DataFrame, bound: int) -> int:
+    """Partitions for a first pass: as many as the session has tasks, and so many that none holds more than about ``bound`` links."""
+    return max(tasks(links.sparkSession), _needed(links.count(), bound))
+
+
 def solve(links: DataFrame, bound: int = BOUND, parts: int | None = None) -> DataFrame:
     """``node, top, hops, least, looped`` for links ``node, top, hops, least, place`` (one per node; ``place`` brings a tree together)."""
-    parts = parts or tasks(links.sparkSession)
+    parts = parts or _parts(links, bound)
     if parts == 1:
         return links.select(*_LINK).coalesce(1).mapInArrow(_compress_batches, _SOLVED)
     local = checkpoint(links.repartitionByRange(parts, "place", "node").select(*_LINK).mapInArrow(_compress_batches, _SOLVED))
@@ -119,14 +125,14 @@ def solve(links: DataFrame, bound: int = BOUND, parts: int | None = None) -> Dat
     n = open_.count()
     taken: list[DataFrame] = []
     loops: list[DataFrame] = []
-    if n > bound and n > local.count() // 2:
+    if n > bound and (n > local.count() // 2 or _needed(n, bound) >= parts):
         seed = 0
         while n > bound:
             out, closed, open_ = _mate(open_, seed)
             taken.append(out)
             loops.append(closed)
             seed, n = seed + 1, open_.count()
-    solved = local.limit(0) if n == 0 else solve(open_, bound, 1 if n <= bound else max(2, parts // FAN_IN))
+    solved = local.limit(0) if n == 0 else solve(open_, bound, _needed(n, bound))
     for closed in loops:
         solved = solved.unionByName(closed)
     for out in reversed(taken):
@@ -187,36 +193,50 @@ def thread_roots(articles: DataFrame, bound: int = BOUND) -> DataFrame:
 _SEGMENT = "node bigint, top bigint, up array<bigint>"
 
 
+#: Ancestors of one batch of segments.
+STEPS = 1_000_000
+
+
 def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ancestors of every node inside the partition, nearest first, by walking the index of parents."""
+    """Ancestors of every node inside the partition, nearest first, by walking the index of parents, all nodes of a batch at once."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     t = pa.Table.from_batches(got)
-    node, top = t.column(0).to_pylist(), t.column(1).to_pylist()
-    parent = dict(zip(node, top))
-    out: list[tuple[int, int, list[int]]] = []
-    for n in node:
-        up, at = [], n
-        while at in parent:
-            at = parent[at]
-            up.append(at)
-        out.append((n, at, up))
-        if len(out) >= 5_000:
-            yield _segment_batch(out)
-            out = []
-    if out:
-        yield _segment_batch(out)
-
-
-def _segment_batch(out: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
-    n, t, u = zip(*out)
-    return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(t, pa.int64()), pa.array(u, pa.list_(pa.int64()))], names=["node", "top", "up"])
+    node, top = t.column(0).to_numpy(), t.column(1).to_numpy()
+    nxt = _index(node, top)
+    _, hops, _, _ = compress(node, top, np.ones(len(node), np.int64))
+    ends = np.cumsum(hops)
+    begin = 0
+    while begin < len(node):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + STEPS, side="right")))
+        n = hops[begin:end]
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        up = np.empty(offsets[-1], np.int64)
+        at, live, k = np.arange(begin, end), np.arange(end - begin), 0
+        last = np.empty(end - begin, np.int64)
+        while len(live):
+            up[offsets[live] + k] = top[at]
+            last[live] = top[at]
+            k += 1
+            more = n[live] > k
+            live, at = live[more], nxt[at[more]]
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(up)).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(node[begin:end]), pa.array(last), lists], names=["node", "top", "up"])
+        begin = end
+
+
+def _index(node: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Place of every row's top among the nodes, -1 where it is none of them."""
+    order = np.argsort(node, kind="stable")
+    keys = node[order]
+    place = np.minimum(np.searchsorted(keys, top), len(node) - 1)
+    return np.where(keys[place] == top, order[place], -1)
 
 
 def ancestors(links: DataFrame, parts: int | None = None, bound: int = BOUND) -> DataFrame:
     """``node, up``: the ancestors of every node, nearest first; ``links`` (node, top, place) must have no loops."""
-    parts = parts or tasks(links.sparkSession)
+    parts = parts or _parts(links, bound)
     shape = links.select("node", "top", "place")
     spread = shape.repartitionByRange(parts, "place", "node") if parts > 1 else shape.coalesce(1)
     local = checkpoint(spread.select("node", "top").mapInArrow(_segments, _SEGMENT))
@@ -245,17 +265,110 @@ def _doubled(links: DataFrame) -> DataFrame:
         now = both.select("node", F.coalesce("__t", "top").alias("top"), F.concat("up", F.coalesce("__u", F.array().cast("array<bigint>"))).alias("up"))
 
 
+def _sums(nxt: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sum of ``weight`` over every row and all rows below it, by doubling the steps."""
+    total, jump = weight.copy(), nxt.copy()
+    while True:
+        live = np.flatnonzero(jump >= 0)
+        if not len(live):
+            return total
+        np.add.at(total, jump[live], total[live].copy())
+        jump[live] = jump[jump[live]]
+
+
+def _one_part(t: pa.Table) -> tuple[np.ndarray, ...]:
+    node, top, weight = (t.column(i).to_numpy() for i in range(3))
+    return node, top, weight, _index(node, top)
+
+
+def _reaches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, top, weight -> the same, the top that is reached inside the partition, and the partition's number."""
+    from pyspark import TaskContext
+
+    got = [b for b in batches if b.num_rows]
+    if got:
+        t = pa.Table.from_batches(got)
+        node, top, weight, _ = _one_part(t)
+        reach, _, _, _ = compress(node, top, np.ones(len(node), np.int64))
+        part = np.full(len(node), TaskContext.get().partitionId())
+        for at in range(0, len(node), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in (node, top, weight, reach, part)], names=["node", "top", "weight", "reach", "part"])
+
+
+def _part_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, top, weight, part, sorted by part -> node, total; one part is in memory at a time."""
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, _, weight, nxt = _one_part(pa.Table.from_batches(held))
+        total = _sums(nxt, weight)
+        for at in range(0, len(node), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 100_000]), pa.array(total[at : at + 100_000])], names=["node", "total"])
+
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        parts = b.column(3).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1), len(parts)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            if held and parts[i] != now:
+                yield from flush(held)
+                held = []
+            now = parts[i]
+            held.append(b.slice(i, j - i))
+    if held:
+        yield from flush(held)
+
+
+def subtree_sums(links: DataFrame, bound: int = BOUND, parts: int | None = None) -> DataFrame:
+    """``node, total``: the ``weight`` of every node and of all nodes below it; ``links`` (node, top, weight, place) must have no loops.
+
+    Partitions sum their own links first.  What arrives at a top with a link elsewhere is a weight there; those tops are summed
+    among themselves by the same step, and their totals go back into the partitions that hold them.
+    """
+    parts = parts or _parts(links, bound)
+    shape = links.select("node", "top", "weight", "place")
+    if parts == 1:
+        return shape.coalesce(1).select("node", "top", "weight", F.lit(0).alias("part")).mapInArrow(_part_sums, "node bigint, total bigint")
+    local = checkpoint(shape.repartitionByRange(parts, "place", "node").select("node", "top", "weight").mapInArrow(_reaches, "node bigint, top bigint, weight bigint, reach bigint, part bigint"))
+    arrive = local.groupBy(F.col("reach").alias("node")).agg(F.sum("weight").alias("arrived"))
+    open_ = checkpoint(local.select("node", "reach").join(arrive, "node").select("node", F.col("reach").alias("top"), F.col("arrived").alias("weight"), F.col("reach").alias("place")))
+    n = open_.count()
+    if n <= bound:
+        above = subtree_sums(open_, bound, 1)
+    elif n <= local.count() // 2 and _needed(n, bound) < parts:
+        above = subtree_sums(open_, bound, _needed(n, bound))
+    else:
+        above = _doubled_sums(open_)
+    weighed = local.join(above, "node", "left").select("node", "top", (F.col("weight") + F.coalesce("total", F.lit(0))).alias("weight"), "part")
+    return weighed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_part_sums, "node bigint, total bigint")
+
+
+def _doubled_sums(links: DataFrame) -> DataFrame:
+    """``node, total`` by doubling with joins: as many rounds as the depth has binary digits, however many links there are."""
+    now = links.select("node", "top", F.col("weight").alias("total"))
+    while now.where("top IS NOT NULL").limit(1).count():
+        more = now.where("top IS NOT NULL").groupBy(F.col("top").alias("__a")).agg(F.sum("total").alias("__s"))
+        up = now.select(F.col("node").alias("__n"), F.col("top").alias("__t"))
+        now = written(now.join(more, F.col("node") == F.col("__a"), "left").join(up, F.col("top") == F.col("__n"), "left").select("node", F.col("__t").alias("top"), (F.col("total") + F.coalesce("__s", F.lit(0))).alias("total")))
+    return now.select("node", "total")
+
+
 def thread_trees(articles: DataFrame, bound: int = BOUND) -> DataFrame:
     """``message_id, root_id, depth, path, n_descendants`` of every message (also of roots and of messages in loops).
 
     ``path`` lists message ids from the root down to the message; it is NULL, as is the number of
     descendants, where the walk falls into a loop.
     """
-    nodes, pairs, solved, roots = _tree_parts(articles, bound)
+    nodes, sound, pairs, solved, roots = _tree_parts(articles, bound)
     names = nodes.select(F.col("node").alias("a"), F.col("message_id").alias("name"))
     path = pairs.join(names, "a").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.negative("k").alias("k"), "name"))).alias("p"))
     path = path.select("node", F.transform("p", lambda s: s["name"]).alias("above"))
-    below = pairs.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_below"))
+    inner = subtree_sums(sound.select("node", "top", F.lit(1).cast("bigint").alias("weight"), "place"), bound).select("node", (F.col("total") - 1).alias("n_below"))
+    # A root has no link; all that reach it are below it.
+    outer = solved.where("NOT looped").groupBy(F.col("top").alias("node")).agg(F.count("*").alias("n_below"))
+    below = inner.unionByName(outer)
     rows = nodes.join(roots, "message_id", "left").join(path, "node", "left").join(below, "node", "left")
     looped = F.coalesce(F.col("depth"), F.lit(0)) < 0
     return rows.select(
@@ -267,21 +380,21 @@ def thread_trees(articles: DataFrame, bound: int = BOUND) -> DataFrame:
     )
 
 
-def _tree_parts(articles: DataFrame, bound: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _tree_parts(articles: DataFrame, bound: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     nodes, links = reply_links(articles.select("ord", "message_id", "refs"))
     nodes, links = checkpoint(nodes), checkpoint(links)
     solved = checkpoint(solve(links, bound))
     ids = nodes.select(F.col("node").alias("top"), F.col("message_id").alias("root_id"))
     both = solved.where("NOT looped").join(ids, "top").select("node", "root_id", "hops").unionByName(loop_roots(solved, links, nodes, bound))
     roots = both.join(nodes, "node").select("message_id", "root_id", F.col("hops").alias("depth"))
-    sound = links.join(solved.where("looped").select("node"), "node", "left_anti")
+    sound = checkpoint(links.join(solved.where("looped").select("node"), "node", "left_anti"))
     pairs = checkpoint(ancestors(sound, bound=bound).select("node", F.posexplode("up").alias("k", "a")))
-    return nodes, pairs, solved, roots
+    return nodes, sound, pairs, solved, roots
 
 
 def thread_descendants(articles: DataFrame, bound: int = BOUND) -> DataFrame:
     """``message_id, descendant_id, distance``: every message with each message below it (messages in loops have none)."""
-    nodes, pairs, _, _ = _tree_parts(articles, bound)
+    nodes, _, pairs, _, _ = _tree_parts(articles, bound)
     up = nodes.select(F.col("node").alias("a"), "message_id")
     down = nodes.select("node", F.col("message_id").alias("descendant_id"))
     return pairs.join(up, "a").join(down, "node").select("message_id", "descendant_id", (F.col("k") + 1).cast("bigint").alias("distance"))

@@ -9,7 +9,9 @@ from threadloom.functions.text import counter_left, counter_right, subject_base
 
 
 def with_counters(df: DataFrame) -> DataFrame:
-    """``df`` with poster, base, n_left, m_left, n_right, m_right (NULL subject and poster count as empty)."""
+    """``df`` with poster, base, n_left, m_left, n_right, m_right (NULL subject and poster count as empty); as it is if it has them."""
+    if {"base", "n_left", "m_left", "n_right", "m_right"} <= set(df.columns):
+        return df
     s = F.coalesce("subject", F.lit(""))
     (nl, ml), (nr, mr) = counter_left(s), counter_right(s)
     return df.withColumns({"poster": F.coalesce("from_addr", F.lit("")), "base": subject_base(s), "n_left": nl, "m_left": ml, "n_right": nr, "m_right": mr})
@@ -72,15 +74,6 @@ def emitted(df: DataFrame, scope: list[str], require_complete: bool = False, pos
     return out.where("complete") if require_complete else out
 
 
-def missing_parts(df: DataFrame, scope: list[str], limit: int = 10_000) -> DataFrame:
-    """Incomplete sets of at most ``limit`` parts with their missing part numbers (a diagnostic; larger totals give NULL)."""
-    rows = assign_sets(df, scope).where("m >= 1")
-    part = F.when(F.col("n_right").between(1, F.least(F.col("m"), F.lit(limit))), F.col("n_right"))
-    grouped = rows.groupBy(*scope, "base", "m", "poster").agg(F.collect_set(part).alias("have"))
-    lost = F.when(F.col("m") <= limit, F.array_sort(F.array_except(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("m"), F.lit(limit))), "have")))
-    return grouped.withColumn("missing", lost).where("missing IS NULL OR size(missing) > 0").drop("have")
-
-
 def missing_ranges(df: DataFrame, scope: list[str]) -> DataFrame:
     """Missing part numbers of incomplete sets as ranges ``first_part, last_part``, exact for any total: the gaps between the distinct parts found."""
     rows = assign_sets(df, scope).where("m >= 1")

@@ -10,6 +10,9 @@ from threadloom.operators import multipart
 
 
 def with_collection(df: DataFrame, term: str | None = None) -> DataFrame:
+    """``df`` with poster and collection; as it is if it has them."""
+    if {"poster", "collection"} <= set(df.columns):
+        return df
     return df.withColumns({"poster": F.coalesce("from_addr", F.lit("")), "collection": collection_name(F.col("subject"), term)})
 
 

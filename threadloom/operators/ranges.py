@@ -32,20 +32,26 @@ def age_days(us: Column, asof_us: int) -> Column:
 
 
 def date_bounds(df: DataFrame, group: str, number: str, us: str, min_days: float, max_days: float, asof_us: int) -> DataFrame:
-    """Per group: the largest number at least ``min_days`` old and the smallest at most ``max_days`` old, ordered as ``lower, upper``.
+    """Per group: the largest number at least ``min_days`` old and the smallest at most ``max_days`` old, ordered as ``lower, upper``, and the ages of both.
 
     Without such an article the group's first or last number stands in.  A group whose newest article is older than
     ``max_days``, or whose oldest is younger than ``min_days``, has no range and no row.  One pass, no point look-ups;
     exact also where numbers are missing.
     """
     rows = df.where(F.col(us).isNotNull() & F.col(number).isNotNull()).withColumn("__age", age_days(F.col(us), asof_us))
+    # A bound with its age; of rows with one number the oldest date counts.
+    at = F.struct(F.col(number).alias("n"), F.col("__age").alias("age"))
+    low = F.struct(F.col(number).alias("n"), (-F.col("__age")).alias("age"))
+    back = lambda s: F.struct(s["n"].alias("n"), (-s["age"]).alias("age"))
     out = rows.groupBy(group).agg(
-        F.coalesce(F.max(F.when(F.col("__age") >= min_days, F.col(number))), F.min(number)).alias("a"),
-        F.coalesce(F.min(F.when(F.col("__age") <= max_days, F.col(number))), F.max(number)).alias("b"),
+        F.coalesce(F.max(F.when(F.col("__age") >= min_days, at)), back(F.min(low))).alias("a"),
+        F.coalesce(back(F.min(F.when(F.col("__age") <= max_days, low))), F.max(at)).alias("b"),
         F.min("__age").alias("newest"), F.max("__age").alias("oldest"),
     )
     out = out.where((F.col("newest") <= max_days) & (F.col("oldest") >= min_days))
-    return out.select(group, F.least("a", "b").alias("lower"), F.greatest("a", "b").alias("upper"))
+    swap = F.col("a.n") > F.col("b.n")
+    ends = (F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b")))
+    return out.select(group, ends[0]["n"].alias("lower"), ends[1]["n"].alias("upper"), ends[0]["age"].alias("lower_age"), ends[1]["age"].alias("upper_age"))
 
 
 def resolve_range(settings, default: tuple[int, int], by_dates=None) -> tuple[int, int]:

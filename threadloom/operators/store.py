@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.schema import ARTICLES
+from threadloom.session import tasks
+
+#: Groups of a batch up to which their names are looked up first, so that only their stored rows are read.
+NAMED = 10_000
 
 
 def first_wins(df: DataFrame, keys: tuple[str, ...] = ("group_name", "message_id"), order: str = "ord") -> DataFrame:
@@ -20,9 +25,17 @@ def first_wins(df: DataFrame, keys: tuple[str, ...] = ("group_name", "message_id
 
 
 def insert_or_ignore(existing: DataFrame, batch: DataFrame, keys: tuple[str, ...] = ("group_name", "message_id"), order: str = "ord") -> DataFrame:
-    """The rows of ``batch`` that an insertion adds to ``existing``: stored rows win, then the first of the batch."""
+    """The rows of ``batch`` that an insertion adds to ``existing``: stored rows win, then the first of the batch.
+
+    Of a table partitioned by group only the batch's groups are read, and of those only the keys.
+    """
     new = first_wins(batch, keys, order)
-    return new.join(existing.select(*keys).distinct(), list(keys), "left_anti").select(*batch.columns)
+    stored = existing.select(*keys)
+    if "group_name" in keys:
+        groups = [r[0] for r in batch.select("group_name").distinct().limit(NAMED + 1).collect()]
+        if len(groups) <= NAMED:  # else the join alone decides; the rows are the same
+            stored = stored.where(F.col("group_name").isin([g for g in groups if g is not None]))
+    return new.join(stored, list(keys), "left_anti").select(*batch.columns)
 
 
 def ensure_tables(spark: SparkSession, database: str = "default") -> None:
@@ -39,28 +52,33 @@ def upsert_headers(batch: DataFrame, path: str, group: str | None = None, order:
 
     ``group``: the group that all rows get, whatever they say.
     """
-    spark = batch.sparkSession
     if group is not None:
         batch = batch.withColumn("group_name", F.lit(group))
     try:
-        stored = spark.read.parquet(path)
-        new = insert_or_ignore(stored, batch, order=order)
-    except Exception as e:  # nothing stored yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
+        new = insert_or_ignore(stored_articles(batch.sparkSession, path), batch, order=order)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing stored yet
             raise
         new = first_wins(batch, order=order)
-    new.repartition("group_name").sortWithinPartitions("group_name", "artnum").write.mode("append").partitionBy("group_name").parquet(path)
+    _spread(new).write.mode("append").partitionBy("group_name").parquet(path)
+
+
+def stored_articles(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path``.  Group names stay text, also where all of them look like numbers."""
+    known = spark.read.parquet(path)
+    schema = known.schema
+    schema["group_name"].dataType = ARTICLES["group_name"].dataType
+    return spark.read.schema(schema).parquet(path)
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Ranges of group and article number: a group with most of the rows is written by many tasks, small ones share one."""
+    return df.repartitionByRange(tasks(df.sparkSession), "group_name", "artnum").sortWithinPartitions("group_name", "artnum")
 
 
 def reload(df: DataFrame, path: str, order: str = "artnum") -> None:
     """Replace the groups of ``df`` in the table at ``path`` entirely."""
-    spark = df.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        first_wins(df, order=order).repartition("group_name").sortWithinPartitions("artnum").write.mode("overwrite").partitionBy("group_name").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    _spread(first_wins(df, order=order)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("group_name").parquet(path)
 
 
 def high_water(articles: DataFrame, groups: DataFrame | None = None) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions import text
+from threadloom.functions import text, timestamps
 from threadloom.functions.timestamps import with_utc_micros
-from threadloom.operators import filters, hierarchy, hotkeys, multipart, naming, ranges, store
+from threadloom.operators import filters, hierarchy, hotkeys, multipart, naming, order, ranges, store
 from threadloom.operators.packed import explode_packed
 from threadloom.plans import manifests, oracle
 from threadloom.sources import records
@@ -20,8 +20,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 ASOF_US = 1_709_251_200_000_000
 #: Dates already in the stored form: with an offset, to the second.
 STORED_FORM = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{2}:\d{2}$"
-#: Beginnings of mail dates, in any spelling of zone, year and time.
-MAIL_FORM = r"^\s*(?:\p{L}{2,10}\.?,?\s+)?(?:\d{1,2}\.?\s+\p{L}+\.?,?\s+(?:\d{4}|\d{2})\s+\d{1,2}:\d{2}|\p{L}+\s+\d{1,2}\s+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?\s+\d{4})"
 GROUP = "orb.binaries.scans"
 
 _REGISTERED: dict[str, Query] = {}
@@ -140,6 +138,13 @@ def combined_filters(a: DataFrame) -> DataFrame:
     return filters.search(a, group=GROUP, subject_like="yenc", from_like="a", not_subject=".exe|.nfo", not_from="anon").select("ord", "subject", "from_addr")
 
 
+@query
+def order_by_artnum(a: DataFrame) -> DataFrame:
+    """Every article in the order of its number within its group, with its place there."""
+    by = [F.col(c).asc() for c in ("group_name", "artnum", "ord")]
+    return order.numbered(a.select("ord", "group_name", "artnum"), by, "place", ["group_name"])
+
+
 @query
 def order_by_artnum_limit(a: DataFrame) -> DataFrame:
     """The ten oldest articles of every group."""
@@ -149,9 +154,9 @@ def order_by_artnum_limit(a: DataFrame) -> DataFrame:
 
 @query
 def order_by_poster_subject(a: DataFrame) -> DataFrame:
-    """The place of every article among those of its poster in its group."""
-    w = Window.partitionBy("group_name", "from_addr").orderBy(F.col("subject").asc_nulls_first(), "artnum", "ord")
-    return a.select("ord", F.row_number().over(w).cast("bigint").alias("place"))
+    """The place of every article in the order of poster, subject and number, which groups collections."""
+    by = [F.coalesce("from_addr", F.lit("")), F.coalesce("subject", F.lit("")), F.col("artnum").asc(), F.col("ord").asc()]
+    return order.numbered(a.select("ord", "from_addr", "subject", "artnum"), by).select("ord", "place")
 
 
 # Storage
@@ -174,8 +179,8 @@ def null_ids_kept(a: DataFrame) -> DataFrame:
 
 @tables
 def upsert_ignore_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wire records inserted into the stored articles of the binaries groups: what is added."""
-    stored = table(spark, sf_dir, "articles").where(F.col("group_name").contains(".binaries."))
+    """Wire records inserted into the stored articles: what is added."""
+    stored = table(spark, sf_dir, "articles")
     batch = records.articles(table(spark, sf_dir, "overviews"))
     return store.insert_or_ignore(stored, batch, order="artnum").select("group_name", "artnum", "message_id")
 
@@ -243,19 +248,9 @@ def collection_name_without_term(a: DataFrame) -> DataFrame:
 
 
 @query
-def mail_dates(a: DataFrame) -> DataFrame:
-    """Mail dates with a numeric zone, as UTC in the stored form."""
-    mail = a.where(F.col("date_utc").rlike(r"^(?:[A-Z][a-z]{2}, )?\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}")).select("ord", "date_utc")
-    t = with_utc_micros(mail, "date_utc", "us")
-    return t.select("ord", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ssxxx").alias("iso"))
-
-
-@query
-def mail_dates_all(a: DataFrame) -> DataFrame:
-    """Dates written day, month name, year and time, or as C's ``asctime``, as UTC in the stored form; NULL where they denote no instant."""
-    mail = a.where(F.col("date_utc").rlike(MAIL_FORM)).select("ord", "date_utc")
-    t = with_utc_micros(mail, "date_utc", "us")
-    return t.select("ord", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ssxxx").alias("iso"))
+def to_iso(a: DataFrame) -> DataFrame:
+    """Every date as UTC in the stored form; NULL where it denotes no instant."""
+    return with_utc_micros(a.select("ord", "date_utc"), "date_utc", "us").select("ord", timestamps.to_iso(F.col("us")).alias("iso"))
 
 
 # Multipart posts
@@ -297,19 +292,15 @@ def complete_sets(a: DataFrame) -> DataFrame:
 
 @query
 def missing_parts(a: DataFrame) -> DataFrame:
-    lost = multipart.missing_parts(kept(a), ["group_name"])
-    return lost.select("group_name", "base", "m", "poster", F.explode("missing").alias("part"))
-
-
-@query
-def missing_ranges(a: DataFrame) -> DataFrame:
     """Missing parts as ranges, of sets of any total."""
     return multipart.missing_ranges(kept(a), ["group_name"])
 
 
 @query
 def programs_dropped(a: DataFrame) -> DataFrame:
-    return multipart.sets(kept(a), ["group_name"]).where("is_program").select("group_name", "base", "m", "poster", "n_rows")
+    """Sets that a manifest leaves out by name, the subjects taken without their quotes (a closing quote hides the ending)."""
+    bare = kept(a).withColumn("subject", F.translate("subject", '"', ""))
+    return multipart.sets(bare, ["group_name"]).where("is_program").select("group_name", "base", "m", "poster", "n_rows")
 
 
 @query
@@ -336,7 +327,7 @@ def collection_files_complete(a: DataFrame) -> DataFrame:
 
 @query
 def manifest_single(a: DataFrame) -> DataFrame:
-    return manifests.single(kept(a), F.lit(ASOF_US // 1_000_000), "yenc", True)
+    return manifests.single(kept(a), F.lit(ASOF_US // 1_000_000), None, True)
 
 
 @query
@@ -357,28 +348,18 @@ def manifest_totals(a: DataFrame) -> DataFrame:
 
 @query
 def age_days(a: DataFrame) -> DataFrame:
-    dated = with_utc_micros(a.where(F.col("date_utc").rlike(STORED_FORM)).select("ord", "date_utc"), "date_utc", "us").where("us IS NOT NULL")
-    return dated.select("ord", (F.floor(ranges.age_days(F.col("us"), ASOF_US) * 1000) / 1000.0).alias("age"))
-
-
-@query
-def date_boundaries(a: DataFrame) -> DataFrame:
-    dated = with_utc_micros(a.where(F.col("date_utc").rlike(STORED_FORM)).select("group_name", "artnum", "date_utc"), "date_utc", "us")
-    return ranges.date_bounds(dated, "group_name", "artnum", "us", 200.0, 400.0, ASOF_US)
-
-
-@query
-def age_days_all(a: DataFrame) -> DataFrame:
-    """Like :func:`age_days`, of all rows whose date denotes an instant, in whatever form it is written."""
+    """Age of every article whose date denotes an instant, in whatever form it is written."""
     dated = with_utc_micros(a.select("ord", "date_utc"), "date_utc", "us").where("us IS NOT NULL")
     return dated.select("ord", (F.floor(ranges.age_days(F.col("us"), ASOF_US) * 1000) / 1000.0).alias("age"))
 
 
 @query
-def date_boundaries_all(a: DataFrame) -> DataFrame:
-    """Like :func:`date_boundaries`, over the instants of all rows."""
+def date_boundaries(a: DataFrame) -> DataFrame:
+    """Bounds by age over the instants of all articles, with the ages of the two bounds."""
     dated = with_utc_micros(a.select("group_name", "artnum", "date_utc"), "date_utc", "us")
-    return ranges.date_bounds(dated, "group_name", "artnum", "us", 200.0, 400.0, ASOF_US)
+    bounds = ranges.date_bounds(dated, "group_name", "artnum", "us", 200.0, 400.0, ASOF_US)
+    milli = lambda c: F.floor(F.col(c) * 1000) / 1000.0
+    return bounds.withColumns({"lower_age": milli("lower_age"), "upper_age": milli("upper_age")})
 
 
 @tables

@@ -179,21 +179,25 @@ def _empty() -> str:
 
 def _documents(scope: str, date: int) -> str:
     """Common table ``docs`` (scope, xml) after those of :func:`_sets`."""
-    from threadloom.plans.manifests import DECLARATION, DOCTYPE, NAMESPACE
+    from threadloom.plans.manifests import DECLARATION, DOCTYPE, NAMESPACE, PIECES
 
     text_id = f"regexp_replace({_strip('coalesce(message_id, ' + _q('') + ')')}, '(?s)^<(.*)>$', '\\1')"
     same = " AND ".join(f"c.{k} = j.{k}" for k in [*scope.split(", "), "base", "m", "poster"])
     nl = "' || chr(10) || '"
     seg = f"'      <segment bytes=\"' || bytes || '\" number=\"' || number || CASE WHEN id = '' THEN '\"/>' ELSE '\">' || {_escaped('id', False)} || '</segment>' END || chr(10)"
-    file = (
-        f"'  <file poster=\"' || {_escaped('poster', True)} || '\" date=\"{date}\" subject=\"' || {_escaped('base', True)} || '\">{nl}    <groups>{nl}      <group>' || {_escaped('group_name', False)} || "
-        f"'</group>{nl}    </groups>{nl}    <segments>{nl}' || string_agg({seg}, '' ORDER BY number, pos, bytes, id) || '    </segments>{nl}  </file>{nl}'"
-    )
+    first = f"'  <file poster=\"' || {_escaped('who', True)} || '\" date=\"{date}\" subject=\"' || {_escaped('base', True)} || '\">{nl}    <groups>{nl}      <group>' || {_escaped('group_name', False)} || '</group>{nl}    </groups>{nl}    <segments>{nl}'"
     head = f"'{DECLARATION}{nl}{DOCTYPE}{nl}<nzb xmlns=\"{NAMESPACE}\">{nl}'"
+    sets = f"SELECT {scope}, base, m, poster AS who, first_pos"
     return (
-        f", segs AS (SELECT c.*, n_right AS number, artnum AS pos, {text_id} AS id FROM (SELECT * REPLACE (coalesce(bytes, 0) AS bytes) FROM chosen) c JOIN judged j ON j.complete AND NOT j.is_program AND {same}), "
-        f"elements AS (SELECT {scope}, base, m, poster AS who, min(pos) AS first_pos, {file} AS xml FROM segs GROUP BY {scope}, base, m{'' if 'poster' in scope else ', poster'}), "
-        f"docs AS (SELECT {scope}, {head} || string_agg(xml, '' ORDER BY first_pos, base, m, who, xml) || '</nzb>{nl}' AS xml FROM elements GROUP BY {scope}) "
+        f", emitted AS ({sets} FROM judged WHERE complete AND NOT is_program), "
+        f"segs AS (SELECT c.*, j.first_pos, n_right AS number, artnum AS pos, {text_id} AS id FROM (SELECT * REPLACE (coalesce(bytes, 0) AS bytes) FROM chosen) c JOIN judged j ON j.complete AND NOT j.is_program AND {same}), "
+        f"pieces AS (SELECT DISTINCT {scope}, 0 AS section, NULL::BIGINT AS first_pos, NULL AS base, NULL::BIGINT AS m, NULL AS who, 0 AS kind, NULL::BIGINT AS number, NULL::BIGINT AS pos, NULL::BIGINT AS bytes, NULL AS id, {head} AS xml FROM emitted "
+        f"UNION ALL SELECT DISTINCT {scope}, 2, NULL, NULL, NULL, NULL, 0, NULL, NULL, NULL, NULL, '</nzb>{nl}' FROM emitted "
+        f"UNION ALL SELECT {scope}, 1, first_pos, base, m, who, 0, NULL, NULL, NULL, NULL, {first} FROM emitted "
+        f"UNION ALL SELECT {scope}, 1, first_pos, base, m, poster, 1, number, pos, bytes, id, {seg} FROM segs "
+        f"UNION ALL SELECT {scope}, 1, first_pos, base, m, who, 2, NULL, NULL, NULL, NULL, '    </segments>{nl}  </file>{nl}' FROM emitted), "
+        f"placed AS (SELECT *, row_number() OVER (PARTITION BY {scope} ORDER BY section, first_pos, base, m, who, kind, number, pos, bytes, id) AS place FROM pieces), "
+        f"docs AS (SELECT {scope}, (place - 1) // {PIECES} AS block, string_agg(xml, '' ORDER BY place) AS xml FROM placed GROUP BY {scope}, (place - 1) // {PIECES}) "
     )
 
 
@@ -224,12 +228,18 @@ def statements(asof_us: int, group: str) -> dict[str, str]:
         "UNION ALL SELECT ord, 'xref', row_number() OVER (PARTITION BY ord ORDER BY k), value FROM (SELECT ord, unnest(v) AS value, generate_subscripts(v, 1) AS k FROM (SELECT ord, regexp_split_to_array(xref, '[\\s,;|\"''\\[\\](){}<>]+') AS v FROM articles)) "
         "JOIN (SELECT DISTINCT group_name FROM newsgroups) ON regexp_extract(value, '^(.+):\\d+$', 1) = group_name"
     )
-    dated = f"(SELECT a.ord, a.group_name, a.artnum, i.utc_us AS us FROM articles a JOIN {_instant()} i USING (ord) WHERE regexp_matches(a.date_utc, {_q(_STORED)}) AND i.utc_us IS NOT NULL)"
+    dated = f"(SELECT a.ord, a.group_name, a.artnum, i.utc_us AS us FROM articles a JOIN {_instant()} i USING (ord) WHERE i.utc_us IS NOT NULL)"
     plan = lambda chunk, end: f"SELECT group_name, chunk_start, least(chunk_start + {chunk - 1}, e) AS chunk_end FROM (SELECT group_name, {end} AS e, unnest(generate_series(first_article, {end}, {chunk})) AS chunk_start FROM newsgroups WHERE last_article >= first_article)"
     return {
         "p2_found": "SELECT from_addr FROM articles WHERE from_addr <> '' GROUP BY from_addr HAVING count(*) >= 0.03 * (SELECT count(*) FROM articles)",
         "p2_totals": f"SELECT from_addr, count(*) AS n_rows, CAST(sum(coalesce(bytes, 0)) AS BIGINT) AS total_bytes, min(utc_us) AS first_us, max(utc_us) AS last_us FROM articles LEFT JOIN {_instant()} i USING (ord) GROUP BY from_addr",
         "p4_found": _threads() + "SELECT id AS message_id, coalesce(loop, top) AS root_id, CASE WHEN loop IS NULL THEN CAST(depth AS BIGINT) ELSE -1 END AS depth FROM root",
+        "p4_trees": _threads()
+        + ", sound AS (SELECT id, depth, top FROM root WHERE loop IS NULL UNION ALL SELECT message_id, 0, message_id FROM nodes WHERE message_id NOT IN (SELECT id FROM up)), "
+        + "above AS (SELECT r.id, list(r.anc ORDER BY s.depth) AS names FROM reach r JOIN sound s ON s.id = r.anc GROUP BY r.id), below AS (SELECT r.anc AS id, count(*) AS n FROM reach r JOIN sound s ON s.id = r.id GROUP BY r.anc) "
+        + "SELECT n.message_id, coalesce(x.loop, x.top, n.message_id) AS root_id, CASE WHEN x.loop IS NOT NULL THEN -1 ELSE CAST(coalesce(x.depth, 0) AS BIGINT) END AS depth, "
+        + "CASE WHEN x.loop IS NULL THEN list_append(coalesce(a.names, []), n.message_id) END AS path, CASE WHEN x.loop IS NULL THEN coalesce(b.n, 0) END AS n_descendants "
+        + "FROM nodes n LEFT JOIN root x ON x.id = n.message_id LEFT JOIN above a ON a.id = n.message_id LEFT JOIN below b ON b.id = n.message_id",
         "p4_descendants": _threads() + ", sound AS (SELECT id, depth FROM root WHERE loop IS NULL) SELECT r.anc AS message_id, r.id AS descendant_id, CAST(s.depth - coalesce(t.depth, 0) AS BIGINT) AS distance FROM reach r JOIN sound s ON s.id = r.id LEFT JOIN sound t ON t.id = r.anc",
         "p5_found": f"SELECT ord, utc_us FROM {_instant()} WHERE utc_us IS NOT NULL AND NOT regexp_matches(date_utc, {_q(_STORED)})",
         "p5_all": f"SELECT a.ord, i.utc_us FROM articles a LEFT JOIN {_instant()} i USING (ord)",
@@ -244,12 +254,13 @@ def statements(asof_us: int, group: str) -> dict[str, str]:
         "subject_not_any": "SELECT ord, subject FROM articles WHERE " + " AND ".join(f"NOT {_like('subject', t)}" for t in ("yenc", "part", "re:")),
         "poster_not_any": "SELECT ord, from_addr FROM articles WHERE " + " AND ".join(f"NOT {_like('from_addr', t)}" for t in ("example", "robot")),
         "combined_filters": f"SELECT ord, subject, from_addr FROM articles WHERE group_name = {_q(group)} AND {_like('subject', 'yenc')} AND {_like('from_addr', 'a')} AND NOT {_like('subject', '.exe')} AND NOT {_like('subject', '.nfo')} AND NOT {_like('from_addr', 'anon')}",
+        "order_by_artnum": "SELECT ord, group_name, artnum, row_number() OVER (PARTITION BY group_name ORDER BY artnum, ord) AS place FROM articles",
         "order_by_artnum_limit": "SELECT * FROM (SELECT ord, group_name, artnum, row_number() OVER (PARTITION BY group_name ORDER BY artnum, ord) AS place FROM articles) WHERE place <= 10",
-        "order_by_poster_subject": "SELECT ord, row_number() OVER (PARTITION BY group_name, from_addr ORDER BY subject NULLS FIRST, artnum, ord) AS place FROM articles",
+        "order_by_poster_subject": "SELECT ord, row_number() OVER (ORDER BY coalesce(from_addr, ''), coalesce(subject, ''), artnum, ord) AS place FROM articles",
         "dedup_first_wins": f"SELECT ord, group_name, message_id FROM {KEPT}",
         "dedup_by_message_id": "SELECT ord, message_id FROM articles WHERE message_id IS NULL UNION ALL SELECT min(ord), message_id FROM articles WHERE message_id IS NOT NULL GROUP BY message_id",
         "null_ids_kept": "SELECT group_name, count(*) AS n FROM articles WHERE message_id IS NULL GROUP BY group_name",
-        "upsert_ignore_existing": f"WITH w AS (SELECT * FROM {wire}), n AS (SELECT group_name, artnum, message_id FROM w WHERE message_id IS NULL UNION ALL SELECT group_name, min(artnum), message_id FROM w WHERE message_id IS NOT NULL GROUP BY group_name, message_id) SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE contains(a.group_name, '.binaries.') AND a.group_name = n.group_name AND a.message_id = n.message_id)",
+        "upsert_ignore_existing": f"WITH w AS (SELECT * FROM {wire}), n AS (SELECT group_name, artnum, message_id FROM w WHERE message_id IS NULL UNION ALL SELECT group_name, min(artnum), message_id FROM w WHERE message_id IS NOT NULL GROUP BY group_name, message_id) SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.group_name = n.group_name AND a.message_id = n.message_id)",
         "high_water_marks": "SELECT g.group_name, coalesce(max(artnum), 0) AS db_max, coalesce(min(artnum), 0) AS db_min FROM newsgroups g LEFT JOIN articles a USING (group_name) GROUP BY g.group_name",
         "next_ranges": "SELECT * FROM (SELECT g.group_name, CASE WHEN coalesce(max(artnum), 0) > 0 THEN max(artnum) + 1 ELSE first_article END AS lo, last_article AS hi FROM newsgroups g LEFT JOIN articles a USING (group_name) GROUP BY g.group_name, first_article, last_article) WHERE lo <= hi",
         "group_counts": "SELECT group_name, CASE WHEN first_article IS NOT NULL AND last_article IS NOT NULL THEN last_article - first_article + 1 ELSE 0 END AS article_count FROM newsgroups",
@@ -260,15 +271,17 @@ def statements(asof_us: int, group: str) -> dict[str, str]:
         "sanitize_filename": "SELECT ord, regexp_replace(substring(subject, 1, 30), '[^\\p{L}\\p{N} _-]', '_', 'g') AS name FROM articles",
         "collection_name": f"SELECT ord, collection FROM {_collection('articles')}",
         "collection_name_without_term": f"SELECT ord, collection FROM {_collection('articles', 'lantern%file')}",
-        "mail_dates": f"SELECT i.ord, strftime(make_timestamp(utc_us), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM {_instant()} i WHERE regexp_matches(date_utc, '^(?:[A-Z][a-z]{{2}}, )?\\d{{1,2}} [A-Z][a-z]{{2}} \\d{{4}} \\d{{2}}:\\d{{2}}:\\d{{2}} [+-]\\d{{4}}')",
+        "to_iso": f"SELECT a.ord, strftime(make_timestamp(utc_us), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM articles a LEFT JOIN {_instant()} i USING (ord)",
         "singles": f"SELECT ord, base FROM {_parts()} WHERE m_left IS NULL",
         "strategy_choice": _strategy(_parts(), ""),
         "strategy_by_group": _strategy(_parts(), "group_name"),
         "strategy_by_collection": _strategy(parts3, scope3),
         "set_sizes": _sets("group_name") + "SELECT group_name, base, m, poster, n_rows, n_parts, first_pos, total_bytes, complete, is_program FROM judged",
         "complete_sets": _sets("group_name") + "SELECT group_name, base, m, poster, n_rows, first_pos FROM judged WHERE complete AND NOT is_program",
-        "missing_parts": _sets("group_name") + "SELECT s.group_name, s.base, s.m, s.poster, s.part FROM (SELECT group_name, base, m, poster, unnest(generate_series(1, m)) AS part FROM sets WHERE m BETWEEN 1 AND 10000) s WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.group_name = s.group_name AND c.base = s.base AND c.m = s.m AND c.poster = s.poster AND c.n_right = s.part)",
-        "programs_dropped": _sets("group_name") + "SELECT group_name, base, m, poster, n_rows FROM sets WHERE is_program",
+        "missing_parts": _sets("group_name")
+        + ", k AS (SELECT DISTINCT group_name, base, m, poster, n_right AS part FROM chosen WHERE n_right BETWEEN 1 AND m UNION SELECT group_name, base, m, poster, unnest([0, m + 1]) FROM sets WHERE m >= 1), "
+        + "g AS (SELECT *, lead(part) OVER (PARTITION BY group_name, base, m, poster ORDER BY part) AS after FROM k) SELECT group_name, base, m, poster, part + 1 AS first_part, after - 1 AS last_part FROM g WHERE after > part + 1",
+        "programs_dropped": _sets("group_name", f"(SELECT * REPLACE (replace(subject, chr(34), '') AS subject) FROM {KEPT})") + "SELECT group_name, base, m, poster, n_rows FROM sets WHERE is_program",
         "segments_sorted": _sets("group_name")
         + "SELECT c.group_name, c.base, c.m, c.poster, row_number() OVER (PARTITION BY c.group_name, c.base, c.m, c.poster ORDER BY n_right, ord) AS place, n_right AS number, coalesce(bytes, 0) AS bytes, "
         + f"regexp_replace({_strip(chr(99) + 'oalesce(message_id, ' + _q('') + ')')}, '(?s)^<(.*)>$', '\\1') AS id FROM chosen c JOIN judged j ON j.complete AND NOT j.is_program AND j.group_name = c.group_name AND j.base = c.base AND j.m = c.m AND j.poster = c.poster",
@@ -278,12 +291,15 @@ def statements(asof_us: int, group: str) -> dict[str, str]:
         "manifest_totals": sets3
         + numbered.replace("{only}", "AND complete")
         + f"SELECT group_name, n_collections, coalesce(n_files, 0) AS n_files, n_collections - coalesce(n_files, 0) AS n_skipped FROM (SELECT group_name, count(*) AS n_collections FROM firsts GROUP BY group_name) LEFT JOIN (SELECT group_name, count(*) AS n_files FROM files GROUP BY group_name) USING (group_name)",
-        "manifest_single": _sets("group_name", f"(SELECT * FROM {KEPT} WHERE {_like('subject', 'yenc')})")
+        "manifest_single": _sets("group_name")
         + _documents("group_name", asof_us // 1_000_000)
-        + f"SELECT group_name, 'yenc.nzb' AS file_name, coalesce(xml, {_empty()}) AS xml FROM (SELECT DISTINCT group_name FROM {KEPT} WHERE {_like('subject', 'yenc')}) LEFT JOIN docs USING (group_name)",
-        "manifest_grouped": sets3 + numbered.replace("{only}", "AND complete") + _documents(scope3, asof_us // 1_000_000) + f"SELECT d.group_name, f.file_name, d.xml FROM docs d JOIN ({files}) f USING ({scope3})",
+        + f"SELECT group_name, 'output.nzb' AS file_name, coalesce(block, 0) AS block, coalesce(xml, {_empty()}) AS xml FROM (SELECT DISTINCT group_name FROM {KEPT}) LEFT JOIN docs USING (group_name)",
+        "manifest_grouped": sets3 + numbered.replace("{only}", "AND complete") + _documents(scope3, asof_us // 1_000_000) + f"SELECT d.group_name, f.file_name, d.block, d.xml FROM docs d JOIN ({files}) f USING ({scope3})",
         "age_days": f"SELECT ord, floor(({asof_us} - us) / CAST(86400000000.0 AS DOUBLE) * CAST(1000 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS age FROM {dated}",
-        "date_boundaries": f"WITH g AS (SELECT group_name, coalesce(max(CASE WHEN ({asof_us} - us) / 86400000000.0 >= 200 THEN artnum END), min(artnum)) AS a, coalesce(min(CASE WHEN ({asof_us} - us) / 86400000000.0 <= 400 THEN artnum END), max(artnum)) AS b, min({asof_us} - us) / 86400000000.0 AS newest, max({asof_us} - us) / 86400000000.0 AS oldest FROM {dated} GROUP BY group_name) SELECT group_name, least(a, b) AS lower, greatest(a, b) AS upper FROM g WHERE newest <= 400 AND oldest >= 200",
+        "date_boundaries": f"WITH r AS (SELECT group_name, artnum, ({asof_us} - us) / CAST(86400000000.0 AS DOUBLE) AS age FROM {dated}), g AS (SELECT group_name, coalesce(max(artnum) FILTER (WHERE age >= 200), min(artnum)) AS a, coalesce(min(artnum) FILTER (WHERE age <= 400), max(artnum)) AS b, "
+        "max(artnum) FILTER (WHERE age >= 200) IS NULL AS no_a, min(artnum) FILTER (WHERE age <= 400) IS NULL AS no_b FROM r GROUP BY group_name HAVING min(age) <= 400 AND max(age) >= 200), "
+        "x AS (SELECT g.*, (SELECT max(age) FROM r WHERE r.group_name = g.group_name AND artnum = a AND (no_a OR age >= 200)) AS age_a, (SELECT max(age) FROM r WHERE r.group_name = g.group_name AND artnum = b AND (no_b OR age <= 400)) AS age_b FROM g) "
+        "SELECT group_name, least(a, b) AS lower, greatest(a, b) AS upper, floor(CASE WHEN a > b THEN age_b ELSE age_a END * CAST(1000 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS lower_age, floor(CASE WHEN a > b THEN age_a ELSE age_b END * CAST(1000 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS upper_age FROM x",
         "chunk_plan": plan(1000, "last_article"),
         "chunk_plan_limit": plan(100, "least(last_article, first_article + 249)"),
         "chunk_row_counts": f"SELECT p.group_name, p.chunk_start, count(a.artnum) AS n FROM ({plan(1000, 'last_article')}) p LEFT JOIN articles a ON a.group_name = p.group_name AND a.artnum BETWEEN p.chunk_start AND p.chunk_end GROUP BY p.group_name, p.chunk_start",

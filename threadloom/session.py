@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +16,11 @@ LOCAL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+#: Tables that :func:`written` made and :func:`release` has not removed.
+_TABLES: list[str] = []
 
 
 def local_session(cores: str | int = "*", app: str = "threadloom", **conf: str) -> SparkSession:
@@ -26,15 +34,20 @@ def local_session(cores: str | int = "*", app: str = "threadloom", **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints.
+    """The shared folder for checkpoints, which a cluster names in ``spark.checkpoint.dir``.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (single-machine
-    tests) a folder of our own is made.
+    Where that is unset, a local session (tests) gets a folder of its own, removed at exit; any other is refused, since no
+    machine's own folder is one that all executors share.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="threadloom-checkpoint-"))
+        if not named:
+            if not sc.master.split("[")[0] == "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="threadloom-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -52,9 +65,29 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables that :func:`written` made (those after the first ``since``).  Results not yet computed may still need them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _TABLES[since:]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    del _TABLES[since:]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside the block are removed at its end."""
+    since = len(_TABLES)
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
 def tasks(spark: SparkSession) -> int:
     """Number of partitions that a wide operator should use."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
