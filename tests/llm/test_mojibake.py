@@ -2,7 +2,7 @@ import pytest
 
 from threadloom.llm.mojibake import CHAINS, CLEAN, damaged_fields, garbled, restored_fields, undone, verdict
 
-CLEAN_WORDS = ["Ysölde", "Brännkvist", "Vačpazorřl", "Kaőrastox", "Терадяк", "вюник", "Κωσωπός", "デドクメビム", "“dense”", "basket’s", "–", "ÂLTO", "VELÃO", "MÂRCA", "«Planeflort»", "¿Greabrair", "44°", "±50", "£25", "§", "µm", "m³", "©", "÷", "日本語", "Foo™", "1891–1901", "Nikañkát"]
+CLEAN_WORDS = ["Ysölde", "Brännkvist", "Vačpazorřl", "Kaőrastox", "Терадяк", "вюник", "Κωσωπός", "デドクメビム", "“dense”", "basket’s", "–", "ÂLTO", "VELÃO", "MÂRCA", "«Planeflort»", "¿Greabrair", "44°", "±50", "£25", "§", "µm", "m³", "©", "÷", "½", "2½", "⅔", "x²", "日本語", "Foo™", "1891–1901", "Nikañkát"]
 COLS = "ord bigint, subject string, from_addr string"
 
 
@@ -24,14 +24,18 @@ def test_round_trip(chain):
     assert some or "greek" in chain or "jis" in chain or "jp" in chain or "437" in chain or "850" in chain or "mac" in chain or "cp866" in chain or "koi8" in chain or "1250" in chain or "latin2" in chain or "1251" in chain
 
 
-@pytest.mark.parametrize("word, chain", [("Ysölde", "utf8-cp1252"), ("Ysölde", "utf8-cp1252-twice"), ("Ysölde", "utf8-macroman"), ("Ysölde", "latin1-cp437"), ("Ysölde", "latin1-macroman"), ("Vačpazorřl", "latin2-latin1"), ("Терадяк", "cp1251-latin1"), ("Терадяк", "koi8r-cp1251"), ("вюник", "koi8r-cp1251"), ("Терадяк", "cp866-latin1"), ("Κωσωπός", "greek-latin1"), ("デドクメビム", "sjis-latin1"), ("–", "utf8-cp1252"), ("±50", "utf8-macroman")])
-def test_known_words_come_back(spark, word, chain):
-    bad = garbled(word, chain)
-    rows = [(i, f"Re: {w} ok", "a <a@b>") for i, w in enumerate(CLEAN_WORDS)] * 2 + [(100, f"see {bad} now", None), (101, None, f'"{bad}" <x@y>')]
+KNOWN = [("Ysölde", "utf8-cp1252"), ("Ysölde", "utf8-cp1252-twice"), ("Ysölde", "utf8-macroman"), ("Ysölde", "latin1-cp437"), ("Ysölde", "latin1-macroman"), ("Vačpazorřl", "latin2-latin1"), ("Терадяк", "cp1251-latin1"), ("Терадяк", "koi8r-cp1251"), ("вюник", "koi8r-cp1251"), ("Терадяк", "cp866-latin1"), ("Κωσωπός", "greek-latin1"), ("デドクメビム", "sjis-latin1"), ("–", "utf8-cp1252"), ("±50", "utf8-macroman")]
+
+
+def test_known_words_come_back(spark):
+    rows = [(i, f"Re: {w} ok", "a <a@b>") for i, w in enumerate(CLEAN_WORDS)] * 2
+    for k, (word, chain) in enumerate(KNOWN):
+        bad = garbled(word, chain)
+        rows += [(100 + 2 * k, f"see {bad} now", None), (101 + 2 * k, None, f'"{bad}" <x@y>')]
     df = spark.createDataFrame(rows, COLS)
-    assert {tuple(r) for r in damaged_fields(df).collect()} == {(100, "subject"), (101, "from_addr")}
-    back = {(r["ord"], r["field"]): (r["restored"], r["whole"]) for r in restored_fields(df).collect()}
-    assert back == {(100, "subject"): (f"see {word} now", True), (101, "from_addr"): (f'"{word}" <x@y>', True)}
+    want = {(100 + 2 * k, "subject"): (f"see {w} now", True) for k, (w, _) in enumerate(KNOWN)} | {(101 + 2 * k, "from_addr"): (f'"{w}" <x@y>', True) for k, (w, _) in enumerate(KNOWN)}
+    assert {tuple(r) for r in damaged_fields(df).collect()} == set(want)
+    assert {(r["ord"], r["field"]): (r["restored"], r["whole"]) for r in restored_fields(df).collect()} == want
 
 
 def test_unknown_words_come_back_by_walking_the_chain(spark):
@@ -50,7 +54,7 @@ def test_lost_text_and_clean_text(spark):
 
 def test_edges(spark):
     long = "word " * 50_000 + "YsÃ¶lde"
-    df = spark.createDataFrame([(1, long, None, "q", 1), (1, "YsÃ¶lde", None, "q", 1), (None, "YsÃ¶lde", None, "q", 1), (2, "Ã¶" * 20_000, None, "q", 1)], COLS + ", word string, field int")
+    df = spark.createDataFrame([(1, long, None, "q", 1), (1, "YsÃ¶lde", None, "q", 1), (None, "YsÃ¶lde", None, "q", 1), (2, "Ã¶" * 5_000, None, "q", 1)], COLS + ", word string, field int")
     assert {tuple(r) for r in damaged_fields(df).collect()} == {(1, "subject"), (None, "subject"), (2, "subject")}
     assert damaged_fields(df.limit(0)).count() == 0 and restored_fields(df.limit(0)).count() == 0
 
@@ -66,3 +70,27 @@ def test_words_that_look_clean_after_damage(spark):
     assert {tuple(r) for r in damaged_fields(df).collect()} == {(60, "subject"), (61, "from_addr"), (62, "subject")}
     got = {r["ord"]: (r["restored"], r["whole"]) for r in restored_fields(df).collect()}
     assert got == {60: ("рекодом старелый", True), 61: ("Вечерадом рекоста", True), 62: ("řekočka Žluřeťka", True)}
+
+
+def test_utf8_comes_before_other_chains(spark):
+    """Japanese text read as cp1252 is valid in two source encodings; a fraction is no damaged quotation mark."""
+    katakana = "\u30cb\u30d6\u30af\u30ea"
+    rows = [(i, f"½ inch «word» {katakana}\u30b3", None) for i in range(5)] + [(20, f"{garbled('½', 'utf8-cp1252-twice')} inch", None), (21, garbled(katakana, "utf8-cp1252"), None), (22, garbled("½", "utf8-cp1252"), None)]
+    got = {r["ord"]: (r["restored"], r["whole"]) for r in restored_fields(spark.createDataFrame(rows, COLS)).collect()}
+    assert got == {20: ("½ inch", True), 21: (katakana, True), 22: ("½", True)}
+
+
+def test_partly_damaged_words(spark):
+    mixed = garbled("Ди", "utf8-cp1251") + "e" + garbled("як", "utf8-cp1251")
+    rows = [(1, "Дияк як", None), (2, mixed, None), (3, "Кaк", None)]
+    assert {tuple(r) for r in damaged_fields(spark.createDataFrame(rows, COLS)).collect()} == {(2, "subject")}
+
+
+def test_rows_come_from_the_joins(spark, monkeypatch):
+    """With no forms there is nothing to find, whatever a word looks like."""
+    from threadloom.llm import mojibake
+
+    df = spark.createDataFrame([(1, "YsÃ¶lde Ys√∂lde ±╨Ц", None), (2, "Ysölde", None)], COLS)
+    assert damaged_fields(df).count() == 1
+    monkeypatch.setattr(mojibake, "_forms", lambda each: lambda batches: iter(()))
+    assert damaged_fields(df).count() == 0

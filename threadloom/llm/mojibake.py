@@ -1,22 +1,30 @@
 """Text decoded with the wrong character encoding: found, and given back where nothing was lost.
 
 Words are the white-space separated pieces of the fields that hold a non-ASCII character.  Every distinct
-word is judged once.  From the distinct clean words, and from their runs of non-ASCII characters, the
-garbled forms under every encoding chain are generated; the corpus words are hash-joined with that
-table.  A word that is the garbled form of a clean corpus word is damaged, and the clean word is its
-original.  A word never met undamaged is restored through its garbled runs, if one chain explains
-all of them and the outcome reads as clean text.  A word in Cyrillic capitals that a chain makes of small
-letters is damaged where the small letters are far more usual.  The words beside a damaged one, though they look
-clean, are led back through its chain where that makes them more usual.  Words with a replacement character
-are damaged beyond repair.
-
-The generation is verified by construction: a form is in the table only if the chain leads from the clean
-word to exactly that form.  NULL and empty values hold no damage.
+word is judged once.  Garbled forms under every encoding chain are generated from the distinct clean words, from their
+runs of non-ASCII characters, and from their single characters; the corpus words are hash-joined with these tables:
+
+1. whole words: a word that is the form of a clean word is damaged, and the clean word is its original;
+2. runs: each run of non-ASCII characters of a word that was nowhere met undamaged;
+3. characters: a word or run is cut into the units that a chain makes of single characters, and every unit is joined
+   (with the forms of the characters of clean words, and of the few hundred of the single-byte encodings).
+
+A word is damaged by the chain that explains its runs, if the outcome reads as clean text.  Of several chains one
+that starts from UTF-8 comes first (other text is hardly ever valid UTF-8 by chance), then the evidence of a whole run, then
+the outcome whose letter pairs are the most usual, by a join with the counted pairs of all clean words.  A word in Cyrillic
+capitals that a chain makes of small letters is damaged where the small letters are far more usual.  The
+replacement character is the form of any character under a lossy reading: such words are damaged beyond repair.
+
+Every damaged word is found by these joins.  Only :func:`words_beside`, for restoring, leads back a
+clean-looking word without corpus evidence of its own, through the chain of a damaged word in the same value; the result marks
+such values as ``inferred``.
+
+The generation is verified by construction: a form is in a table only if the chain leads from the clean
+text to exactly that form.  NULL and empty values hold no damage.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -61,7 +69,11 @@ CHAINS = {
 }
 #: Chains whose source spends several bytes on a character: their garbled runs are unmistakable even where each sign is usual.
 LONG = tuple(c for c, steps in CHAINS.items() if steps[0][0] in ("utf-8", "shift_jis", "euc_jp"))
+#: Chains whose source is UTF-8.
+UTF8 = tuple(c for c, steps in CHAINS.items() if steps[0][0] == "utf-8")
 MARK = "\ufeff"
+#: The character that a lossy reading leaves, and the name of that reading.
+LOST, LOSSY = "\ufffd", "lossy"
 
 
 def _tables() -> dict[str, dict[int, str]]:
@@ -104,6 +116,13 @@ def _script(o: int) -> str:
     return "stray"
 
 
+def repertoire() -> list[str]:
+    """The characters of the single-byte source encodings: forms of these are known also where no clean word holds them."""
+    sources = {source for steps in CHAINS.values() for source, _ in steps if source not in ("utf-8", "shift_jis", "euc_jp")}
+    chars = {bytes([b]).decode(source, "ignore") for source in sources for b in range(0xA0 if source.startswith(("latin", "iso")) else 0x80, 256)}
+    return sorted(c for c in chars if c and not 0x2500 <= ord(c) < 0x2600 and unicodedata.category(c)[0] in "LNPS")
+
+
 #: Verdicts of :func:`verdict`.
 CLEAN, ODD, BROKEN = 0, 1, 2
 
@@ -127,7 +146,7 @@ def verdict(word: str) -> int:
     core = word[begin:end]
     if len(core) > 1 and core[-1] in "²³" and core[:-1].isascii() and len(core) <= 4:
         core = core[:-1]
-    if re.fullmatch(r"µ[A-Za-z]{1,2}", core):
+    if re.fullmatch(r"µ[A-Za-z]{1,2}|[0-9]*[¼½¾⅐-⅞]|[0-9]*[¹²³]", core):
         return CLEAN
     for i, ch in enumerate(core):
         if ord(ch) < 128:
@@ -176,20 +195,25 @@ def _judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([verdict(w) for w in words], pa.int32())], names=["word", "n", "verdict"])
 
 
-def _forms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Clean text, n -> form, text, n, chain: its garbled forms."""
-    for b in batches:
-        rows = []
-        for text, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            seen = {text}
-            for chain in CHAINS:
-                form = garbled(text, chain)
-                if form is not None and form not in seen:
-                    rows.append((form, text, n, chain))
-                    seen.add(form)
-        if rows:
-            f, t, n, c = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(t, pa.string()), pa.array(n, pa.int64()), pa.array(c, pa.string())], names=["form", "text", "n", "chain"])
+def _forms(each: bool):
+    """Clean text, n -> form, text, n, chain: its garbled forms; ``each``: under every chain, else a form once, under its first chain."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen = {text}
+                for chain in CHAINS:
+                    form = garbled(text, chain)
+                    if form is not None and form not in seen:
+                        rows.append((form, text, n, chain))
+                        if not each:
+                            seen.add(form)
+            if rows:
+                f, t, n, c = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(t, pa.string()), pa.array(n, pa.int64()), pa.array(c, pa.string())], names=["form", "text", "n", "chain"])
+
+    return run
 
 
 _FORM = "form string, text string, n bigint, chain string"
@@ -213,17 +237,6 @@ def undone(word: str, chain: str) -> str | None:
     return text if text != word and garbled(text, chain) == word else None
 
 
-def _usual(pairs: dict[str, int]):
-    """How usual the letter pairs of a text are: their mean log frequency."""
-    total = sum(pairs.values()) + 1
-
-    def usual(text: str) -> float:
-        two = [a + b for a, b in zip(" " + text, text + " ") if ord(a) > 127 or ord(b) > 127]
-        return sum(math.log((pairs.get(x.lower(), 0) + 0.01) / total) for x in two) / max(1, len(two))
-
-    return usual
-
-
 #: Capitals that these chains make of small Cyrillic letters read clean.
 TURNING = ("cp1251-koi8r", "koi8r-cp1251")
 #: Gain in mean log frequency of its letter pairs from which a word in capitals that stands alone counts as damaged.
@@ -236,52 +249,64 @@ def _turned(word: str) -> bool:
     return word == word.upper() and _CAPITAL.search(word) is not None
 
 
-def _mender(pairs: dict[str, int]):
-    """word, verdict, parts (form, text, chain, n of its garbled runs) -> word, original.
-
-    The original is what one chain that explains every run leads back to: through the clean corpus runs if they hold
-    all of it, else by walking the chain back, the outcome whose letter pairs (``pairs``: their counts in
-    clean words) are the most usual.  Odd words that no chain explains are no damage; a clean word is damage only
-    where a long chain explains a run of two or more characters, or where its Cyrillic capitals come of small
-    letters that are far more usual.
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """piece, verdict of its word, number -> number, chain, n_units, k, unit: the units that a chain may have made of single characters, for every chain
+    under which the piece can be cut.  ASCII between them is given as a unit with no chain to look up.
     """
-    usual = _usual(pairs)
+    for b in batches:
+        rows: list[tuple[int, str, int, int, str]] = []
+        for piece, kind, number in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if LOST in piece:
+                rows.append((number, LOSSY, 1, 0, LOST))
+                continue
+            if kind == CLEAN and not _turned(piece):
+                continue
+            for chain in TURNING if kind == CLEAN else CHAINS:
+                text = undone(piece, chain)
+                if text is not None:
+                    rows += [(number, chain, len(text), k, garbled(ch, chain) or ch) for k, ch in enumerate(text)]
+        if rows:
+            p, c, n, k, u = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(c, pa.string()), pa.array(n, pa.int32()), pa.array(k, pa.int32()), pa.array(u, pa.string())], names=["number", "chain", "n_units", "k", "unit"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = garbled(MARK, "utf8-cp1252")
-        for b in batches:
-            out: list[tuple[str, str | None]] = []
-            for word, kind, parts in zip(*(b.column(i).to_pylist() for i in range(3))):
-                table: dict[str, dict[str, tuple[int, str]]] = {}
-                for p in parts or []:
-                    own = table.setdefault(p["chain"], {})
-                    own[p["form"]] = max(own.get(p["form"], (0, "")), (p["n"], p["text"]))
-                body = word.replace(marked, "")
-                hit = kind == BROKEN or body != word
-                found: list[tuple[float, str]] = []
-                if body != word and verdict(body) == CLEAN:
-                    found.append((0.0, body))
-                for chain in CHAINS:
-                    own = table.get(chain, {})
-                    if kind == CLEAN and not (chain in LONG and any(len(f) > 1 for f in own)):
-                        text = undone(body, chain) if chain in TURNING and _turned(body) else None
-                        if text is not None and reads_clean(text) and text == text.lower() and usual(text.strip(EDGES)) - usual(body.strip(EDGES)) > GAIN:
-                            hit = True
-                            found.append((usual(text), text))
-                        continue
-                    hit = hit or kind == CLEAN
-                    runs = _FAR.findall(body)
-                    text = _FAR.sub(lambda m: own[m.group()][1], body) if all(r in own for r in runs) else undone(body, chain)
-                    if text is not None and reads_clean(text):
-                        found.append((usual(text) + (1.0 if chain in LONG else 0.0), text))
-                best = max(found)[1] if found and "\ufffd" not in word else None
-                if hit or best is not None:
-                    out.append((word, best))
-            if out:
-                w, o = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(o, pa.string())], names=["word", "original"])
 
-    return run
+def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, verdict, parts (form, text, chain, units) of its explained pieces -> word, verdict, chain, text, clean, run: what each chain leads back to.
+
+    ``run`` says that runs of three characters or more were found as such.  A lossy reading leads back to no text.
+    """
+    for b in batches:
+        rows: list[tuple[str, int, str, str | None, bool, bool]] = []
+        for word, kind, parts in zip(*(b.column(i).to_pylist() for i in range(3))):
+            table: dict[str, dict[str, tuple[bool, str]]] = {}
+            for p in parts or []:
+                own = table.setdefault(p["chain"], {})
+                own[p["form"]] = max(own.get(p["form"], (False, "")), (not p["units"], p["text"]))
+            if LOSSY in table:
+                rows.append((word, kind, LOSSY, None, False, False))
+                continue
+            body = word.strip(EDGES)
+            for chain, own in table.items():
+                long = chain in LONG
+                if kind == CLEAN and not (long and any(len(f) > 1 for f in own)) and not (chain in TURNING and _turned(word)):
+                    continue
+                runs = _FAR.findall(word)
+                known = [r for r in runs if r in own]
+                if body in own and not (len(known) == len(runs) and all(own[r][0] for r in known)):
+                    text = word.replace(body, own[body][1])
+                elif known and (long or len(known) == len(runs)):
+                    # A long chain may have garbled only some of the runs: the others must read clean as they are.
+                    text = _FAR.sub(lambda m: own[m.group()][1] if m.group() in own else m.group(), word)
+                else:
+                    continue
+                text = text.replace(MARK, "")
+                clean = reads_clean(text)
+                # Whole runs of valid UTF-8 are damage also where what they come of is itself oddly mixed.
+                if text != word and (clean or chain in UTF8 and kind == BROKEN and verdict(text) == ODD and len(known) == len(runs)) and (kind != CLEAN or chain not in TURNING or text == text.lower()):
+                    rows.append((word, kind, chain, text, clean, any(len(r) > 2 and own[r][0] for r in known)))
+        if rows:
+            w, v, c, t, e, r = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(v, pa.int32()), pa.array(c, pa.string()), pa.array(t, pa.string()), pa.array(e, pa.bool_()), pa.array(r, pa.bool_())], names=["word", "verdict", "chain", "text", "clean", "run"])
 
 
 def _explained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,24 +318,17 @@ def _explained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(c, pa.string())], names=["word", "chain"])
 
 
-def _beside(pairs: dict[str, int]):
-    """Word that looks clean, chain -> word, chain, original, gain: where the chain leads back to a more usual clean text."""
-    usual = _usual(pairs)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for word, chain in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                text = undone(word, chain)
-                if text is not None and reads_clean(word) and reads_clean(text):
-                    gain = usual(text.strip(EDGES)) - usual(word.strip(EDGES))
-                    if gain > 0:
-                        rows.append((word, chain, text, gain))
-            if rows:
-                w, c, o, g = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(c, pa.string()), pa.array(o, pa.string()), pa.array(g, pa.float64())], names=["word", "chain", "original", "gain"])
-
-    return run
+def _led_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word that looks clean, chain -> word, chain, text: where the chain leads back to clean text."""
+    for b in batches:
+        rows = []
+        for word, chain in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            text = undone(word, chain)
+            if text is not None and reads_clean(word) and reads_clean(text):
+                rows.append((word, chain, text))
+        if rows:
+            w, c, t = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(c, pa.string()), pa.array(t, pa.string())], names=["word", "chain", "text"])
 
 
 def words_of(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
@@ -325,73 +343,121 @@ def words_of(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     return parts
 
 
-#: Letter pairs kept as a model of usual text (alphabets bound it; this is a safety limit of the model, not of the words).
-PAIRS = 100_000
 #: Signs around a word that do not belong to it when words are compared.
 EDGES = "\"'()<>,:;.[]{}!?"
 
 
-def letter_pairs(sources: DataFrame) -> dict[str, int]:
-    """The letter pairs of clean words (text, n) and how often they occur: as many as there are pairs of letters, whatever the corpus size.
+def _pairs_in(texts: DataFrame, keep: str) -> DataFrame:
+    """``keep, p``: the pairs of neighbouring characters of column ``text``, outer signs away, of which at least one is not ASCII."""
+    letters = F.split(F.lower(F.concat(F.lit(" "), F.trim(F.col("text"), F.lit(EDGES)), F.lit(" "))), "")
+    two = texts.select(keep, letters.alias("c")).select(keep, F.explode(F.zip_with(F.col("c"), F.slice("c", F.lit(2), F.size("c")), lambda a, b: F.concat(a, b))).alias("p"))
+    return two.where(F.col("p").rlike(r"[^\x00-\x7F]"))
+
+
+def letter_pairs(sources: DataFrame) -> DataFrame:
+    """``p, share``: the letter pairs of clean words (text, n) and their logarithmic share of all; every pair is kept.
 
     Words in Cyrillic capitals are left out: they may be what a chain made of small letters.
     """
     sources = sources.where(~((F.upper("text") == F.col("text")) & F.col("text").rlike(_CAPITAL.pattern)))
-    letters = F.lower(F.concat(F.lit(" "), F.col("text"), F.lit(" ")))
-    at = F.explode(F.sequence(F.lit(1), F.length(letters) - 1))
-    pair = sources.select(letters.alias("t"), "n", at.alias("i")).select(F.expr("substring(t, i, 2)").alias("p"), "n").where(F.col("p").rlike(r"[^\x00-\x7F]"))
-    counted = pair.groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(PAIRS).collect()
-    return {r["p"]: r["n"] for r in counted}
+    counted = checkpoint(_pairs_in(sources, "n").groupBy("p").agg(F.sum("n").alias("n")))
+    total = (counted.agg(F.sum("n")).first()[0] or 0) + 1
+    return counted.select("p", F.log((F.col("n") + 0.01) / total).alias("share")).unionByName(
+        # The share of a pair never met.
+        sources.sparkSession.range(1).select(F.lit(None).cast("string").alias("p"), F.log(F.lit(0.01 / total)).alias("share"))
+    )
+
+
+def with_usual(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``texts`` (column text) and ``usual``: the mean log share of the letter pairs of each, 0 for a text without any."""
+    least = pairs.where("p IS NULL").first()["share"]
+    # Pairs carry the number of their text, not the text.
+    distinct = checkpoint(texts.where("text IS NOT NULL").select("text").distinct().withColumn("number", F.monotonically_increasing_id()))
+    found = _pairs_in(distinct, "number").join(pairs.where("p IS NOT NULL"), "p", "left")
+    scored = found.groupBy("number").agg(F.avg(F.coalesce("share", F.lit(least))).alias("usual")).join(distinct, "number").select("text", "usual")
+    return texts.join(scored, "text", "left").fillna(0.0, ["usual"])
 
 
-def damage_table(words: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+def damage_table(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``word, original`` of the damaged ones among distinct ``words`` (word, n), and the letter pairs; original is NULL where it can't be told."""
     n = tasks(words.sparkSession)
     # Few bytes but much work: the rows are spread by number, not by size.
     judged = checkpoint(words.repartition(n).mapInArrow(_judged, "word string, n bigint, verdict int"))
     bare = F.trim(F.col("word"), F.lit(EDGES))
     sources = judged.where("verdict = 0").groupBy(bare.alias("text")).agg(F.sum("n").alias("n")).where("text <> ''")
-    forms = sources.repartition(n).mapInArrow(_forms, _FORM)
-    # Whole words: the original most often met, by bytes among equals.
-    whole = forms.groupBy(F.trim(F.col("form"), F.lit(EDGES)).alias("form")).agg(F.max(F.struct("n", "text")).alias("best"))
+    forms = sources.repartition(n).mapInArrow(_forms(False), _FORM)
+    # Whole words: the original most often met, by bytes among equals, UTF-8 first.
+    whole = forms.groupBy(F.trim(F.col("form"), F.lit(EDGES)).alias("form")).agg(F.max(F.struct(F.col("chain").isin(*UTF8).alias("utf8"), "n", "text", F.col("chain").isin(*LONG).alias("long"))).alias("best"))
     joined = judged.withColumn("form", bare).join(whole, "form").where(F.col("best.text") != F.col("form"))
     # Two words that both read clean: the original is the one met more often, but never the one in capitals, which some
-    # chains make of small letters.
+    # chains make of small letters.  Signs alone are what they are, unless a long chain makes them.
     original, form = F.col("best.text"), F.col("form")
     capitals = lambda c: (F.upper(c) == c) & (F.lower(c) != c)
     small = lambda c: (F.lower(c) == c) & (F.upper(c) != c)
     turned = capitals(form) & small(original)
-    joined = joined.where((F.col("verdict") > 0) | turned | ((F.col("best.n") > F.col("n")) & ~(capitals(original) & small(form))))
+    words_both = F.col("best.long") | (form.rlike(r"\p{L}") & original.rlike(r"\p{L}"))
+    joined = joined.where((F.col("verdict") > 0) | turned | (words_both & (F.col("best.n") > F.col("n")) & ~(capitals(original) & small(form))))
     inside = F.expr("concat(substring(word, 1, instr(word, form) - 1), best.text, substring(word, instr(word, form) + length(form)))")
     by_word = joined.select("word", inside.alias("original"))
 
     pairs = letter_pairs(sources)
     rest = judged.join(by_word.select("word"), "word", "left_anti")
-    runs = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(r"[^\x00-\x7F]+"), F.lit(0))))
-    clean_runs = sources.select(runs("text").alias("run"), "n").groupBy("run").agg(F.sum("n").alias("n"))
-    run_forms = clean_runs.select("run", "n").repartition(n).mapInArrow(_forms, _FORM)
+    runs = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[^\x00-\x7F]+"), F.lit(0))
+    clean_runs = sources.select(F.explode(F.array_distinct(runs("text"))).alias("run"), "n").groupBy("run").agg(F.sum("n").alias("n"))
+    run_forms = clean_runs.select("run", "n").repartition(n).mapInArrow(_forms(True), _FORM)
     # A run that clean words hold too is no sign of damage in a word that reads clean.
     usual = clean_runs.select(F.col("run").alias("form"), F.col("n").alias("usual"))
     run_forms = run_forms.join(usual, "form", "left").where(F.col("usual").isNull() | (F.col("usual") < F.col("n")))
-    pieces = rest.select("word", "verdict", runs("word").alias("form"))
-    matched = pieces.join(run_forms, "form", "left")
-    parts = matched.groupBy("word", "verdict").agg(F.collect_list(F.when(F.col("chain").isNotNull(), F.struct("form", "text", "chain", "n"))).alias("parts"))
-    by_run = parts.repartition(n).mapInArrow(_mender(pairs), "word string, original string")
-    return by_word.unionByName(by_run), pairs
-
-
-def damaged_words(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("subject", "from_addr")) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    # A run and a chain have one original: that most often met.
+    run_forms = run_forms.groupBy("form", "chain").agg(F.max_by("text", F.struct("n", "text")).alias("text"))
+    pieces = checkpoint(rest.select("word", "verdict", F.explode(F.array_distinct(F.concat(runs("word"), F.array(bare)))).alias("form")))
+    by_run = pieces.join(run_forms, "form").select("word", "verdict", "form", "text", "chain", F.lit(False).alias("units"))
+
+    letters = clean_runs.select(F.explode(F.split("run", "")).alias("text"), "n").where("text <> ''").groupBy("text").agg(F.sum("n").alias("n"))
+    known = [MARK, *repertoire()]
+    marks = words.sparkSession.range(1).select(F.explode(F.lit(known)).alias("text"), F.lit(0).cast("bigint").alias("n"))
+    units = letters.unionByName(marks).repartition(n).mapInArrow(_forms(True), _FORM).groupBy("chain", F.col("form").alias("unit")).agg(F.max_by("text", F.struct("n", "text")).alias("text"))
+    lost = words.sparkSession.range(1).select(F.lit(LOSSY).alias("chain"), F.lit(LOST).alias("unit"), F.lit(LOST).alias("text"))
+    tried = pieces.where(f"verdict > 0 OR form = upper(form) OR contains(form, '{LOST}')").groupBy("form").agg(F.max("verdict").alias("verdict"))
+    # Units carry the number of their piece, not the piece, which may be very long.
+    tried = checkpoint(tried.repartition(n).withColumn("number", F.monotonically_increasing_id()))
+    cut = tried.mapInArrow(_cut, "number bigint, chain string, n_units int, k int, unit string")
+    plain = F.col("unit").rlike(r"^[\x00-\x7F]+$")
+    met = cut.where(~plain).join(units.unionByName(lost), ["chain", "unit"]).unionByName(cut.where(plain).withColumn("text", F.col("unit")), allowMissingColumns=True)
+    spelled = met.groupBy("number", "chain", "n_units").agg(F.count("*").alias("c"), F.array_sort(F.collect_list(F.struct("k", "text"))).alias("t"))
+    spelled = spelled.where("c = n_units").join(tried.select("number", "form"), "number").select("form", "chain", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text"))
+    by_unit = pieces.join(spelled, "form").select("word", "verdict", "form", "text", "chain", F.lit(True).alias("units"))
+
+    parts = by_run.unionByName(by_unit).groupBy("word", "verdict").agg(F.collect_list(F.struct("form", "text", "chain", "units")).alias("parts"))
+    found = checkpoint(parts.repartition(n).mapInArrow(_candidates, "word string, verdict int, chain string, text string, clean boolean, run boolean"))
+    likely = with_usual(found, pairs)
+    # A word in capitals is led back only where that makes it far more usual.
+    heads = found.where(F.col("chain").isin(*TURNING) & (F.col("verdict") == 0)).select(F.col("word").alias("text")).distinct()
+    before = with_usual(heads, pairs).select(F.col("text").alias("word"), F.col("usual").alias("before"))
+    likely = likely.join(before, "word", "left").where(~(F.col("chain").isin(*TURNING) & (F.col("verdict") == 0)) | (F.col("usual") - F.col("before") > GAIN))
+    rank = F.struct("clean", F.col("chain").isin(*UTF8).alias("utf8"), "run", (F.col("usual") + F.when(F.col("chain").isin(*LONG), 1.0).otherwise(0.0)).alias("u"), F.col("text").alias("t"))
+    by_chain = likely.groupBy("word").agg(F.max_by("text", rank).alias("original"), F.bool_or(F.col("chain") == LOSSY).alias("lost"))
+    return by_word.unionByName(by_chain.select("word", F.when(~F.col("lost"), F.col("original")).alias("original"))), pairs
+
+
+def damaged_words(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("subject", "from_addr")) -> tuple[DataFrame, DataFrame, DataFrame]:
     words = words_of(df, key, fields)
     damage, pairs = damage_table(words.groupBy("word").agg(F.count("*").alias("n")))
     return words, checkpoint(damage), pairs
 
 
-#: Rows up to which the counted table of damaged words is sent to every executor.
-SMALL = 200_000
+#: Bytes of damaged words and their originals up to which their table is sent to every executor.
+SMALL = 16_000_000
+
+
+def _small(damage: DataFrame) -> DataFrame:
+    """``damage`` marked for broadcast if its text is small enough."""
+    size = F.octet_length("word") + (F.coalesce(F.octet_length("original"), F.lit(0)) if "original" in damage.columns else F.lit(0)) + 64
+    return F.broadcast(damage) if (damage.agg(F.sum(size)).first()[0] or 0) <= SMALL else damage
 
 
 def _join_damage(words: DataFrame, damage: DataFrame) -> DataFrame:
-    return words.join(F.broadcast(damage) if damage.count() <= SMALL else damage, "word")
+    return words.join(_small(damage), "word")
 
 
 def damaged_fields(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("subject", "from_addr")) -> DataFrame:
@@ -400,25 +466,32 @@ def damaged_fields(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("
     return _join_damage(words, damage.select("word")).select(key, "field").distinct()
 
 
-def words_beside(words: DataFrame, damage: DataFrame, pairs: dict[str, int], key: str) -> DataFrame:
+def words_beside(words: DataFrame, damage: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """``key, field, word, original`` of words that look clean but stand beside a damaged one whose chain leads them back to more usual text."""
     chains = damage.where("original IS NOT NULL").mapInArrow(_explained, "word string, chain string")
     chains = checkpoint(_join_damage(words, checkpoint(chains)).select(key, "field", "chain").distinct())
-    there = F.broadcast(damage) if damage.count() <= SMALL else damage
-    tried = checkpoint(words.join(there.select("word"), "word", "left_anti").join(chains, [key, "field"]))
-    back = tried.select("word", "chain").distinct().mapInArrow(_beside(pairs), "word string, chain string, original string, gain double")
+    tried = checkpoint(words.join(_small(damage.select("word")), "word", "left_anti").join(chains, [key, "field"]))
+    back = checkpoint(tried.select("word", "chain").distinct().mapInArrow(_led_back, "word string, chain string, text string"))
+    after = with_usual(back, pairs).select("word", "chain", F.col("text").alias("original"), F.col("usual").alias("after"))
+    before = with_usual(back.select(F.col("word").alias("text")).distinct(), pairs).select(F.col("text").alias("word"), F.col("usual").alias("before"))
+    gained = after.join(before, "word").select("word", "chain", "original", (F.col("after") - F.col("before")).alias("gain")).where("gain > 0")
     best = F.max_by("original", F.struct("gain", "original")).alias("original")
-    return tried.join(back, ["word", "chain"]).groupBy(key, "field", "word").agg(best)
+    return tried.join(gained, ["word", "chain"]).groupBy(key, "field", "word").agg(best)
 
 
 def restored_fields(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("subject", "from_addr")) -> DataFrame:
-    """``key, field, damaged, restored, whole``: damaged values with every restorable word put back; ``whole`` says that no damage is left."""
+    """``key, field, damaged, restored, whole, inferred``: damaged values with every restorable word put back.
+
+    ``whole`` says that no damage is left, ``inferred`` that a clean-looking word was led back through the chain of a
+    damaged one beside it, without evidence of its own.
+    """
     words, damage, pairs = damaged_words(df, key, fields)
     hit = _join_damage(words, damage)
-    beside = words_beside(words, damage, pairs, key).withColumn("known", F.lit(True))
-    found = hit.withColumn("known", F.col("original").isNotNull()).unionByName(beside).groupBy(key, "field").agg(
+    beside = words_beside(words, damage, pairs, key).withColumns({"known": F.lit(True), "led": F.lit(True)})
+    found = hit.withColumns({"known": F.col("original").isNotNull(), "led": F.lit(False)}).unionByName(beside).groupBy(key, "field").agg(
         F.map_from_entries(F.collect_set(F.struct("word", F.coalesce("original", "word").alias("o")))).alias("__m"),
         F.bool_and("known").alias("whole"),
+        F.bool_or("led").alias("inferred"),
     )
     values = None
     for f in fields:
@@ -426,4 +499,4 @@ def restored_fields(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = (
         values = one if values is None else values.unionByName(one)
     pieces = F.regexp_extract_all(F.col("damaged"), F.lit(r"[^ \t\r\n\f]+|[ \t\r\n\f]+"), F.lit(0))
     mended = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(F.col("__m"), p), p)), "")
-    return values.join(found, [key, "field"]).select(key, "field", "damaged", mended.alias("restored"), "whole")
+    return values.join(found, [key, "field"]).select(key, "field", "damaged", mended.alias("restored"), "whole", "inferred")
