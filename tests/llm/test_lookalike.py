@@ -22,6 +22,14 @@ CASES = {
     "5 μm 日本 עברית हिन्दी": ("5 μm 日本 עברית हिन्दी", set()),
     "Волгаriver": ("Волгаriver", set()),  # two scripts' own letters: nothing was replaced
     "": ("", set()),
+    "Q" + "1" * 45 + "\u0430 x": ("Q" + "1" * 45 + "a x", {"lookalike"}),
+    "Q" + "1" * 5 + "\u0430": ("Q" + "1" * 5 + "a", {"lookalike"}),
+    "a" + "\u200b" * 30 + "\u0301": ("\u00e1", {"combining", "invisible"}),
+    "wor\u043a pay\u03c4al \u13a2nternet \U0001d429assword": ("work paytal Tnternet password", {"lookalike"}),
+    "pa\u202ass\u2066 w\ufe0ford o\u034fk": ("pass word ok", {"invisible"}),
+    "heart \u2764\ufe0f": ("heart \u2764\ufe0f", set()),  # a selector of a sign is ordinary
+    "q\u0303": ("q\u0303", {"combining"}),  # no composed form
+    "12345\u0439 \u0439": ("12345\u0439 \u0439", set()),
 }
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from threadloom.llm import lookalike as L
 
 
@@ -20,58 +18,34 @@ def _pairs() -> str:
     )
 
 
-def _ranges(ranges: str, without: str) -> str:
-    """A class of the characters of ``ranges`` that are not in ``without``."""
-    points = []
-    for a, b in re.findall(r"(.)(?:-(.))?", ranges):
-        points += [c for c in range(ord(a), ord(b or a) + 1) if chr(c) not in without]
-    out, start = "", None
-    for c, after in zip(points, [*points[1:], None]):
-        start = c if start is None else start
-        if after != c + 1:
-            out += f"\\x{{{start:X}}}-\\x{{{c:X}}}"
-            start = None
-    return f"[{out}]"
-
-
-def _class(chars: str) -> str:
-    return _ranges(chars, "")
-
-
 def _kinds() -> str:
-    inv, wide, hard, mark = (_class(x) for x in (L.INVISIBLE, L.FULLWIDTH, L.HARD_SPACE, L._MARK))
-    script = {s: _class(r) for s, r in L._LETTERS.items()}
-    own = {
-        "latin": _ranges(L._LETTERS["latin"], "".join(L.CYRILLIC_FOR | L.GREEK_FOR) + L._OWN_LATIN),
-        **{s: _ranges(L._LETTERS[s], "".join(L.LATIN_FOR)) for s in ("cyrillic", "greek", "armenian")},
-    }
-    has = {s: f"regexp_matches(narrow, {_q(c)})" for s, c in own.items()}
-    n = {s: f"(length(narrow) - length(regexp_replace(narrow, {_q(c)}, '', 'g')))" for s, c in script.items()}
-
-    def turn(word: str, table: dict[str, str]) -> str:
-        return f"translate({word}, {_q(''.join(table))}, {_q(''.join(table.values()))})"
-
-    latin = turn("narrow", L.LATIN_FOR)
-    cyr = turn(turn("narrow", {k: v for k, v in L.LATIN_FOR.items() if not "Ѐ" <= k <= "ԯ"}), L.CYRILLIC_FOR)
-    greek = turn(turn("narrow", {k: v for k, v in L.LATIN_FOR.items() if not "Ͱ" <= k <= "Ͽ"}), L.GREEK_FOR)
-    mapped = (
-        f"CASE WHEN NOT regexp_matches(narrow, '(?s)\\p{{L}}.*\\p{{L}}') THEN narrow WHEN {' + '.join(f'CAST({x} AS INT)' for x in has.values())} > 1 THEN narrow WHEN {has['armenian']} THEN narrow "
-        f"WHEN {has['cyrillic']} THEN {cyr} WHEN {has['greek']} THEN {greek} WHEN {has['latin']} THEN {latin} "
-        f"WHEN {n['latin']} = 0 AND ({n['greek']} = 0 OR {n['cyrillic']} = 0) THEN narrow WHEN {n['cyrillic']} > {n['latin']} AND {n['cyrillic']} >= {n['greek']} THEN {cyr} "
-        f"WHEN {n['greek']} > {n['latin']} AND {n['greek']} > {n['cyrillic']} THEN {greek} ELSE {latin} END"
-    )
-    unit = rf"[\p{{L}}\p{{M}}\p{{N}}{inv[1:-1]}]+|[{wide[1:-1]}{hard[1:-1]}]"
-    narrow = f"translate(translate(word, {_q(L._WIDE + L.HARD_SPACE)}, {_q(L._NARROW + ' ' * len(L.HARD_SPACE))}), {_q(L.INVISIBLE)}, '')"
+    """By the definitions alone, without the operator's tables: a look-alike is a letter of another script inside a word that keeps Latin, Cyrillic or Greek letters."""
+    latin, cyrillic, greek, armenian = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2AF}\x{1E00}-\x{1EFF}]", r"[\x{400}-\x{52F}]", r"[\x{370}-\x{3FF}\x{1F00}-\x{1FFF}]", r"[\x{530}-\x{58F}]"
+    hidden = r"[\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FEFF}]"
+    unit = rf"[\p{{L}}\p{{M}}\p{{N}}{hidden[1:-1]}]+|[\x{{FF01}}-\x{{FF5E}}\x{{A0}}\x{{2007}}\x{{202F}}]"
+    has = lambda c, w="word": f"regexp_matches({w}, {_q(c)})"
+    scripts = " + ".join(f"CAST({has(c)} AS INT)" for c in (latin, cyrillic, greek, armenian))
+    kinds = [
+        (has(r"[\x{FF01}-\x{FF5E}]"), "fullwidth"),
+        (has(rf"\p{{L}}{hidden}*[\x{{300}}-\x{{34E}}\x{{350}}-\x{{36F}}]"), "combining"),
+        (has(hidden), "invisible"),
+        (has(r"[\x{A0}\x{2007}\x{202F}]"), "space"),
+        (f"({scripts}) > 1 OR ({has('[ɡɑı]')} AND {has(latin.replace('A-Za-z', 'A-Za-z'), 'translate(word, ' + _q('ɡɑı') + ', ' + _q('') + ')')})", "lookalike"),
+    ]
+    cases = ", ".join(f"CASE WHEN {c} THEN '{k}' END" for c, k in kinds)
     return (
-        f"WITH u AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {_q(unit)})) AS word FROM documents), o AS (SELECT *, {narrow} AS narrow FROM u WHERE regexp_matches(word, '[^\\x00-\\x7F]')), "
-        f"k AS (SELECT doc_id, unnest(list_filter([CASE WHEN regexp_matches(word, {_q(wide)}) THEN 'fullwidth' END, CASE WHEN regexp_matches(word, {_q(chr(92) + 'p{L}' + inv + '*' + mark)}) THEN 'combining' END, "
-        f"CASE WHEN regexp_matches(word, {_q(inv)}) THEN 'invisible' END, CASE WHEN regexp_matches(word, {_q(hard)}) THEN 'space' END, CASE WHEN {mapped} <> narrow THEN 'lookalike' END], lambda x: x IS NOT NULL)) AS kind FROM o) SELECT DISTINCT doc_id, kind FROM k"
+        f"WITH u AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {_q(unit)})) AS word FROM documents), o AS (SELECT * FROM u WHERE regexp_matches(word, '[^\\x00-\\x7F]')), "
+        f"k AS (SELECT doc_id, unnest(list_filter([{cases}], lambda x: x IS NOT NULL)) AS kind FROM o) SELECT DISTINCT doc_id, kind FROM k"
     )
 
 
 def _leaks() -> str:
     """Ten-word stretches in common.  Items are in Latin script, so every look-alike may be read as a Latin letter here."""
-    plain = f"lower(translate(translate(translate(nfc_normalize(text), {_q(L._WIDE + L.HARD_SPACE)}, {_q(L._NARROW + ' ' * len(L.HARD_SPACE))}), {_q(L.INVISIBLE)}, ''), {_q(''.join(L.LATIN_FOR))}, {_q(''.join(L.LATIN_FOR.values()))}))"
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+    hidden = r"[\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FEFF}]"
+    bare = f"regexp_replace(translate(nfc_normalize(text), {_q(wide + L.HARD_SPACE)}, {_q(narrow + ' ' * len(L.HARD_SPACE))}), {_q(hidden)}, '', 'g')"
+    plain = f"lower(translate({bare}, {_q(''.join(L.LATIN_FOR))}, {_q(''.join(L.LATIN_FOR.values()))}))"
 
     def grams(key: str, table: str) -> str:
         words = f"SELECT {key}, regexp_extract_all({plain}, '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}"
