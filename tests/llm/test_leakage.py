@@ -35,7 +35,10 @@ def test_found(spark, monkeypatch, seed, least):
     want = brute(docs, items, least)
     assert {tuple(r) for r in leakage.leaked(d, e, least).collect()} == want
     monkeypatch.setattr(leakage, "BLOCK", 5)
+    built, build = [], leakage.build_index
+    monkeypatch.setattr(leakage, "build_index", lambda c: built.append(c) or build(c))
     assert {tuple(r) for r in leakage.leaked(d, e, least).collect()} == want, "items in blocks"
+    assert len(built) == 1, "one scan of the corpus for all blocks"
 
 
 def test_other_characters_and_positions(spark):
@@ -87,3 +90,17 @@ def test_near_passages_hold_the_exact_ones(spark, seed):
     d, e = spark.createDataFrame(say(docs), "doc_id bigint, text string"), spark.createDataFrame(say(items), "item_id bigint, text string")
     want = brute(docs, items, 10)
     assert want and want <= {tuple(r)[:2] for r in leakage.near_passages(d, e).collect()}
+
+
+def test_index_holds_every_term(spark):
+    d = spark.createDataFrame([(1, "a b a c"), (2, ""), (3, "b b")], "doc bigint, canonical string").coalesce(1)
+    (r,) = leakage.build_index(d).collect()
+    lists = {}
+    at = 0
+    for term, n in zip(r["term"], r["size"]):
+        place = 0
+        for k in range(n):
+            place = r["step"][at] if k == 0 else place + r["step"][at]
+            lists.setdefault(term, []).append(place)
+            at += 1
+    assert lists == {"a": [0, 2], "b": [1, 4, 5], "c": [3]} and r["doc"] == [1, 2, 3] and r["length"] == [4, 0, 2]
