@@ -292,8 +292,9 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 runs = _FAR.findall(word)
                 known = [r for r in runs if r in own]
-                if body in own and not (len(known) == len(runs) and all(own[r][0] for r in known)):
-                    text = word.replace(body, own[body][1])
+                whole = word if word in own else body
+                if whole in own and not (len(known) == len(runs) and all(own[r][0] for r in known)):
+                    text = word.replace(whole, own[whole][1])
                 elif known and (long or len(known) == len(runs)):
                     # A long chain may have garbled only some of the runs: the others must read clean as they are.
                     text = _FAR.sub(lambda m: own[m.group()][1] if m.group() in own else m.group(), word)
@@ -301,8 +302,9 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 text = text.replace(MARK, "")
                 clean = reads_clean(text)
-                # Whole runs of valid UTF-8 are damage also where what they come of is itself oddly mixed.
-                if text != word and (clean or chain in UTF8 and kind == BROKEN and verdict(text) == ODD and len(known) == len(runs)) and (kind != CLEAN or chain not in TURNING or text == text.lower()):
+                # Explained throughout, an impossible word is damage also where what it comes of is itself oddly mixed.
+                odd = kind == BROKEN and len(known) == len(runs) and all(reads_clean(own[r][1]) for r in known) and (chain in UTF8 or sum(map(len, runs)) > 2)
+                if text != word and (clean or odd and verdict(text) == ODD) and (kind != CLEAN or chain not in TURNING or text == text.lower()):
                     rows.append((word, kind, chain, text, clean, any(len(r) > 2 and own[r][0] for r in known)))
         if rows:
             w, v, c, t, e, r = zip(*rows)
@@ -343,6 +345,8 @@ def words_of(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     return parts
 
 
+# Signs that Western text holds as they are (of Latin-1, punctuation, euro, trade mark).
+USUAL_SIGNS = r"\u00a1-\u00ff\u2010-\u2027\u20ac\u2122"
 #: Signs around a word that do not belong to it when words are compared.
 EDGES = "\"'()<>,:;.[]{}!?"
 
@@ -390,12 +394,13 @@ def damage_table(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = forms.groupBy(F.trim(F.col("form"), F.lit(EDGES)).alias("form")).agg(F.max(F.struct(F.col("chain").isin(*UTF8).alias("utf8"), "n", "text", F.col("chain").isin(*LONG).alias("long"))).alias("best"))
     joined = judged.withColumn("form", bare).join(whole, "form").where(F.col("best.text") != F.col("form"))
     # Two words that both read clean: the original is the one met more often, but never the one in capitals, which some
-    # chains make of small letters.  Signs alone are what they are, unless a long chain makes them.
+    # chains make of small letters.  Signs alone that are usual in Western text are what they are, unless a long chain makes them.
     original, form = F.col("best.text"), F.col("form")
     capitals = lambda c: (F.upper(c) == c) & (F.lower(c) != c)
     small = lambda c: (F.lower(c) == c) & (F.upper(c) != c)
     turned = capitals(form) & small(original)
-    words_both = F.col("best.long") | (form.rlike(r"\p{L}") & original.rlike(r"\p{L}"))
+    western = F.regexp_replace(form, r"[\x00-\x7F]", "").rlike(f"^[{USUAL_SIGNS}]+$")
+    words_both = F.col("best.long") | (form.rlike(r"\p{L}") & original.rlike(r"\p{L}")) | ~western
     joined = joined.where((F.col("verdict") > 0) | turned | (words_both & (F.col("best.n") > F.col("n")) & ~(capitals(original) & small(form))))
     inside = F.expr("concat(substring(word, 1, instr(word, form) - 1), best.text, substring(word, instr(word, form) + length(form)))")
     by_word = joined.select("word", inside.alias("original"))
@@ -410,7 +415,7 @@ def damage_table(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     run_forms = run_forms.join(usual, "form", "left").where(F.col("usual").isNull() | (F.col("usual") < F.col("n")))
     # A run and a chain have one original: that most often met.
     run_forms = run_forms.groupBy("form", "chain").agg(F.max_by("text", F.struct("n", "text")).alias("text"))
-    pieces = checkpoint(rest.select("word", "verdict", F.explode(F.array_distinct(F.concat(runs("word"), F.array(bare)))).alias("form")))
+    pieces = checkpoint(rest.select("word", "verdict", F.explode(F.array_distinct(F.concat(runs("word"), F.array(bare, F.col("word"))))).alias("form")))
     by_run = pieces.join(run_forms, "form").select("word", "verdict", "form", "text", "chain", F.lit(False).alias("units"))
 
     letters = clean_runs.select(F.explode(F.split("run", "")).alias("text"), "n").where("text <> ''").groupBy("text").agg(F.sum("n").alias("n"))
