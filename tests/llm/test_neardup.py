@@ -50,17 +50,50 @@ def test_trees_blocks_and_long_sets(spark):
     assert sorted(tuple(r) for r in neardup.similar_rows(df, 0.6).collect()) == brute(data, 0.6)
 
 
-def test_bounds_use_few_pairs(spark):
-    """The tree must leave out most pairs of a slab that has no similar ones."""
+def cells(rng, sizes, extra=()):
+    """Entries of cells of the given sizes whose sets share one word only."""
     import numpy as np
     import pyarrow as pa
 
+    n = sum(sizes)
+    cell = np.repeat(np.arange(len(sizes)), sizes)
+    words = [np.concatenate([[7], rng.integers(100, 2**60, 12)]) for _ in range(n)]
+    for i, j in extra:
+        words[j] = words[i].copy()
+        words[j][12] += 1
+    flat = lambda x: np.full(n, x, np.int32)
+    empty = pa.array([[]] * n, pa.list_(pa.int32()))
+    return pa.table({"cell": cell.astype(np.int64), "slab": flat(7), "block": flat(0), "place": flat(0), "size": flat(13), "id": np.arange(n), "words": pa.array(words, pa.list_(pa.int64())), "counts": empty})
+
+
+def test_every_candidate_is_bounded():
+    """Of cells of any size, also of one leaf, no pair is verified that its summed minima rule out, and trees leave out most nodes."""
+    import numpy as np
+
     rng = np.random.default_rng(1)
-    words = [np.concatenate([[7], rng.integers(100, 2**60, 12)]) for _ in range(400)]
-    t = pa.table({"cell": np.zeros(400, np.int64), "slab": np.full(400, 7, np.int32), "block": np.zeros(400, np.int32), "place": np.zeros(400, np.int32), "size": np.full(400, 13, np.int32), "id": np.arange(400), "words": pa.array(words, pa.list_(pa.int64()))})
-    p = neardup.Points(t, neardup.Rule(0.6))
-    i, _ = p.tree_pairs(0, 400)
-    assert len(i) <= 400 * neardup.FAN / 2, "only the leaf that a point lies in"
+    for sizes in ([400], [2, 5, 16, 9] * 20, [17, 40]):
+        p = neardup.Points(cells(rng, sizes, [(0, 1)]), neardup.Rule(0.6), 1 << 18)
+        a, b, sure = p.search()
+        assert [(int(x), int(y)) for x, y in zip(a, b)] == [(0, 1)] and sure.all()
+        pairs = sum(k * (k - 1) // 2 for k in sizes)
+        assert p.passed <= 3 and p.tested < max(pairs, 2 * sum(sizes) * neardup.FAN), "bounds take the place of verification"
+    candidates = sum(len(i) for i, _ in p.tree_pairs(0, 17))
+    assert candidates <= 17 * 16
+
+
+def test_a_hot_slab_is_copied_in_pieces():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    words = [np.concatenate([[5], rng.integers(100, 2**60, 3)]) for _ in range(50)]
+    b = pa.RecordBatch.from_arrays([pa.array(np.arange(50)), pa.array(words, pa.list_(pa.int64()))], names=["id", "words"])
+    points = np.ones(1 << 18, np.int64)
+    points[5] = 1_000 * neardup.BLOCK
+    frequency = np.ones(neardup.GROUPS, np.int64) * 10
+    frequency[5] = 1
+    out = list(neardup._cells(frequency, neardup.Rule(0.6), points, neardup.BLOCK)([b]))
+    assert max(o.num_rows for o in out) <= 4_096 and sum(o.num_rows for o in out) >= 50 * 1_000
 
 
 def test_groups(spark):

@@ -5,14 +5,15 @@ the counts per group are a point.  For two points the sum over all groups of the
 bounds the number of common words from above, and so does the sum against the greatest
 counts of a tree node for every point below it.
 
-The tree's first level are slabs: the points that have a given group.  With the groups put in order from rare
-to frequent, two sets similar enough share one of their first few groups, so a set enters only the
-slabs of those.  A slab with very many points is cut into blocks, and each pair of blocks is a cell of its own,
-so no task holds an unbounded slab.  Inside a cell an R-tree is packed from the points and searched with all
-of them; a node is entered only if its bound reaches the overlap that the threshold needs.  Pairs that
-survive in a leaf are verified on their words (64-bit hashes of them), and a pair is reported only in the slab of its
-first common word, hence once.  Sets of very many words would be carried into very many slabs; they enter them by size and
-place only, and pairs with them are verified by joining the words back.
+The tree's first level are slabs of some hundreds of points: with the words put in order from rare to frequent, two sets
+similar enough share one of their first few words, so a set enters only the slabs of those.  A slab with very many points is
+cut into blocks, and each pair of blocks is a cell of its own, so no task holds an unbounded slab.  Every cell is
+packed into an R-tree, whose nodes hold the greatest count of each of ``COORDS`` coordinates, and is searched with all
+its points; a node is entered only if its bound reaches the overlap that the threshold needs, and so is every point of a leaf: no
+candidate leaves the tree without its summed minima.  Pairs that survive are verified on their words (64-bit hashes of
+them), and a pair is reported only in the slab of its first common word, hence once.  Sets of very many words would be carried
+into very many slabs; they enter them with their counts alone, are bounded like the others, and pairs with them are verified by joining
+the words back.
 
 Nothing is dropped: there are no caps on slabs, candidates or partners.  A record without words, or with a NULL number, is similar to none.
 """
@@ -29,15 +30,19 @@ from pyspark.sql import functions as F
 
 from threadloom.session import checkpoint, tasks, written
 
-#: Word groups; the histogram over them (one number each) is the only thing that goes to the driver.
-GROUPS = 1 << 16
+#: Word groups that words are put in order by; the histogram over them (one number each) is the only thing that goes to the driver.
+GROUPS = 1 << 18
+#: Coordinates of a point: each counts the words of several groups.
+COORDS = 512
+#: Points of a slab, about.
+SLAB = 256
 #: Points of one block of a slab.
 BLOCK = 2_048
 #: Children of a tree node, and points of a leaf.
 FAN = 16
-#: Sets with more words enter their slabs without them; pairs with such a set are verified by a join.
+#: Sets with more words enter their slabs with their counts instead; pairs with such a set are verified by a join.
 LONG = 64
-_ENTRY = "cell bigint, slab int, block int, place int, size int, id bigint, words array<bigint>"
+_ENTRY = "cell bigint, slab int, block int, place int, size int, id bigint, words array<bigint>, counts array<int>"
 _PAIR = "a bigint, b bigint, sure boolean"
 
 
@@ -82,7 +87,7 @@ def _rarest_first(values: np.ndarray, offsets: np.ndarray, frequency: np.ndarray
     return values[np.lexsort((values, group, frequency[group], row))]
 
 
-def _entries(frequency: np.ndarray, rule: Rule):
+def _entries(frequency: np.ndarray, rule: Rule, slabs: int):
     """id, words -> one entry per slab that the set enters, its words rarest first."""
 
     def run(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,17 +99,17 @@ def _entries(frequency: np.ndarray, rule: Rule):
         prefix[size == 0] = 0
         row = np.repeat(np.arange(len(size)), prefix)
         place = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-        slab = values[offsets[:-1][row] + place] & (GROUPS - 1)
-        # Two words of one group: the slab is entered once, by the earlier word (they follow each other).
-        again = np.zeros(len(row), bool)
-        again[1:] = (row[1:] == row[:-1]) & (slab[1:] == slab[:-1])
-        return row[~again], place[~again], slab[~again], values, offsets
+        slab = values[offsets[:-1][row] + place] & (slabs - 1)
+        # Two words of one slab: it is entered once, by the earlier word.
+        _, first = np.unique(row * np.int64(slabs) + slab, return_index=True)
+        first.sort()
+        return row[first], place[first], slab[first], values, offsets
 
     return run
 
 
 def _slab_counts(frequency: np.ndarray, rule: Rule):
-    entries = _entries(frequency, rule)
+    entries = _entries(frequency, rule, GROUPS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(GROUPS, np.int64)
@@ -116,42 +121,56 @@ def _slab_counts(frequency: np.ndarray, rule: Rule):
     return run
 
 
+def _counted(values: np.ndarray, row: np.ndarray, n: int, kind: type) -> np.ndarray:
+    """Count vectors of ``n`` sets; ``row`` says to which set each value belongs."""
+    count = np.zeros((n, COORDS), kind)
+    np.add.at(count.ravel(), row * np.int64(COORDS) + (values & (COORDS - 1)), 1)
+    return count
+
+
 def _cells(frequency: np.ndarray, rule: Rule, points: np.ndarray, block: int):
     """id, words -> entries placed in cells: (slab, block, block), a number made of the three."""
-    entries = _entries(frequency, rule)
-    blocks = -(-points // block)
+    entries = _entries(frequency, rule, len(points))
+    blocks = np.maximum(-(-points // block), 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, place, slab, values, offsets = entries(b)
+            size = np.diff(offsets)
+            far = size > LONG
+            kept = np.repeat(~far, size)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(far, 0, size))]).astype(np.int32)), pa.array(values[kept]))
+            long_row = np.repeat(np.cumsum(far) - 1, size)[~kept]
+            count = _counted(values[~kept], long_row, int(far.sum()), np.int32)
+            counts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(far, COORDS, 0))]).astype(np.int32)), pa.array(count.ravel()))
             ids = b.column(0).to_numpy()[row]
             nb = blocks[slab]
-            own = ((ids * np.int64(-7046029254386353131)) >> 33) % np.maximum(nb, 1)
-            rep = np.repeat(np.arange(len(row)), nb)
-            other = np.arange(len(rep)) - np.repeat(np.cumsum(nb) - nb, nb)
-            low, high = np.minimum(own[rep], other), np.maximum(own[rep], other)
-            cell = (slab[rep].astype(np.int64) << 44) | (low << 22) | high
-            size = np.diff(offsets)
-            carried = np.where(size <= LONG, size, 0)
-            values = values[np.repeat(size <= LONG, size)]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(carried)]).astype(np.int32)), pa.array(values))
-            size = size[row[rep]].astype(np.int32)
-            for at in range(0, len(rep), 8_192):
-                to = at + 8_192
-                words = lists.take(pa.array(row[rep[at:to]]))
+            own = ((ids * np.int64(-7046029254386353131)) >> 33) % nb
+            ends = np.cumsum(nb)
+            # An entry is copied once per block of its slab; so many copies at a time are made.
+            for at in range(0, int(ends[-1]) if len(ends) else 0, 4_096):
+                copy = np.arange(at, min(at + 4_096, int(ends[-1])))
+                rep = np.searchsorted(ends, copy, side="right")
+                other = copy - (ends[rep] - nb[rep])
+                low, high = np.minimum(own[rep], other), np.maximum(own[rep], other)
+                cell = (slab[rep].astype(np.int64) << 44) | (low << 22) | high
+                of = pa.array(row[rep])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell[at:to]), pa.array(slab[rep][at:to].astype(np.int32)), pa.array(own[rep][at:to].astype(np.int32)), pa.array(place[rep][at:to].astype(np.int32)), pa.array(size[at:to]), pa.array(ids[rep][at:to]), words],
-                    names=["cell", "slab", "block", "place", "size", "id", "words"],
+                    [pa.array(cell), *(pa.array(x[rep].astype(np.int32)) for x in (slab, own, place)), pa.array(size[row[rep]].astype(np.int32)), pa.array(ids[rep]), lists.take(of), counts.take(of)],
+                    names=["cell", "slab", "block", "place", "size", "id", "words", "counts"],
                 )
 
     return run
 
 
 class Points:
-    """The entries of some whole cells as arrays; words padded to equal width (-1 - row where there is none)."""
+    """The entries of some whole cells as arrays; words padded to equal width.
+
+    ``tested`` counts the nodes and points whose summed minima were taken, ``passed`` the pairs that reached verification.
+    """
 
-    def __init__(self, t: pa.Table, rule: Rule) -> None:
-        self.rule = rule
+    def __init__(self, t: pa.Table, rule: Rule, slabs: int) -> None:
+        self.rule, self.slabs = rule, slabs
         self.cell, self.slab, self.block, self.place, self.size, self.id = (t.column(i).to_numpy() for i in range(6))
         self.values, self.offsets = _lists(t.column(6).combine_chunks())
         self.size, held = self.size.astype(np.int64), np.diff(self.offsets)
@@ -161,19 +180,36 @@ class Points:
         index = np.array([rule.index(n) if n else 0 for n in range(int(self.size.max(initial=0)) + 1)])
         self.indexed = self.place < index[self.size]
         at = self.offsets[:-1, None] + np.arange(self.width)
-        there = np.arange(self.width) < held[:, None]
-        self.pad = there
-        self.words = np.where(there, self.values[np.minimum(at, max(0, len(self.values) - 1))], 0) if len(self.values) else np.zeros((len(self.id), self.width), np.int64)
+        self.pad = np.arange(self.width) < held[:, None]
+        self.words = np.where(self.pad, self.values[np.minimum(at, max(0, len(self.values) - 1))], 0) if len(self.values) else np.zeros((len(self.id), self.width), np.int64)
+        far = np.flatnonzero(self.size > LONG)
+        self.count = _counted(self.values, np.repeat(np.arange(len(self.id)), held), len(self.id), np.int32 if len(far) else np.uint8)
+        if len(far):
+            self.count[far] = _lists(t.column(7).combine_chunks())[0].reshape(len(far), COORDS)
+        self.tested = self.passed = 0
+
+    def bounded(self, i: np.ndarray, other: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether the summed minima of the points ``i`` and the vectors ``other[j]`` reach the overlap needed with a set of ``least`` words at least."""
+        self.tested += len(i)
+        keep = np.zeros(len(i), bool)
+        for c in range(0, len(i), 16_384):
+            p, q = i[c : c + 16_384], j[c : c + 16_384]
+            keep[c : c + 16_384] = np.minimum(self.count[p], other[q]).sum(1, dtype=np.int64) >= self.rule.need(self.size[p] + least[c : c + 16_384])
+        return keep
 
     def verified(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the pairs of rows that are similar and whose first common word is that of their slab; pairs with a long set that may be similar are not sure."""
+        """Ids of the pairs of rows that are similar and whose first common word is in their slab; pairs with a long set that may be similar are not sure."""
         swap = (self.size[i] > self.size[j]) | ((self.size[i] == self.size[j]) & (self.id[i] > self.id[j]))
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         a, b = self.size[i], self.size[j]
         need = self.rule.need(a + b)
-        # Sizes; the smaller set's entry must be an index entry; and the words left after the slab's must suffice.
-        keep = (self.id[i] != self.id[j]) & ~(self.mixed[i] & (self.block[i] == self.block[j])) & (a >= need) & self.indexed[i] & (1 + np.minimum(a - self.place[i], b - self.place[j]) - 1 >= need)
+        # Sizes; the smaller set's entry must be an index entry; and the words left from the slab's on must suffice.
+        keep = (self.id[i] != self.id[j]) & ~(self.mixed[i] & (self.block[i] == self.block[j])) & (a >= need) & self.indexed[i] & (np.minimum(a - self.place[i], b - self.place[j]) >= need)
         i, j, need = i[keep], j[keep], need[keep]
+        # Every pair's own bound, before its words are looked at.
+        near = self.bounded(i, self.count, j, self.size[j])
+        i, j, need = i[near], j[near], need[near]
+        self.passed += len(i)
         long = self.size[j] > LONG
         out = [(self.id[i[long]], self.id[j[long]], np.zeros(long.sum(), bool))]
         i, j, need = i[~long], j[~long], need[~long]
@@ -183,106 +219,66 @@ class Points:
             equal = (self.words[p][:, :, None] == self.words[q][:, None, :]) & self.pad[p][:, :, None] & self.pad[q][:, None, :]
             common = equal.any(2)
             good = common.sum(1) >= n
-            first = self.words[p[good], common[good].argmax(1)] & (GROUPS - 1)
+            first = self.words[p[good], common[good].argmax(1)] & (self.slabs - 1)
             at = np.flatnonzero(good)[first == self.slab[p[good]]]
             out.append((self.id[p[at]], self.id[q[at]], np.ones(len(at), bool)))
         x, y, sure = (np.concatenate([o[k] for o in out]) for k in range(3))
         return np.minimum(x, y), np.maximum(x, y), sure
 
-    def tree_pairs(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Candidate pairs of rows of one cell, by searching its R-tree with each of its points."""
+    def tree_pairs(self, begin: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidate pairs of rows of one cell, by searching its R-tree with each of its points, some hundreds of them at a time."""
         rows = np.arange(begin, end)
         t = float(self.rule.t)
-        long = rows[self.size[rows] > LONG]
-        pairs = []
-        for r in long:  # by size alone: its words are not here
-            near = rows[(self.size[rows] >= t * self.size[r] - 1e-6) & (self.size[rows] * t <= self.size[r] + 1e-6)]
-            near = near[(near > r) | (self.size[near] <= LONG)]
-            pairs.append((np.full(len(near), r), near))
-        rows = rows[self.size[rows] <= LONG]
-        if not len(rows):
-            return tuple(np.concatenate([p[k] for p in pairs]) for k in range(2))
-        # Packing: points with the same next word lie side by side, then by size.
-        nxt = self.words[rows, np.minimum(self.place[rows] + 1, self.width - 1)] & (GROUPS - 1)
+        # Packing: points with the same next word lie side by side, then by size; a long set's by its greatest coordinate.
+        nxt = np.where(self.pad[rows].any(1), self.words[rows, np.minimum(self.place[rows] + 1, self.width - 1)] & (GROUPS - 1), -1 - self.count[rows].argmax(1))
         rows = rows[np.lexsort((self.size[rows], nxt))]
-        group = np.where(self.pad[rows], self.words[rows] & (GROUPS - 1), -1)
-        names, local = np.unique(group, return_inverse=True)
-        local = local.reshape(group.shape)
-        held = group >= 0
-        n, d = len(rows), len(names)
-        count = np.zeros((n, d), np.uint8) if n * d <= 4_000_000 else None
-        flat = np.repeat(np.arange(n), held.sum(1)) * np.int64(d) + local[held]
-        key, times = np.unique(flat, return_counts=True)
-        times = np.minimum(times, 255).astype(np.uint8)
-        levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if count is not None:
-            count.ravel()[key] = times
-            node = np.maximum.reduceat(count, np.arange(0, n, FAN), axis=0)
-        else:
-            node = np.zeros((-(-n // FAN), d), np.uint8)
-            np.maximum.at(node, (key // d // FAN, key % d), times)
-        low, high = (f.reduceat(self.size[rows], np.arange(0, n, FAN)) for f in (np.minimum, np.maximum))
-        levels.append((node, low, high))
+        n, size = len(rows), self.size[rows]
+        levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(self.count[rows], size, size)]
         while len(levels[-1][0]) > FAN:
             node, low, high = levels[-1]
             cut = np.arange(0, len(node), FAN)
             levels.append((np.maximum.reduceat(node, cut, axis=0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
-        # Each (point, group) once, with its count.
-        own = np.zeros(group.shape, np.uint8)
-        slot = np.searchsorted(key, np.repeat(np.arange(n), held.sum(1)) * np.int64(d) + local[held])
-        first = np.ones(len(flat), bool)
-        order = np.argsort(flat, kind="stable")
-        first[order[1:]] = flat[order[1:]] != flat[order[:-1]]
-        own[held] = np.where(first, times[slot], 0)
-        size = self.size[rows]
         for s in range(0, n, 512):
             point = np.repeat(np.arange(s, min(n, s + 512)), len(levels[-1][0]))
             node_at = np.tile(np.arange(len(levels[-1][0])), min(n, s + 512) - s)
             for depth in range(len(levels) - 1, -1, -1):
                 node, low, high = levels[depth]
                 fits = (high[node_at] >= t * size[point] - 1e-6) & (low[node_at] * t <= size[point] + 1e-6)
+                if depth == 0:  # points of leaves: each pair once; their own bound is taken with the rest of what is known of the pair
+                    fits &= point < node_at
+                    point, node_at = point[fits], node_at[fits]
+                    break
                 point, node_at = point[fits], node_at[fits]
-                kept = []
-                for c in range(0, len(point), 65_536):
-                    p, q = point[c : c + 65_536], node_at[c : c + 65_536]
-                    bound = np.minimum(node[q[:, None], local[p]], own[p]).sum(1, dtype=np.int32)
-                    least = np.maximum(low[q], np.ceil(t * size[p] - 1e-6).astype(np.int64))
-                    kept.append(bound >= self.rule.need(size[p] + least))
-                keep = np.concatenate(kept) if kept else np.zeros(0, bool)
+                least = np.maximum(low[node_at], np.ceil(t * size[point] - 1e-6).astype(np.int64))
+                keep = self.bounded(rows[point], node, node_at, least)
                 point, node_at = point[keep], node_at[keep]
-                fan = n if depth == 0 else len(levels[depth - 1][0])
+                fan = len(levels[depth - 1][0])
                 child = (node_at[:, None] * FAN + np.arange(FAN)).ravel()
                 point = np.repeat(point, FAN)
                 inside = child < fan
                 point, node_at = point[inside], child[inside]
-            ahead = point < node_at
-            pairs.append((rows[point[ahead]], rows[node_at[ahead]]))
-        return tuple(np.concatenate([p[k] for p in pairs]) for k in range(2))
+            yield rows[point], rows[node_at]
 
     def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cuts = np.flatnonzero(np.concatenate([[True], self.cell[1:] != self.cell[:-1], [True]])) if len(self.cell) else np.zeros(1, np.int64)
         begin, n = cuts[:-1], np.diff(cuts)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        left, right = [], []
         for k in np.unique(n):
-            if 2 <= k <= FAN:  # a single leaf: all cells of this size at once
+            if 2 <= k <= FAN:  # a tree of one leaf: all cells of this size at once
                 i, j = np.triu_indices(int(k), 1)
-                left.append((begin[n == k][:, None] + i).ravel())
-                right.append((begin[n == k][:, None] + j).ravel())
+                left, right = (begin[n == k][:, None] + i).ravel(), (begin[n == k][:, None] + j).ravel()
+                for s in range(0, len(left), 1_000_000):
+                    found.append(self.verified(left[s : s + 1_000_000], right[s : s + 1_000_000]))
         for b, k in zip(begin[n > FAN], n[n > FAN]):
-            i, j = self.tree_pairs(int(b), int(b + k))
-            left.append(i)
-            right.append(j)
-        if left:
-            i, j = np.concatenate(left), np.concatenate(right)
-            for s in range(0, len(i), 1_000_000):
-                found.append(self.verified(i[s : s + 1_000_000], j[s : s + 1_000_000]))
+            for i, j in self.tree_pairs(int(b), int(b + k)):
+                for s in range(0, len(i), 1_000_000):
+                    found.append(self.verified(i[s : s + 1_000_000], j[s : s + 1_000_000]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
-def _searched(threshold: float):
+def _searched(threshold: float, slabs: int):
     """Entries sorted by cell -> pairs (a, b).  Whole cells are taken from the stream at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +287,7 @@ def _searched(threshold: float):
         rows = 0
 
         def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            a, b, sure = Points(t, rule).search()
+            a, b, sure = Points(t, rule, slabs).search()
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], names=["a", "b", "sure"])
 
@@ -322,11 +318,14 @@ def similar_pairs(sets: DataFrame, threshold: float, block: int = BLOCK) -> Data
         frequency[r["g"]] = r["n"]
     rule = Rule(threshold)
     slabs = sets.mapInArrow(_slab_counts(frequency, rule), "slab bigint, n bigint").groupBy("slab").agg(F.sum("n").alias("n")).collect()
-    points = np.zeros(GROUPS, np.int64)
+    total = sum(r["n"] for r in slabs)
+    # As many slabs, a power of two, that one has some hundreds of points.
+    n_slabs = min(GROUPS, 1 << max(0, (total // SLAB)).bit_length())
+    points = np.zeros(n_slabs, np.int64)
     for r in slabs:
-        points[r["slab"]] = r["n"]
+        points[r["slab"] & (n_slabs - 1)] += r["n"]
     entries = sets.mapInArrow(_cells(frequency, rule, points, block), _ENTRY)
-    found = entries.repartition(tasks(spark), "cell").sortWithinPartitions("cell").mapInArrow(_searched(threshold), _PAIR)
+    found = entries.repartition(tasks(spark), "cell").sortWithinPartitions("cell").mapInArrow(_searched(threshold, n_slabs), _PAIR)
     if not sets.where(F.size("words") > LONG).limit(1).count():
         return found.select("a", "b")
     found = checkpoint(found)
