@@ -6,8 +6,9 @@ to 1 at every moment; others can be given.  Integrating a schedule gives the tok
 inverse of that integral gives the moment at which a document is due.  A document's training position is
 that moment for the middle of its tokens, and documents are range-sorted by position.
 
-The total is the largest one for which every source that occurs meets its share with no document used
-more than ``max_repeats`` times (or the total asked for, a number or ``ALL``, in which case a source that runs out supplies what it has).
+The total is the tokens of all sources that a mixture can use (``ALL``), or a number: scarce sources are repeated, no document
+more than ``max_repeats`` times, and a source that runs out supplies what it has.  With ``EXACT`` it is the largest total
+for which every source that occurs meets its share, however much of the others that leaves out.
 The shares of targets without documents go to the others in proportion.  Sources without a target
 are left out.  Shares really reached are reported by :func:`shares`.
 
@@ -17,6 +18,7 @@ summed in one task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -30,13 +32,15 @@ TOKENIZERS = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenizer pattern that belongs to that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: As a total: the tokens of all sources that a mixture can use.
-ALL = "all"
+#: As a total: the tokens of all sources that a mixture can use, or the most that meets every share.
+ALL, EXACT = "all", "exact"
 #: Documents of one bucket, about, and how much a schedule swings around its mean.
 BUCKET = 20_000
 SWING = 0.6
-#: A text longer than this is tokenized in pieces cut at white space.
+#: A text longer than this is tokenized in pieces, cut where the pre-tokenizer cuts in any case.
 PIECE = 100_000
+#: Before a space between two characters that are none: the pattern always ends a piece there.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 _encoders: dict[str, object] = {}
 
@@ -54,12 +58,11 @@ def _encoder(path: str, pattern: str):
 
 
 def _pieces(text: str) -> Iterator[str]:
+    """The text in pieces whose token counts add up to that of the whole; an unbroken stretch is never cut, however long."""
     at = 0
-    while len(text) - at > PIECE:
-        cut = text.rfind(" ", at + 1, at + PIECE)
-        cut = at + PIECE if cut <= at else cut
-        yield text[at:cut]
-        at = cut
+    while len(text) - at > PIECE and (cut := _CUT.search(text, at + PIECE)):
+        yield text[at : cut.start()]
+        at = cut.start()
     yield text[at:]
 
 
@@ -98,7 +101,7 @@ def integrated(weights: list[float]) -> tuple[list[float], list[float]]:
     return [w / whole for w in weights], [*sums[:-1], 1.0]
 
 
-def plan(counts: DataFrame, targets: DataFrame, total: int | str | None = None, schedules: Schedules | None = None) -> DataFrame:
+def plan(counts: DataFrame, targets: DataFrame, total: int | str = ALL, schedules: Schedules | None = None) -> DataFrame:
     """Per source: supply, renormalised share, tokens wanted, tokens that can be used, schedule and its integral (one row per source; sizes only)."""
     supply = counts.groupBy("source").agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("n_docs"))
     clean = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -108,7 +111,7 @@ def plan(counts: DataFrame, targets: DataFrame, total: int | str | None = None,
     usable = [r for r in rows if r["able"]]
     whole = sum(r["target_share"] for r in usable) or 1.0
     most = min((r["supply"] * r["max_repeats"] * whole / r["target_share"] for r in usable), default=0)
-    goal = float(most if total is None else sum(r["supply"] for r in usable) if total == ALL else total)
+    goal = float(most if total == EXACT else sum(r["supply"] for r in usable) if total == ALL else total)
     # Even ranks by source name around 0: the schedule of the first source falls, that of the last rises.
     usable.sort(key=lambda r: r["source"])
     mean = sum(i * r["target_share"] for i, r in enumerate(usable)) / whole
@@ -150,7 +153,7 @@ def due_at(y: Column, weights: Column, sums: Column) -> Column:
     return k / n + F.when(low > 0, 2 * rest / low).otherwise(0.0)
 
 
-def _scheduled(documents: DataFrame, targets: DataFrame, total: int | str | None, folder: str, schedules: Schedules | None) -> tuple[DataFrame, DataFrame]:
+def _scheduled(documents: DataFrame, targets: DataFrame, total: int | str, folder: str, schedules: Schedules | None) -> tuple[DataFrame, DataFrame]:
     counts = checkpoint(token_counts(documents, folder))
     sources = plan(counts, targets, total, schedules)
     used = sources.where("used > 0").select("source", "supply", "used", "wanted", "max_repeats", "weights", "sums")
@@ -166,7 +169,7 @@ def _scheduled(documents: DataFrame, targets: DataFrame, total: int | str | None
     return copies.select("doc_id", "source", F.col("repeat").cast("bigint").alias("repeat"), "n_tokens", at.alias("position")), sources
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | str | None = None, folder: str = TOKENIZERS, schedules: Schedules | None = None) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total: int | str = ALL, folder: str = TOKENIZERS, schedules: Schedules | None = None) -> DataFrame:
     """``doc_id, source, repeat, n_tokens, position``: every use of a document with its training position in [0, 1], in that order.
 
     Documents with no tokens or no source, and of sources without target, are not used; an empty table or empty targets
@@ -175,7 +178,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | str | None = None
     return _scheduled(documents, targets, total, folder, schedules)[0].orderBy("position", "doc_id", "repeat")
 
 
-def shares(documents: DataFrame, targets: DataFrame, total: int | str | None = None, folder: str = TOKENIZERS, schedules: Schedules | None = None) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, total: int | str = ALL, folder: str = TOKENIZERS, schedules: Schedules | None = None) -> DataFrame:
     """Per listed source: target share, share wanted of the sources that occur, tokens used, share really reached, uses of the most used document."""
     used, sources = _scheduled(documents, targets, total, folder, schedules)
     used = checkpoint(used)
