@@ -82,3 +82,13 @@ def test_catalog_lines_replace(spark):
     new = spark.createDataFrame([("a", 2, 6, 5, "m", 1), ("a", 3, 7, 5, "n", 2), ("c", 1, 0, 0, "y", 3)], cols + ", ord bigint")
     got = {r["group_name"]: (r["first_article"], r["status_flag"], r["last_updated"].year) for r in store.replace_groups(old, new, F.lit("2024-01-01").cast("timestamp")).collect()}
     assert got == {"a": (3, "n", 2024), "b": (1, None, 2020), "c": (1, "y", 2024)}
+
+
+def test_what_an_insertion_reports(spark, tmp_path):
+    from threadloom.schema import ARTICLES
+
+    df = spark.createDataFrame([(f"<{i}>", "123", i, "s", None, None, None, 7, 1, None) for i in range(9)], ARTICLES)
+    first = store.upsert_headers(df, str(tmp_path / "t"))
+    again = store.upsert_headers(df, str(tmp_path / "t"))
+    assert (first["rows"], first["bytes"]) == (9, 63) and again["rows"] == 0 and first["seconds"] > 0
+    assert store.stored_articles(spark, str(tmp_path / "t")).where("group_name = '123'").count() == 9

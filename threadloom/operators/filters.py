@@ -59,3 +59,15 @@ def search(
         where.append(none_of(F.col("from_addr"), not_from))
     keep = COLUMNS + (["ord"] if "ord" in df.columns else [])
     return df.where(all_of(where)).select(*keep)
+
+
+def described(group: str | None = None, subject_like: str | None = None, from_like: str | None = None, not_subject: str | None = None, not_from: str | None = None, terms: bool = False) -> str:
+    """The search as one line of SQL, for showing it."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    parts = [f"group_name = {quoted(group)}"] if group else []
+    for column, value in (("subject", subject_like), ("from_addr", from_like)):
+        for t in ([x for x in value.split("%") if x] if terms else [value]) if value else []:
+            parts.append(f"{column} LIKE {quoted(f'%{t}%')}")
+    for column, value in (("subject", not_subject), ("from_addr", not_from)):
+        parts += [f"{column} NOT LIKE {quoted(f'%{t.strip()}%')}" for t in (value or "").split("|") if t.strip()]
+    return f"SELECT {', '.join(COLUMNS)} FROM articles" + (" WHERE " + " AND ".join(parts) if parts else "")

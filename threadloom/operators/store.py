@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.schema import ARTICLES
@@ -47,10 +49,10 @@ def ensure_tables(spark: SparkSession, database: str = "default") -> None:
     )
 
 
-def upsert_headers(batch: DataFrame, path: str, group: str | None = None, order: str = "artnum") -> None:
+def upsert_headers(batch: DataFrame, path: str, group: str | None = None, order: str = "artnum") -> dict[str, float]:
     """Insert ``batch`` into the Parquet table at ``path``, partitioned by group and sorted by article number.
 
-    ``group``: the group that all rows get, whatever they say.
+    ``group``: the group that all rows get, whatever they say.  Returns ``rows`` and ``bytes`` added, and ``seconds``.
     """
     if group is not None:
         batch = batch.withColumn("group_name", F.lit(group))
@@ -60,7 +62,12 @@ def upsert_headers(batch: DataFrame, path: str, group: str | None = None, order:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing stored yet
             raise
         new = first_wins(batch, order=order)
-    _spread(new).write.mode("append").partitionBy("group_name").parquet(path)
+    # Counted while they are written; an empty insertion sees no partition and so reports nothing.
+    seen, began = Observation(), time.perf_counter()
+    size = F.col("bytes") if "bytes" in new.columns else F.lit(0)
+    counted = _spread(new).observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+    counted.write.mode("append").partitionBy("group_name").parquet(path)
+    return {"rows": 0, "bytes": 0} | seen.get | {"seconds": time.perf_counter() - began}
 
 
 def stored_articles(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,9 @@ from threadloom.functions.timestamps import with_utc_micros
 from threadloom.operators import filters, hierarchy, hotkeys, multipart, naming, order, ranges, store
 from threadloom.operators.packed import explode_packed
 from threadloom.plans import manifests, oracle
-from threadloom.sources import records
+from threadloom.schema import ARTICLES
+from threadloom.session import checkpoint_dir, tasks
+from threadloom.sources import overview, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -387,7 +390,74 @@ def chunk_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @tables
 def overview_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.articles(table(spark, sf_dir, "overviews"))
+    return records.with_iso_dates(records.articles(table(spark, sf_dir, "overviews")))
+
+
+@tables
+def overview_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records read through the data source, in chunks of article numbers."""
+    overview.register(spark)
+    got = spark.read.format("overview").options(path=f"{sf_dir}/overviews.parquet".removeprefix("file://"), group="*", max_workers=str(tasks(spark))).load()
+    return records.with_iso_dates(got.drop("chunk_error"))
+
+
+@tables
+def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups that the transport lists."""
+    overview.register(spark)
+    return spark.read.format("overview").options(path=f"{sf_dir}/overviews.parquet".removeprefix("file://"), mode="groups").load()
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored(a: DataFrame) -> DataFrame:
+    return a.select("ord", *ARTICLES.names)
+
+
+@tables
+def upsert_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored table after the articles and then the wire records were inserted into it."""
+    path = _folder(spark, "articles")
+    store.upsert_headers(_stored(table(spark, sf_dir, "articles")), path, order="ord")
+    store.upsert_headers(records.articles(table(spark, sf_dir, "overviews")).withColumn("ord", F.col("artnum")), path)
+    return store.stored_articles(spark, path).select("group_name", "artnum", "message_id")
+
+
+@tables
+def reload_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored table after the groups of the wire records were loaded anew."""
+    path = _folder(spark, "articles")
+    store.upsert_headers(_stored(table(spark, sf_dir, "articles")), path, order="ord")
+    store.reload(records.articles(table(spark, sf_dir, "overviews")).withColumn("ord", F.col("artnum")), path)
+    return store.stored_articles(spark, path).select("group_name", "artnum", "message_id")
+
+
+@query
+def archive_roundtrip(a: DataFrame) -> DataFrame:
+    """All articles written as an archive of JSON lines and read again."""
+    path = _folder(a.sparkSession, "archive")
+    store.archive(a.select(*ARTICLES.names), path)
+    return store.read_archive(a.sparkSession, path)
+
+
+@query
+def manifests_read_back(a: DataFrame) -> DataFrame:
+    """The segments of all manifests of complete sets, written as XML files and read by the XML reader (an element without an id is none to it)."""
+    spark = a.sparkSession
+    path = _folder(spark, "manifests")
+    local = path.removeprefix("file:")
+    made = manifests.grouped(kept(a), F.lit(ASOF_US // 1_000_000), None, True)
+    # Spark's readers leave out files whose names begin with an underscore, as those of some posters do.
+    manifests.write(made.withColumn("file_name", F.concat(F.lit("m"), F.sha2(F.concat_ws("/", "group_name", "file_name"), 256), F.lit(".nzb"))), local, by_group=True)
+    return manifests.flat(manifests.read(spark, f"{path}/*")).select("number", "bytes", "id")
+
+
+@query
+def file_reduction(a: DataFrame) -> DataFrame:
+    """Per group the manifests with and without grouping by collection."""
+    return naming.numbered_files(kept(a), None, True).groupBy("group_name").agg(F.sum("n_sets").alias("n_ungrouped"), F.count("*").alias("n_grouped"))
 
 
 @tables

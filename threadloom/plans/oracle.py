@@ -103,8 +103,8 @@ def _like(c: str, term: str) -> str:
     return f"{fold} LIKE {_q('%' + term.lower() + '%')}"
 
 
-def _instant() -> str:
-    """``SELECT ord, date_utc, us``: the instants of all written dates of articles."""
+def _instant(source: str = "articles") -> str:
+    """``SELECT ord, date_utc, us``: the instants of all written dates of ``source`` (ord, date_utc)."""
     zone = r"(?:\s*(?:([+-]\d{2}:?\d{2})|([A-Za-z]{1,5})|([A-Za-z_]+(?:/[A-Za-z_+0-9-]+)+)))?"
     time = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
     end = r"\s*(?:\([^()]*\))?\s*$"
@@ -127,7 +127,7 @@ def _instant() -> str:
         got = f"regexp_extract(date_utc, {_q(pattern)}, [{names}])"
         take = ", ".join(f"nullif({got}.{x}, '') AS {x}" if x in at else f"CAST(NULL AS VARCHAR) AS {x}" for x in "y n m d h mi s f p o z r".split())
         before = " AND ".join(f"NOT regexp_matches(date_utc, {_q(p)})" for p, _ in forms[:k]) or "true"
-        parts.append(f"SELECT ord, date_utc, {take} FROM articles WHERE regexp_matches(date_utc, {_q(pattern)}) AND {before}")
+        parts.append(f"SELECT ord, date_utc, {take} FROM {source} WHERE regexp_matches(date_utc, {_q(pattern)}) AND {before}")
     cut = " UNION ALL ".join(parts)
     num = (
         f"SELECT ord, date_utc, CASE WHEN length(y) = 2 THEN 2000 + CAST(y AS BIGINT) ELSE CAST(y AS BIGINT) END AS y, coalesce(CAST(m AS BIGINT), {months}[lower(n)]) AS m, CAST(d AS BIGINT) AS d, "
@@ -144,7 +144,7 @@ def _instant() -> str:
     digits = r"^\s*(\d{1,19})\s*(?:\([^()]*\))?\s*$"
     e = f"CAST(regexp_extract(date_utc, {_q(digits)}, 1) AS HUGEINT)"
     n = f"length(regexp_extract(date_utc, {_q(digits)}, 1))"
-    count = f"SELECT ord, date_utc, CASE WHEN {n} <= 11 THEN {e} * 1000000 WHEN {n} <= 14 THEN {e} * 1000 WHEN {n} <= 17 THEN {e} ELSE {e} // 1000 END AS us FROM articles WHERE regexp_matches(date_utc, {_q(digits)})"
+    count = f"SELECT ord, date_utc, CASE WHEN {n} <= 11 THEN {e} * 1000000 WHEN {n} <= 14 THEN {e} * 1000 WHEN {n} <= 17 THEN {e} ELSE {e} // 1000 END AS us FROM {source} WHERE regexp_matches(date_utc, {_q(digits)})"
     return f"(SELECT ord, date_utc, CAST(us AS BIGINT) AS utc_us FROM ({written} UNION ALL {count}))"
 
 
@@ -230,6 +230,8 @@ def statements(asof_us: int, group: str) -> dict[str, str]:
     )
     dated = f"(SELECT a.ord, a.group_name, a.artnum, i.utc_us AS us FROM articles a JOIN {_instant()} i USING (ord) WHERE i.utc_us IS NOT NULL)"
     plan = lambda chunk, end: f"SELECT group_name, chunk_start, least(chunk_start + {chunk - 1}, e) AS chunk_end FROM (SELECT group_name, {end} AS e, unnest(generate_series(first_article, {end}, {chunk})) AS chunk_start FROM newsgroups WHERE last_article >= first_article)"
+    added = "n AS (SELECT group_name, artnum, message_id FROM w WHERE message_id IS NULL UNION ALL SELECT group_name, min(artnum), message_id FROM w WHERE message_id IS NOT NULL GROUP BY group_name, message_id)"
+    iso_wire = f"WITH w AS MATERIALIZED (SELECT row_number() OVER () AS ord, * FROM {wire}) SELECT w.* EXCLUDE (ord) REPLACE (strftime(make_timestamp(i.utc_us), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS date_utc) FROM w LEFT JOIN {_instant('w')} i ON i.ord = w.ord"
     return {
         "p2_found": "SELECT from_addr FROM articles WHERE from_addr <> '' GROUP BY from_addr HAVING count(*) >= 0.03 * (SELECT count(*) FROM articles)",
         "p2_totals": f"SELECT from_addr, count(*) AS n_rows, CAST(sum(coalesce(bytes, 0)) AS BIGINT) AS total_bytes, min(utc_us) AS first_us, max(utc_us) AS last_us FROM articles LEFT JOIN {_instant()} i USING (ord) GROUP BY from_addr",
@@ -303,7 +305,14 @@ def statements(asof_us: int, group: str) -> dict[str, str]:
         "chunk_plan": plan(1000, "last_article"),
         "chunk_plan_limit": plan(100, "least(last_article, first_article + 249)"),
         "chunk_row_counts": f"SELECT p.group_name, p.chunk_start, count(a.artnum) AS n FROM ({plan(1000, 'last_article')}) p LEFT JOIN articles a ON a.group_name = p.group_name AND a.artnum BETWEEN p.chunk_start AND p.chunk_end GROUP BY p.group_name, p.chunk_start",
-        "overview_records": f"SELECT * FROM {wire}",
+        "overview_records": iso_wire,
+        "overview_source": iso_wire,
+        "catalog_listing": "SELECT group_name, min(artnum) AS first_article, max(artnum) AS last_article, max(artnum) - min(artnum) + 1 AS article_count, 'y' AS status_flag FROM overviews WHERE artnum IS NOT NULL GROUP BY group_name",
+        "upsert_written": f"WITH w AS (SELECT * FROM {wire}), {added} SELECT group_name, artnum, message_id FROM {KEPT} UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.group_name = n.group_name AND a.message_id = n.message_id)",
+        "reload_written": f"WITH w AS (SELECT * FROM {wire}), {added} SELECT group_name, artnum, message_id FROM {KEPT} WHERE group_name NOT IN (SELECT group_name FROM w) UNION ALL SELECT * FROM n",
+        "archive_roundtrip": "SELECT message_id, group_name, artnum, subject, from_addr, date_utc, refs, bytes, lines, xref FROM articles",
+        "manifests_read_back": sets3 + _documents(scope3, asof_us // 1_000_000) + "SELECT number, bytes, id FROM segs WHERE id <> ''",
+        "file_reduction": sets3 + numbered.replace("{only}", "AND complete") + "SELECT group_name, CAST(sum(n_sets) AS BIGINT) AS n_ungrouped, count(*) AS n_grouped FROM files GROUP BY group_name",
         "nzb_segments": "SELECT _poster AS poster, _date AS date, _subject AS subject, coalesce(len(groups['group']), 0) AS n_groups, s._number AS number, s._bytes AS bytes, s._VALUE AS id FROM (SELECT *, unnest(segments.segment) AS s FROM nzb_files)",
         "nzb_segments_stored": f"WITH s AS (SELECT DISTINCT _subject AS subject, s._number AS number, s._VALUE AS id FROM (SELECT *, unnest(segments.segment) AS s FROM nzb_files)) SELECT s.subject, s.number, s.id, k.group_name, k.artnum FROM s JOIN {KEPT} k ON regexp_replace(k.message_id, '(?s)^<(.*)>$', '\\1') = s.id",
     }

@@ -1,8 +1,9 @@
 """A Spark data source of overview records: ``spark.read.format("overview")`` and ``readStream``.
 
-Options: ``transport`` (``replay``, or ``module:function`` giving a transport), ``path`` (replay: Parquet of group_name,
-artnum, fields), ``group``, ``start``, ``end``, ``chunk``, ``limit``, ``strict``, ``fail_on_error``.
-A partition is one chunk of article numbers and opens its own connection.  A chunk that fails fails its task, and so the
+Options: ``transport`` (``replay``, ``nntp``, or ``module:function`` giving a transport), ``path`` (replay: Parquet of group_name,
+artnum, fields), ``host``, ``port``, ``username``, ``password``, ``timeout``, ``group`` (names, or ``*`` for all), ``start``, ``end``, ``chunk``,
+``limit``, ``max_workers``, ``strict``, ``fail_on_error``; ``mode=groups`` gives the catalog instead of articles.
+A partition is one chunk of article numbers, or several in turn where ``max_workers`` allows no more connections, and opens its own connection.  A chunk that fails fails its task, and so the
 job, after Spark's retries; with ``fail_on_error=false`` it gives one row with NULL article number and the error in
 ``chunk_error`` instead, so nothing goes missing silently.
 """
@@ -11,9 +12,12 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Iterator
+from contextlib import closing
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from threadloom.functions.text import clean_text
@@ -22,13 +26,14 @@ from threadloom.operators.ranges import plan_chunks
 # The fields of an article and the record key that each is found by.
 FIELDS = {"message_id": "message-id", "subject": "subject", "from_addr": "from", "date_utc": "date", "refs": "references", "bytes": "bytes", "lines": "lines", "xref": "xref"}
 SCHEMA = "group_name string, artnum bigint, message_id string, subject string, from_addr string, date_utc string, refs string, bytes bigint, lines bigint, xref string, chunk_error string"
+CATALOG = "group_name string, first_article bigint, last_article bigint, article_count bigint, status_flag string"
 
 
 def key_map(keys: list[str]) -> dict[str, str]:
-    """For every field the first key that contains its name, case aside."""
+    """For every field the first key (by key order) that contains its name, case aside."""
     found = {}
     for field, name in FIELDS.items():
-        hit = next((k for k in keys if name in k.lower()), None)
+        hit = next((k for k in sorted(keys) if name in k.lower()), None)
         if hit is not None:
             found[field] = hit
     return found
@@ -45,7 +50,8 @@ def number(text: Any, strict: bool) -> int | None:
         return None
 
 
-def article(group: str, artnum: int, record: dict, keys: dict[str, str], strict: bool) -> tuple:
+def article(group: str, artnum: int, record: dict, strict: bool) -> tuple:
+    keys = key_map(list(record))
     get = lambda f: clean_text(record.get(keys[f])) if f in keys else None
     return (
         group, int(artnum), get("message_id"), get("subject") or "", get("from_addr") or "", get("date_utc"), get("refs"),
@@ -59,11 +65,32 @@ class Replay:
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
 
-    def bounds(self, group: str) -> tuple[int, int, int]:
+    def _numbers(self, group: str | None = None) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
 
-        nums = [n for n in ds.dataset(self.path).to_table(columns=["artnum"], filter=ds.field("group_name") == group)["artnum"].to_pylist() if n is not None]
-        return len(nums), min(nums, default=1), max(nums, default=0)
+        where = ds.field("artnum").is_valid()
+        return ds.dataset(self.path).to_batches(columns=["group_name", "artnum"], filter=where if group is None else where & (ds.field("group_name") == group))
+
+    def bounds(self, group: str) -> tuple[int, int, int]:
+        """Count, first and last number; the file is read in batches, of which three numbers are kept."""
+        count, first, last = 0, None, None
+        for b in self._numbers(group):
+            if b.num_rows:
+                m = pc.min_max(b.column(1)).as_py()
+                count, first, last = count + b.num_rows, min(x for x in (first, m["min"]) if x is not None), max(x for x in (last, m["max"]) if x is not None)
+        return count, 1 if first is None else first, last or 0
+
+    def groups(self) -> Iterator[tuple[str, int, int, str]]:
+        known: dict[str, tuple[int, int]] = {}
+        for b in self._numbers():
+            for r in pa.table(b).group_by("group_name").aggregate([("artnum", "min"), ("artnum", "max")]).to_pylist():
+                low, high = known.get(r["group_name"], (r["artnum_min"], r["artnum_max"]))
+                known[r["group_name"]] = min(low, r["artnum_min"]), max(high, r["artnum_max"])
+        for name in sorted(known):
+            yield name, *known[name], "y"
+
+    def close(self) -> None:
+        """Nothing is held open."""
 
     def over(self, group: str, start: int, end: int) -> Iterator[tuple[int | None, dict]]:
         import pyarrow.dataset as ds
@@ -75,23 +102,25 @@ class Replay:
 
 
 class Nntp:
-    """A transport over a TLS connection, where the interpreter has an NNTP client."""
+    """A transport over one connection to a server."""
 
     def __init__(self, options: dict[str, str]) -> None:
-        import nntplib  # gone from the newest standard libraries
+        from threadloom.sources.nntp import Client
 
-        self.client = nntplib.NNTP_SSL(options["host"], int(options["port"]), options.get("username"), options.get("password"), timeout=int(options.get("timeout", "60")))
+        self.client = Client(options["host"], int(options.get("port", "563")), options.get("username"), options.get("password"), float(options.get("timeout", "60")), options.get("tls", "true") != "false")
 
     def bounds(self, group: str) -> tuple[int, int, int]:
-        _, count, first, last, _ = self.client.group(group)
-        return int(count), int(first), int(last)
+        return self.client.group(group)
 
     def over(self, group: str, start: int, end: int) -> Iterator[tuple[int | None, dict]]:
         self.client.group(group)
-        yield from self.client.over((start, end))[1]
+        yield from self.client.over(start, end)
+
+    def groups(self) -> Iterator[tuple[str, int, int, str]]:
+        return self.client.groups()
 
-    def groups(self) -> list[tuple[str, int, int, str]]:
-        return [(g.group, int(g.last), int(g.first), g.flag) for g in self.client.list()[1]]
+    def close(self) -> None:
+        self.client.close()
 
 
 def transport(options: dict[str, str]):
@@ -104,39 +133,87 @@ def transport(options: dict[str, str]):
     return getattr(importlib.import_module(module), function)(options)
 
 
-class Chunk(InputPartition):
-    def __init__(self, group: str, start: int, end: int) -> None:
-        self.group, self.start, self.end = group, start, end
+class Chunks(InputPartition):
+    """Chunks (group, first, last) that one task reads over one connection, in turn."""
 
+    def __init__(self, chunks: list[tuple[str, int, int]]) -> None:
+        self.chunks = chunks
 
-def read_chunk(options: dict[str, str], chunk: Chunk) -> Iterator[tuple]:
-    """The articles of one chunk.  Records without a number are dropped; keys are settled by the chunk's first record."""
-    strict = options.get("strict", "false") == "true"
-    try:
-        rows, keys = [], None
-        for n, record in transport(options).over(chunk.group, chunk.start, chunk.end):
-            if n is None or not isinstance(record, dict):
-                continue
-            keys = key_map(list(record)) if keys is None else keys
-            rows.append(article(chunk.group, n, record, keys, strict))
-    except Exception as e:
-        if options.get("fail_on_error", "true") != "false":
-            raise
-        rows = [(chunk.group, *[None] * 9, f"{chunk.start}-{chunk.end}: {type(e).__name__}: {e}")]
-    yield from rows
 
+def dealt(options: dict[str, str], chunks: list[tuple[str, int, int]]) -> list[InputPartition]:
+    """A partition per chunk, or as many as there may be connections."""
+    most = int(options.get("max_workers", "0")) or len(chunks)
+    return [Chunks(chunks[k::most]) for k in range(min(most, len(chunks)))] or [Chunks([])]
 
-def group_names(options: dict[str, str]) -> list[str]:
-    return [g.strip() for g in options["group"].split(",") if g.strip()]
+
+def opened(options: dict[str, str]):
+    line = transport(options)
+    return closing(line) if hasattr(line, "close") else _Plain(line)
+
+
+class _Plain:
+    """A transport that has nothing to close."""
+
+    def __init__(self, line: Any) -> None:
+        self.line = line
+
+    def __enter__(self) -> Any:
+        return self.line
+
+    def __exit__(self, *_) -> None:
+        pass
 
 
-def batches(options: dict[str, str], chunk: Chunk) -> Iterator[pa.RecordBatch]:
-    rows = list(read_chunk(options, chunk))
+def read_chunk(options: dict[str, str], line: Any, group: str, start: int, end: int) -> Iterator[tuple]:
+    """The articles of one chunk.  Records without a number are dropped; every record is read by its own keys."""
+    strict = options.get("strict", "false") == "true"
+    for n, record in line.over(group, start, end):
+        if n is not None and isinstance(record, dict):
+            yield article(group, n, record, strict)
+
+
+def group_names(options: dict[str, str]) -> list[str]:
+    names = [g.strip() for g in options["group"].split(",") if g.strip()]
+    if names == ["*"]:
+        with opened(options) as line:
+            return [g[0] for g in line.groups()]
+    return names
+
+
+def batches(options: dict[str, str], part: Chunks) -> Iterator[pa.RecordBatch]:
+    """The records of a partition in batches as they come; an error ends the task, or is given as a row of its chunk."""
+    tolerant = options.get("fail_on_error", "true") == "false"
+    failed = lambda g, a, b, e: (g, *[None] * 9, f"{a}-{b}: {type(e).__name__}: {e}")
+    for group, start, end in part.chunks:
+        if not tolerant:
+            with opened(options) as line:
+                yield from _batched(read_chunk(options, line, group, start, end))
+            continue
+        try:
+            with opened(options) as line:
+                rows = list(read_chunk(options, line, group, start, end))  # a chunk is reported whole or as failed
+        except Exception as e:
+            rows = [failed(group, start, end, e)]
+        yield from _batched(iter(rows))
+
+
+def _batched(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     kinds = [pa.int64() if n in ("artnum", "bytes", "lines") else pa.string() for n in names]
-    for at in range(0, len(rows), 10_000):
-        part = list(zip(*rows[at : at + 10_000]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds)], names=names)
+    while part := list(islice(rows, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
+
+
+class CatalogReader(DataSourceReader):
+    """The groups of a server, as it lists them."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options = options
+
+    def read(self, partition) -> Iterator[tuple]:
+        with opened(self.options) as line:
+            for name, first, last, flag in line.groups():
+                yield name, first, last, last - first + 1, flag
 
 
 class OverviewReader(DataSourceReader):
@@ -144,16 +221,17 @@ class OverviewReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for group in group_names(self.options):
-            _, first, last = transport(self.options).bounds(group)
-            lo, hi = int(self.options.get("start") or 0) or first, int(self.options.get("end") or 0) or last
-            out += [Chunk(group, s, e) for s, e in plan_chunks(lo, hi, int(self.options.get("limit", "0")), int(self.options.get("chunk", "100000")))]
-        return out or [Chunk("", 1, 0)]
-
-    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
-        if partition.group:
-            yield from batches(self.options, partition)
+        out: list[tuple[str, int, int]] = []
+        names = group_names(self.options)
+        with opened(self.options) as line:
+            for group in names:
+                _, first, last = line.bounds(group)
+                lo, hi = int(self.options.get("start") or 0) or first, int(self.options.get("end") or 0) or last
+                out += [(group, s, e) for s, e in plan_chunks(lo, hi, int(self.options.get("limit", "0")), int(self.options.get("chunk", "100000")))]
+        return dealt(self.options, out)
+
+    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
+        yield from batches(self.options, partition)
 
 
 class OverviewStream(DataSourceStreamReader):
@@ -164,16 +242,20 @@ class OverviewStream(DataSourceStreamReader):
 
     def initialOffset(self) -> dict:
         start = int(self.options.get("start") or 0)
-        return {g: start or transport(self.options).bounds(g)[1] for g in group_names(self.options)}
+        return {g: start or self._bounds(g)[1] for g in group_names(self.options)}
 
     def latestOffset(self) -> dict:
-        return {g: transport(self.options).bounds(g)[2] + 1 for g in group_names(self.options)}
+        return {g: self._bounds(g)[2] + 1 for g in group_names(self.options)}
+
+    def _bounds(self, group: str) -> tuple[int, int, int]:
+        with opened(self.options) as line:
+            return line.bounds(group)
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         chunk = int(self.options.get("chunk", "100000"))
-        return [Chunk(g, a, b) for g, to in end.items() for a, b in plan_chunks(start.get(g, 1), to - 1, 0, chunk)]
+        return dealt(self.options, [(g, a, b) for g, to in end.items() for a, b in plan_chunks(start.get(g, 1), to - 1, 0, chunk)])
 
-    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
         yield from batches(self.options, partition)
 
 
@@ -183,10 +265,10 @@ class OverviewSource(DataSource):
         return "overview"
 
     def schema(self) -> str:
-        return SCHEMA
+        return CATALOG if self.options.get("mode") == "groups" else SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return OverviewReader(dict(self.options))
+        return (CatalogReader if self.options.get("mode") == "groups" else OverviewReader)(dict(self.options))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return OverviewStream(dict(self.options))

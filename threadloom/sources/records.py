@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.timestamps import to_iso, with_utc_micros
 from threadloom.sources.overview import FIELDS
 
 
@@ -22,3 +23,9 @@ def articles(records: DataFrame) -> DataFrame:
         "group_name", "artnum", got["message_id"].alias("message_id"), F.coalesce(got["subject"], F.lit("")).alias("subject"), F.coalesce(got["from_addr"], F.lit("")).alias("from_addr"),
         got["date_utc"].alias("date_utc"), got["refs"].alias("refs"), size(got["bytes"]).alias("bytes"), size(got["lines"]).alias("lines"), got["xref"].alias("xref"),
     )
+
+
+def with_iso_dates(rows: DataFrame, local_zone: str = "Europe/Berlin") -> DataFrame:
+    """Article rows with ``date_utc`` in the stored form, NULL where the sender's text denotes no instant."""
+    dated = with_utc_micros(rows, "date_utc", "__us", local_zone)
+    return dated.withColumn("date_utc", to_iso(F.col("__us"))).select(*rows.columns)
