@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.timestamps import with_utc_micros
+from threadloom.session import checkpoint, tasks
 
 #: A split hands its arrays on when its dictionary holds this many keys; memory per task is bounded by it.
 DICTIONARY = 262_144
@@ -85,7 +86,7 @@ def _split_arrays(limit: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[p
     return run
 
 
-def _gathered(batches: Iterable[pa.RecordBatch], rows: int = 131_072) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterable[pa.RecordBatch], rows: int = 524_288) -> Iterator[pa.RecordBatch]:
     """Arrow's small batches joined to larger ones, so that the dictionary is looked up less often."""
     held: list[pa.RecordBatch] = []
     n = 0
@@ -124,33 +125,35 @@ def _add_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _emit(acc, int(block or 0))
 
 
-def key_totals(df: DataFrame, key: str, amount: str, micros: str, dictionary: int = DICTIONARY, block_keys: int = BLOCK_KEYS, keys: DataFrame | None = None) -> DataFrame:
+def key_totals(df: DataFrame, key: str, amount: str, micros: str, dictionary: int = DICTIONARY, block_keys: int = BLOCK_KEYS) -> DataFrame:
     """``key, n_rows, total, first_us, last_us``: rows, sum of ``amount``, least and greatest ``micros`` of every key.
 
     NULL and the empty text are keys of their own.  NULL amounts count 0; a key without any ``micros``
     has NULL first and last.  Columns other than the three named are not read.  An empty table gives
-    no rows.  The block number is made from a count of the distinct keys, itself a mergeable sketch; ``keys`` may name a
-    cheaper table with the same keys to count them in.
+    no rows.  The table is read once: the splits' entries are written, and their number bounds that of the keys of a block.
     """
+    return _added(_entries(df, key, amount, micros, dictionary), block_keys)
+
+
+def _entries(df: DataFrame, key: str, amount: str, micros: str, dictionary: int = DICTIONARY) -> DataFrame:
+    """One entry per key and split, as a table of their own."""
     # Aliases keep the columns apart when two roles share one source column or clash in case.
     rows = df.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{amount}`").cast("bigint").alias("a"), F.col(f"`{micros}`").cast("bigint").alias("t"))
-    partial = rows.mapInArrow(_split_arrays(dictionary), _PARTIAL)
-    spark = df.sparkSession
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _sketch(df if keys is None else keys, key) // block_keys + 1)
-    placed = partial.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    whole = placed.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(_add_blocks, _PARTIAL)
-    return whole.drop("block")
+    return checkpoint(rows.mapInArrow(_split_arrays(dictionary), _PARTIAL))
 
 
-def _sketch(df: DataFrame, key: str) -> int:
-    return int(df.agg(F.approx_count_distinct(f"`{key}`")).first()[0])
+def _added(entries: DataFrame, block_keys: int = BLOCK_KEYS) -> DataFrame:
+    n = tasks(entries.sparkSession)
+    blocks = max(n, entries.count() // block_keys + 1)
+    placed = entries.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    whole = placed.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_add_blocks, _PARTIAL)
+    return whole.drop("block")
 
 
 def poster_totals(articles: DataFrame) -> DataFrame:
     """``from_addr, n_rows, total_bytes, first_us, last_us`` of every poster (values of ``from_addr`` compared exactly)."""
     dated = with_utc_micros(articles.select("from_addr", "bytes", "date_utc"), "date_utc", "utc_us")
-    return key_totals(dated, "from_addr", "bytes", "utc_us", keys=articles).select(
+    return key_totals(dated, "from_addr", "bytes", "utc_us").select(
         F.col("key").alias("from_addr"), "n_rows", F.col("total").alias("total_bytes"), "first_us", "last_us"
     )
 
@@ -158,6 +161,6 @@ def poster_totals(articles: DataFrame) -> DataFrame:
 def heavy_posters(articles: DataFrame, share: float = 0.03) -> DataFrame:
     """``from_addr`` of every poster with a non-empty value that holds at least ``share`` of all rows."""
     counted = articles.select("from_addr", F.lit(0).cast("bigint").alias("bytes"), F.lit(None).cast("bigint").alias("us"))
-    totals = key_totals(counted, "from_addr", "bytes", "us")
-    rows = articles.count()
-    return totals.where((F.col("n_rows") >= F.lit(share) * rows) & (F.col("key") != "")).select(F.col("key").alias("from_addr"))
+    entries = _entries(counted, "from_addr", "bytes", "us")
+    rows = entries.agg(F.sum("n_rows")).first()[0] or 0
+    return _added(entries).where((F.col("n_rows") >= F.lit(share) * rows) & (F.col("key") != "")).select(F.col("key").alias("from_addr"))
