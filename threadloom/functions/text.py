@@ -16,6 +16,17 @@ WS = r"[\s\x1c-\x1f]"
 # Part counters, and the endings of file names.
 BRACKET = r"[(\[{](\d+)/(\d+)[)\]}]"
 PART_OF = rf"\bpart{WS}+(\d+){WS}+of{WS}+(\d+)\b"
+#: What a collection's name leaves out, in this order: counters, numbers in brackets, quoted names, endings, sizes, what follows a free-standing
+#: dash or point; then quotes, the encoding mark, file counters, punctuation, and numbers at the end.
+COUNTERS = rf"{WS}*[\[(]\d+/\d+[\])]{WS}*"
+IN_BRACKETS = (rf"{WS}*\[\d+\]{WS}*", rf"{WS}*\(\d+\){WS}*")
+QUOTED = r'"[^"]*"'
+SIZES = rf"\d+\.?\d*{WS}*(?:kb|mb|gb|bytes?)\b"
+REST = rf"{WS}+[-.]{WS}+.*$"
+ENCODING_MARK = rf"{WS}*yEnc{WS}*"
+FILE_OF = rf"{WS}*-?{WS}*File{WS}+\d+{WS}+of{WS}+\d+{WS}*-?{WS}*"
+PUNCTUATION = r"[&\-\\/,.:;!?(){}\[\]]"
+NUMBERS_AT_END = rf"(?:{WS}|[\d_])+$"
 ENDINGS = "jpg jpeg png gif bmp tif tiff rar zip r\\d+ par2? nfo sfv txt diz mkv avi mp4 wmv mov mpg mpeg flv webm m4v".split()
 
 
@@ -75,25 +86,24 @@ def collection_name(subject: Column, search: str | None = None) -> Column:
         nonlocal s
         s = F.regexp_replace(s, flags + pattern, to)
 
-    cut(rf"{WS}*[\[(]\d+/\d+[\])]{WS}*", " ")
-    cut(rf"{WS}*\[\d+\]{WS}*", " ")
-    cut(rf"{WS}*\(\d+\){WS}*", " ")
-    cut(r'"[^"]*"', "")
+    for pattern in (COUNTERS, *IN_BRACKETS):
+        cut(pattern, " ")
+    cut(QUOTED, "")
     cut(rf"\.(?:{'|'.join(ENDINGS)})({WS}|$)", " ", "(?iU)")
-    cut(rf"\d+\.?\d*{WS}*(?:kb|mb|gb|bytes?)\b", "", "(?iU)")
-    s = strip(F.regexp_replace(s, rf"(?sU){WS}+[-.]{WS}+.*$", ""))
+    cut(SIZES, "", "(?iU)")
+    s = strip(F.regexp_replace(s, "(?sU)" + REST, ""))
     for term in (search or "").split("%"):
         if term.strip():
             cut(_literal(term.strip()), "", "(?iu)")
     cut("[\"']", "")
-    cut(rf"{WS}*yEnc{WS}*", " ", "(?iU)")
-    cut(rf"{WS}*-?{WS}*File{WS}+\d+{WS}+of{WS}+\d+{WS}*-?{WS}*", " ", "(?iU)")
-    cut(r"[&\-\\/,.:;!?(){}\[\]]", " ")
+    cut(ENCODING_MARK, " ", "(?iU)")
+    cut(FILE_OF, " ", "(?iU)")
+    cut(PUNCTUATION, " ")
     n = F.length(s)
     head = F.when(n > 10, F.substring(s, F.lit(1), n - 10)).otherwise(F.lit(""))
     tail = F.when(n > 10, F.substring(s, n - 9, F.lit(10))).otherwise(s)
     s = F.concat(head, F.translate(tail, "_", " "))
-    cut(rf"(?:{WS}|[\d_])+$", "")
+    cut(NUMBERS_AT_END, "")
     s = strip(F.regexp_replace(s, rf"(?U){WS}+", " "))
     return strip(F.substring(s, 1, 100))
 
