@@ -104,3 +104,46 @@ def test_index_holds_every_term(spark):
             lists.setdefault(term, []).append(place)
             at += 1
     assert lists == {"a": [0, 2], "b": [1, 4, 5], "c": [3]} and r["doc"] == [1, 2, 3] and r["length"] == [4, 0, 2]
+
+
+def near_brute(docs, items, least=10, half=12, needed=16, slack=2):
+    """Proximity matches by definition, place by place, from the rarest words of every window of an item."""
+    frequency = {}
+    for _, w in docs:
+        for x in w:
+            frequency[x] = frequency.get(x, 0) + 1
+    out = {}
+    for i, iw in items:
+        if len(iw) < least:
+            continue
+        size = min(least + slack, len(iw))
+        places = {k + j for k in range(len(iw) - size + 1) for j in sorted(range(size), key=lambda j: frequency.get(iw[k + j], 0))[: slack + 1]}
+        for d, dw in docs:
+            for v in places:
+                for g in (g for g, x in enumerate(dw) if x == iw[v]):
+                    fits = lambda o: 0 <= v + o < len(iw) and iw[v + o] in dw[max(0, g + o - slack) : max(0, g + o + slack + 1)]
+                    n = sum(fits(o) for o in range(-half, half + 1))
+                    window = least + slack
+                    most = max(sum(fits(o) for o in range(a, a + window)) for a in range(-window + 1, 1))
+                    if n >= needed or most >= least:
+                        out[d, i] = max(out.get((d, i), 0), n)
+    return out
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_near_passages_against_brute_force(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(150)]
+    items = [(i, [rng.choice(words) for _ in range(rng.randint(8, 45))]) for i in range(10)]
+    docs = []
+    for d in range(50):
+        it = rng.choice(items)[1]
+        a = rng.randint(0, len(it) - 1)
+        part = [x if rng.random() > 0.12 else rng.choice([*words, ""]) for x in it[a : a + rng.randint(8, 30)]]
+        docs.append((d, [rng.choice(words) for _ in range(rng.randint(0, 30))] + [x for x in part if x] + [rng.choice(words) for _ in range(rng.randint(0, 30))]))
+    monkeypatch.setattr(leakage, "SEGMENT", 500)
+    say = lambda rows: [(k, " ".join(w)) for k, w in rows]
+    d, e = spark.createDataFrame(say(docs), "doc_id bigint, text string"), spark.createDataFrame(say(items), "item_id bigint, text string")
+    want = near_brute(docs, items)
+    got = {(r["doc_id"], r["item_id"]): r["n_words"] for r in leakage.near_passages(d, e).collect()}
+    assert want and got == want
