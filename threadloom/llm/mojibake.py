@@ -25,9 +25,11 @@ text to exactly that form.  NULL and empty values hold no damage.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -358,31 +360,34 @@ def _pairs_in(texts: DataFrame, keep: str) -> DataFrame:
     return two.where(F.col("p").rlike(r"[^\x00-\x7F]"))
 
 
-def letter_pairs(sources: DataFrame) -> DataFrame:
-    """``p, share``: the letter pairs of clean words (text, n) and their logarithmic share of all; every pair is kept.
+@dataclass(frozen=True)
+class Pairs:
+    """``shares``: p, share, the logarithmic share of every letter pair of clean words; ``least``: that of a pair never met."""
+
+    shares: DataFrame
+    least: float
+
+
+def letter_pairs(sources: DataFrame) -> Pairs:
+    """The letter pairs of clean words (text, n); every pair is kept.
 
     Words in Cyrillic capitals are left out: they may be what a chain made of small letters.
     """
     sources = sources.where(~((F.upper("text") == F.col("text")) & F.col("text").rlike(_CAPITAL.pattern)))
     counted = checkpoint(_pairs_in(sources, "n").groupBy("p").agg(F.sum("n").alias("n")))
     total = (counted.agg(F.sum("n")).first()[0] or 0) + 1
-    return counted.select("p", F.log((F.col("n") + 0.01) / total).alias("share")).unionByName(
-        # The share of a pair never met.
-        sources.sparkSession.range(1).select(F.lit(None).cast("string").alias("p"), F.log(F.lit(0.01 / total)).alias("share"))
-    )
+    return Pairs(counted.select("p", F.log((F.col("n") + 0.01) / total).alias("share")), math.log(0.01 / total))
 
 
-def with_usual(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``texts`` (column text) and ``usual``: the mean log share of the letter pairs of each, 0 for a text without any."""
-    least = pairs.where("p IS NULL").first()["share"]
+def usual_of(texts: DataFrame, pairs: Pairs) -> DataFrame:
+    """``text, usual``: the mean log share of the letter pairs of each of the texts that has any."""
     # Pairs carry the number of their text, not the text.
     distinct = checkpoint(texts.where("text IS NOT NULL").select("text").distinct().withColumn("number", F.monotonically_increasing_id()))
-    found = _pairs_in(distinct, "number").join(pairs.where("p IS NOT NULL"), "p", "left")
-    scored = found.groupBy("number").agg(F.avg(F.coalesce("share", F.lit(least))).alias("usual")).join(distinct, "number").select("text", "usual")
-    return texts.join(scored, "text", "left").fillna(0.0, ["usual"])
+    found = _pairs_in(distinct, "number").join(pairs.shares, "p", "left")
+    return found.groupBy("number").agg(F.avg(F.coalesce("share", F.lit(pairs.least))).alias("usual")).join(distinct, "number").select("text", "usual")
 
 
-def damage_table(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+def damage_table(words: DataFrame) -> tuple[DataFrame, Pairs]:
     """``word, original`` of the damaged ones among distinct ``words`` (word, n), and the letter pairs; original is NULL where it can't be told."""
     n = tasks(words.sparkSession)
     # Few bytes but much work: the rows are spread by number, not by size.
@@ -435,17 +440,18 @@ def damage_table(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     parts = by_run.unionByName(by_unit).groupBy("word", "verdict").agg(F.collect_list(F.struct("form", "text", "chain", "units")).alias("parts"))
     found = checkpoint(parts.repartition(n).mapInArrow(_candidates, "word string, verdict int, chain string, text string, clean boolean, run boolean"))
-    likely = with_usual(found, pairs)
     # A word in capitals is led back only where that makes it far more usual.
-    heads = found.where(F.col("chain").isin(*TURNING) & (F.col("verdict") == 0)).select(F.col("word").alias("text")).distinct()
-    before = with_usual(heads, pairs).select(F.col("text").alias("word"), F.col("usual").alias("before"))
-    likely = likely.join(before, "word", "left").where(~(F.col("chain").isin(*TURNING) & (F.col("verdict") == 0)) | (F.col("usual") - F.col("before") > GAIN))
+    heads = found.where(F.col("chain").isin(*TURNING) & (F.col("verdict") == 0)).select(F.col("word").alias("text"))
+    usual_now = checkpoint(usual_of(found.select("text").unionByName(heads), pairs))
+    likely = found.join(usual_now, "text", "left").fillna(0.0, ["usual"])
+    before = usual_now.select(F.col("text").alias("word"), F.col("usual").alias("before"))
+    likely = likely.join(before, "word", "left").where(~(F.col("chain").isin(*TURNING) & (F.col("verdict") == 0)) | (F.col("usual") - F.coalesce("before", F.lit(0.0)) > GAIN))
     rank = F.struct("clean", F.col("chain").isin(*UTF8).alias("utf8"), "run", (F.col("usual") + F.when(F.col("chain").isin(*LONG), 1.0).otherwise(0.0)).alias("u"), F.col("text").alias("t"))
     by_chain = likely.groupBy("word").agg(F.max_by("text", rank).alias("original"), F.bool_or(F.col("chain") == LOSSY).alias("lost"))
     return by_word.unionByName(by_chain.select("word", F.when(~F.col("lost"), F.col("original")).alias("original"))), pairs
 
 
-def damaged_words(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("subject", "from_addr")) -> tuple[DataFrame, DataFrame, DataFrame]:
+def damaged_words(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("subject", "from_addr")) -> tuple[DataFrame, DataFrame, Pairs]:
     words = words_of(df, key, fields)
     damage, pairs = damage_table(words.groupBy("word").agg(F.count("*").alias("n")))
     return words, checkpoint(damage), pairs
@@ -471,15 +477,16 @@ def damaged_fields(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("
     return _join_damage(words, damage.select("word")).select(key, "field").distinct()
 
 
-def words_beside(words: DataFrame, damage: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+def words_beside(words: DataFrame, damage: DataFrame, pairs: Pairs, key: str) -> DataFrame:
     """``key, field, word, original`` of words that look clean but stand beside a damaged one whose chain leads them back to more usual text."""
     chains = damage.where("original IS NOT NULL").mapInArrow(_explained, "word string, chain string")
     chains = checkpoint(_join_damage(words, checkpoint(chains)).select(key, "field", "chain").distinct())
     tried = checkpoint(words.join(_small(damage.select("word")), "word", "left_anti").join(chains, [key, "field"]))
     back = checkpoint(tried.select("word", "chain").distinct().mapInArrow(_led_back, "word string, chain string, text string"))
-    after = with_usual(back, pairs).select("word", "chain", F.col("text").alias("original"), F.col("usual").alias("after"))
-    before = with_usual(back.select(F.col("word").alias("text")).distinct(), pairs).select(F.col("text").alias("word"), F.col("usual").alias("before"))
-    gained = after.join(before, "word").select("word", "chain", "original", (F.col("after") - F.col("before")).alias("gain")).where("gain > 0")
+    usual = checkpoint(usual_of(back.select("text").unionByName(back.select(F.col("word").alias("text"))), pairs))
+    named = lambda c, u: usual.select(F.col("text").alias(c), F.col("usual").alias(u))
+    both = back.withColumnRenamed("text", "original").join(named("original", "after"), "original", "left").join(named("word", "before"), "word", "left").fillna(0.0, ["after", "before"])
+    gained = both.select("word", "chain", "original", (F.col("after") - F.col("before")).alias("gain")).where("gain > 0")
     best = F.max_by("original", F.struct("gain", "original")).alias("original")
     return tried.join(gained, ["word", "chain"]).groupBy(key, "field", "word").agg(best)
 
